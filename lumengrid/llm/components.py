@@ -30,6 +30,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     stars settle after a number of rounds in the order of the logarithm of a chain's length.
     """
     now = written(edges.select("a", "b").where("a <> b").distinct(), "links")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     for _ in range(most_rounds):
         now = written(_small_star(_large_star(now)), "links")

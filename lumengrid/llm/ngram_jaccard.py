@@ -10,10 +10,11 @@ or is joined through a chain of such pairs; nothing is sampled or capped.
    of each part, for its own band and for each higher band it can have a partner in. Parts
    with fewer than two shingles say little and are left out where fewer than m - H(b) are;
    an equal part remains then. Classes under one (band, part, content) form a tile.
-3. In a tile, each class is compared with the least one: bitmaps bound the overlap from
-   above, and the pairs that pass are intersected exactly.
-4. Tiles whose classes these links don't yet connect are compared in full, in blocks, but
-   only pairs from different components, and again only what bitmaps let pass is intersected.
+3. Each class is compared with the least class of its tiles: bitmaps bound the overlap from
+   above, and the pairs that pass are intersected exactly. In tiles that these links leave in
+   pieces, one class of each piece is compared with one of the first piece.
+4. Tiles still in pieces are compared in full, in blocks, but only pairs of different pieces,
+   and again only what bitmaps let pass is intersected.
 5. Components of all links give the groups.
 """
 
@@ -24,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,35 +191,43 @@ def _tiles(table: pa.Table) -> pa.Table:
 
 
 def _members(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(class, size, bits, hashes) of the documents asked for, if the text still is of that class."""
+    """(class, size, bits, text) of the documents asked for, if the text still is of that class.
+    The text travels compressed: it is a third of the size of its array of hashes."""
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in small_batches(batches, "text"):
         rows = []
-        for want, hashes in zip(batch.column("class").to_pylist(), shingle_sets(batch.column("text").fill_null(""), k), strict=True):
+        texts = batch.column("text").fill_null("")
+        for want, hashes, text in zip(batch.column("class").to_pylist(), shingle_sets(texts, k), texts.to_pylist(), strict=True):
             if len(hashes) and digest(hashes) == want:
-                rows.append((want, len(hashes), bitmap(hashes).tobytes(), hashes.tobytes()))
+                rows.append((want, len(hashes), bitmap(hashes).tobytes(), pack.compress(text.encode())))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _linked(batches: Iterator[pa.RecordBatch], num: int, den: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their bitmaps and arrays, those that reach the threshold."""
-    for batch in batches:
-        col = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        keep = []
-        for i in range(batch.num_rows):
-            n, m = col["size_a"][i], col["size_b"][i]
-            # den * common >= num * (n + m - common)
-            need = -(-num * (n + m) // (num + den))
-            if min(n, m) < need:
-                continue
-            x, y = np.frombuffer(col["bits_a"][i], np.uint64), np.frombuffer(col["bits_b"][i], np.uint64)
-            w = min(len(x), len(y))
-            x, y = fold(x, w), fold(y, w)
-            if min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum())) < need:
-                continue
-            common = len(np.intersect1d(np.frombuffer(col["hashes_a"][i], np.uint64), np.frombuffer(col["hashes_b"][i], np.uint64), assume_unique=True))
-            if common >= need:
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], schema=schema)
+def least_common(n: int, m: int, num: int, den: int) -> int:
+    """The least intersection with which sets of n and m reach num / den: den * c >= num * (n + m - c)."""
+    return -(-num * (n + m) // (num + den))
+
+
+def _linked(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their bitmaps and texts, those that reach the threshold."""
+    unpack = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            col = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            may = []
+            for i in range(batch.num_rows):
+                n, m = col["size_a"][i], col["size_b"][i]
+                need = least_common(n, m, num, den)
+                x, y = np.frombuffer(col["bits_a"][i], np.uint64), np.frombuffer(col["bits_b"][i], np.uint64)
+                w = min(len(x), len(y))
+                x, y = fold(x, w), fold(y, w)
+                if min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum())) >= need:
+                    may.append((i, need))
+            texts = {col[s][i]: col[t][i] for i, _ in may for s, t in (("a", "text_a"), ("b", "text_b"))}
+            sets = dict(zip(texts, shingle_sets(pa.array([unpack.decompress(t) for t in texts.values()], pa.binary()), k), strict=True))
+            keep = [i for i, need in may if len(np.intersect1d(sets[col["a"][i]], sets[col["b"][i]], assume_unique=True)) >= need]
+            yield pa.RecordBatch.from_arrays([pa.array([col[c][i] for i in keep], pa.int64()) for c in ("a", "b")], schema=schema)
 
 
 def _block_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -284,39 +294,50 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     members = written(
         docs.join(stands, docs.doc_id.eqNullSafe(stands.doc_id))
         .select("class", "text")
-        .mapInArrow(partial(_members, k=k, schema=arrow(**{"class": pa.int64()}, size=pa.int64(), bits=pa.binary(), hashes=pa.binary())), "class long, size long, bits binary, hashes binary")
+        .mapInArrow(partial(_members, k=k, schema=arrow(**{"class": pa.int64()}, size=pa.int64(), bits=pa.binary(), text=pa.binary())), "class long, size long, bits binary, text binary")
         .dropDuplicates(["class"]),
         "jaccard-members",
     )
-    link = partial(_linked, num=num, den=den, schema=arrow(a=pa.int64(), b=pa.int64()))
+    link = partial(_linked, k=k, num=num, den=den, schema=arrow(a=pa.int64(), b=pa.int64()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda s: members.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bits", "hashes")])
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(link, "a long, b long")
-
-    first = written(verified(tiles.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()), "jaccard-links")
-    roots = components(first)
-
-    # tiles that the links so far leave in several pieces
-    rooted = tiles.join(roots.withColumnRenamed("node", "class"), "class", "left").select("tile", "class", F.coalesce("root", "class").alias("root"))
-    rooted = written(rooted, "jaccard-rooted")
-    open_ = rooted.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("tile", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = (
-        rooted.join(open_, "tile")
-        .join(members.select("class", "size", "bits"), "class")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("tile", "class", "root", "size", "bits", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"))
-    )
-
+        side = lambda s: members.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bits", "text")])
+        return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(link, "a long, b long"), "jaccard-links")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        """(tile, class, root, n) of tiles that the links leave in several pieces."""
+        roots = components(links).withColumnRenamed("node", "class")
+        own = tiles.join(roots, "class", "left").select("tile", "class", F.coalesce("root", "class").alias("root"))
+        open_ = own.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        return written(own.join(open_.select("tile", "n", F.col("lo").alias("least")), "tile"), "jaccard-open")
+
+    # each class with the least leader of its tiles
+    links = verified(tiles.where("class <> leader").groupBy("class").agg(F.min("leader").alias("a")).select("a", F.col("class").alias("b")))
+
+    # then, in tiles still in pieces, one class of each piece with one of the first piece
+    open_ = rooted(links)
+    if not open_.isEmpty():
+        pieces = open_.groupBy("tile", "root", "least").agg(F.min("class").alias("class"))
+        heads = pieces.where("root = least").select("tile", F.col("class").alias("head"))
+        again = pieces.where("root <> least").join(heads, "tile").select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")).distinct()
+        links = links.unionByName(verified(again))
+        open_ = rooted(links)
+
+    # what is in pieces now is compared in full, in blocks
     def compared(table: pa.Table) -> pa.Table:
         return _block_pairs(table, num, den)
 
-    pairs = placed.groupBy("tile", "left", "right").applyInArrow(compared, "a long, b long").distinct()
-    second = verified(pairs)
-    groups = components(first.unionByName(second))
+    if not open_.isEmpty():
+        placed = (
+            open_.join(members.select("class", "size", "bits"), "class")
+            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("tile", "class", "root", "size", "bits", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"))
+        )
+        rest = placed.groupBy("tile", "left", "right").applyInArrow(compared, "a long, b long").distinct()
+        links = links.unionByName(verified(rest))
+    groups = components(links)
 
     # from classes to documents
     classes = profile.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
