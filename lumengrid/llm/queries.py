@@ -5,22 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixture
+from .common import crc_remainder
+from .decontaminate import benchmark_hits
+from .language import fit_language, identify_language, training_rows
+from .mixture import pareto_mixture
 from .ngram_jaccard import near_duplicate_groups
+from .repeats import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to target weights takes of each document."""
+    docs = _table(spark, sf_dir, "documents")
+    return pareto_mixture(docs, weights=(5, 2, 1), share=(3, 2), most=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs, within 5% of edits."""
+    return benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "distance", "hits")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 4-word shingles reach a Jaccard similarity of 0.85."""
     docs = _table(spark, sf_dir, "documents")
     return near_duplicate_groups(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_language(training_rows(docs))
+    held = (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document when repeated passages of 50 words are taken out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, window=50, digest=True).select("doc_id", "n_words", "n_removed", F.col("text").alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixture": op1_mixture,
+    "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_language": op4_language,
+    "op10_repeats": op10_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mixture": mixture.SQL}
