@@ -55,6 +55,21 @@ def crc_remainder(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
+    """(doc_id, text, label): about ``limit`` of the labelled training rows, chosen by a hash of doc_id.
+
+    Training rows are those whose crc32(doc_id as text) mod 4 is not 2. Rows without doc_id,
+    text or label are left out; of several labels of a document the largest counts. At most
+    twice ``limit`` ids are broadcast; the texts stay where they are.
+    """
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (crc_remainder(F.col("doc_id"), 4) != 2))
+    ids = ids.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(column).cast("double")).alias("label"))
+    many = max(ids.count(), 1)
+    chance = F.pmod(F.xxhash64(F.lit(column), "_id"), F.lit(1 << 30)) / float(1 << 30)
+    some = ids.where(chance < limit / many).limit(2 * limit)
+    return docs.where("text is not null").join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_id")).select("doc_id", "text", "label")
+
+
 # ---------------------------------------------------------------- words as numbers
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -13,7 +13,9 @@ from .decontaminate import benchmark_hits
 from .language import fit_language, identify_language, training_rows
 from .mixture import pareto_mixture
 from .ngram_jaccard import near_duplicate_groups
+from .quality import fit_quality, score_quality
 from .repeats import remove_repeats
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,24 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each document is of good quality."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    held = (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each document is toxic."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    held = (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document when repeated passages of 50 words are taken out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language": op4_language,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op10_repeats": op10_repeats,
 }
 
