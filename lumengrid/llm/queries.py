@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixture
+from . import fixity, language_model, mixture
 from .common import crc_remainder
 from .decontaminate import benchmark_hits
+from .fingerprint import fingerprints
 from .language import fit_language, identify_language, training_rows
+from .language_model import score_texts
 from .mixture import pareto_mixture
 from .ngram_jaccard import near_duplicate_groups
 from .quality import fit_quality, score_quality
@@ -65,6 +67,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of each document under an n-gram model of the others, and under word frequencies alone."""
+    return score_texts(_table(spark, sf_dir, "documents"), language_model.training_rows())
+
+
+def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a replica of the archive of all pages, with known damage, differs from it."""
+    pages = _table(spark, sf_dir, "pages")
+    expected = pages.select(F.col("page_id").alias("key"), fixity.record(F.col("page_id"), F.col("url"), F.col("html")).alias("value"))
+    return fixity.audit(expected, fixity.damaged(pages)).select(F.col("key").alias("page_id"), "fault", "offset", "bytes", "replica_bytes")
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and what they tell of their likeness."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document when repeated passages of 50 words are taken out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,7 +97,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_language_model": op7_language_model,
+    "op8_fixity": op8_fixity,
+    "op9_fingerprint": op9_fingerprint,
     "op10_repeats": op10_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixture": mixture.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixture": mixture.SQL, "op8_fixity": fixity.SQL}
