@@ -14,7 +14,8 @@ or is joined through a chain of such pairs; nothing is sampled or capped.
    above, and the pairs that pass are intersected exactly. In tiles that these links leave in
    pieces, one class of each piece is compared with one of the first piece.
 4. Tiles still in pieces are compared in full, in blocks, but only pairs of different pieces,
-   and again only what bitmaps let pass is intersected.
+   each pair in the first tile it shares. Texts are fetched for the classes that bitmaps leave
+   a pair, and pairs are intersected exactly until the pieces that have a link are joined.
 5. Components of all links give the groups.
 """
 
@@ -25,11 +26,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, shards, small_batches, spans, written
+from .common import Words, mix, packed_text, shards, small_batches, spans, unpacked, written
 from .components import components
 
 GROWTH = 1.5
@@ -192,15 +192,16 @@ def _tiles(table: pa.Table) -> pa.Table:
 
 def _members(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(class, size, bits, text) of the documents asked for, if the text still is of that class.
-    The text travels compressed: it is a third of the size of its array of hashes."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in small_batches(batches, "text"):
-        rows = []
-        texts = batch.column("text").fill_null("")
-        for want, hashes, text in zip(batch.column("class").to_pylist(), shingle_sets(texts, k), texts.to_pylist(), strict=True):
-            if len(hashes) and digest(hashes) == want:
-                rows.append((want, len(hashes), bitmap(hashes).tobytes(), pack.compress(text.encode())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+    The text stays compressed: it is a third of the size of its array of hashes."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            rows = []
+            texts = batch.column("text").to_pylist()
+            for want, hashes, text in zip(batch.column("class").to_pylist(), shingle_sets(pa.array(unpacked(texts), pa.binary()), k), texts, strict=True):
+                if len(hashes) and digest(hashes) == want:
+                    rows.append((want, len(hashes), bitmap(hashes).tobytes(), text))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def least_common(n: int, m: int, num: int, den: int) -> int:
@@ -210,7 +211,6 @@ def least_common(n: int, m: int, num: int, den: int) -> int:
 
 def _linked(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Of pairs with their bitmaps and texts, those that reach the threshold."""
-    unpack = zstandard.ZstdDecompressor()
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
@@ -225,39 +225,86 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, schem
                 if min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum())) >= need:
                     may.append((i, need))
             texts = {col[s][i]: col[t][i] for i, _ in may for s, t in (("a", "text_a"), ("b", "text_b"))}
-            sets = dict(zip(texts, shingle_sets(pa.array([unpack.decompress(t) for t in texts.values()], pa.binary()), k), strict=True))
+            sets = dict(zip(texts, shingle_sets(pa.array(unpacked(list(texts.values())), pa.binary()), k), strict=True))
             keep = [i for i, need in may if len(np.intersect1d(sets[col["a"][i]], sets[col["b"][i]], assume_unique=True)) >= need]
             yield pa.RecordBatch.from_arrays([pa.array([col[c][i] for i in keep], pa.int64()) for c in ("a", "b")], schema=schema)
 
 
-def _block_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Of one block or pair of blocks of a tile: pairs of different components that bitmaps don't rule out."""
-    t = table.to_pydict()
-    size = np.array(t["size"], dtype=np.int64)
-    order = np.argsort(size, kind="stable")
-    size = size[order]
-    name = np.array(t["class"], dtype=np.int64)[order]
-    root = np.array(t["root"], dtype=np.int64)[order]
-    side = np.array(t["side"], dtype=np.int64)[order]
-    two = t["left"][0] != t["right"][0]
-    width = min(len(b) for b in t["bits"]) // 8
-    bits = np.stack([fold(np.frombuffer(t["bits"][i], np.uint64), width) for i in order])
+class Block:
+    """One block, or pair of blocks, of a tile: its classes in order of size."""
+
+    def __init__(self, table: pa.Table, num: int, den: int):
+        t = table.to_pydict()
+        self.num, self.den = num, den
+        size = np.array(t["size"], dtype=np.int64)
+        self.order = np.lexsort((np.array(t["class"], dtype=np.int64), size))
+        self.size = size[self.order]
+        self.name = np.array(t["class"], dtype=np.int64)[self.order]
+        self.root = np.array(t["root"], dtype=np.int64)[self.order]
+        self.side = np.array(t["side"], dtype=np.int64)[self.order]
+        self.two = t["left"][0] != t["right"][0]
+        width = min(len(b) for b in t["bits"]) // 8
+        self.bits = np.stack([fold(np.frombuffer(t["bits"][i], np.uint64), width) for i in self.order])
+        # tiles before this one that each class is in: a pair that shares one was compared there
+        tile = t["tile"][0]
+        earlier = [[x for x in t["tiles"][i] if x < tile] for i in self.order]
+        names = {x: i for i, x in enumerate(sorted({x for e in earlier for x in e}))}
+        flags = np.zeros((len(size), -(-max(1, len(names)) // 64) * 64), dtype=bool)
+        for i, e in enumerate(earlier):
+            flags[i, [names[x] for x in e]] = True
+        self.earlier = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+
+    def survivors(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(i, places) of pairs of different pieces, not met in an earlier tile, that bitmaps don't rule out."""
+        for i in range(len(self.size)):
+            # sizes from size[i] up to size[i] * den / num
+            hi = int(np.searchsorted(self.size, self.size[i] * self.den // self.num, side="right"))
+            if hi <= i + 1:
+                continue
+            ok = (self.root[i + 1 : hi] != self.root[i]) & ~(self.earlier[i + 1 : hi] & self.earlier[i]).any(axis=1)
+            if self.two:
+                ok &= self.side[i + 1 : hi] != self.side[i]
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                need = least_common(self.size[i], self.size[at], self.num, self.den)
+                fits = self.size[i] - np.bitwise_count(self.bits[i] & ~self.bits[at]).sum(axis=1, dtype=np.int64) >= need
+                fits &= self.size[at] - np.bitwise_count(self.bits[at] & ~self.bits[i]).sum(axis=1, dtype=np.int64) >= need
+                if fits.any():
+                    yield i, at[fits]
+
+
+def _to_verify(table: pa.Table, num: int, den: int) -> pa.Table:
+    """The classes of a block that have a pair left."""
+    block = Block(table, num, den)
+    left = np.zeros(len(block.size), dtype=bool)
+    for i, at in block.survivors():
+        left[i] = left[at] = True
+    return table.select(["tile", "left", "right", "class"]).take(pa.array(np.sort(block.order[left]), pa.int64()))
+
+
+def _links_of(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
+    """The pairs left, intersected exactly until they join a block's pieces: a link for each joining."""
+    block = Block(table, num, den)
+    texts = table.column("text").to_pylist()
+    sets = shingle_sets(pa.array(unpacked([texts[i] for i in block.order]), pa.binary()), k)
+    parent = {r: r for r in block.root.tolist()}
+
+    def piece(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
     got: list[tuple[int, int]] = []
-    for i in range(len(size)):
-        # sizes from size[i] up to size[i] * den / num
-        hi = int(np.searchsorted(size, size[i] * den // num, side="right"))
-        if hi <= i + 1:
-            continue
-        ok = root[i + 1 : hi] != root[i]
-        if two:
-            ok &= side[i + 1 : hi] != side[i]
-        at = np.flatnonzero(ok) + i + 1
-        if not len(at):
-            continue
-        need = -(-num * (size[i] + size[at]) // (num + den))
-        fits = size[i] - np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1, dtype=np.int64) >= need
-        fits &= size[at] - np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1, dtype=np.int64) >= need
-        got += [(min(name[i], name[j]), max(name[i], name[j])) for j in at[fits]]
+    root, name = block.root.tolist(), block.name.tolist()
+    for i, at in block.survivors():
+        for j in at.tolist():
+            a, b = piece(root[i]), piece(root[j])
+            if a != b:
+                x, y = sets[i], sets[j]
+                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                if int((y[place] == x).sum()) >= least_common(len(x), len(y), num, den):
+                    parent[a] = b
+                    got.append((min(name[i], name[j]), max(name[i], name[j])))
     return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
 
 
@@ -291,8 +338,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     # the arrays of classes that share a tile with another: one document stands for each
     wanted = tiles.select("class").distinct()
     stands = profile.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi")
+    packed = packed_text(docs.where("text is not null"))
     members = written(
-        docs.join(stands, docs.doc_id.eqNullSafe(stands.doc_id))
+        packed.join(stands, packed.doc_id.eqNullSafe(stands.doc_id))
         .select("class", "text")
         .mapInArrow(partial(_members, k=k, schema=arrow(**{"class": pa.int64()}, size=pa.int64(), bits=pa.binary(), text=pa.binary())), "class long, size long, bits binary, text binary")
         .dropDuplicates(["class"]),
@@ -323,20 +371,26 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         links = links.unionByName(verified(again))
         open_ = rooted(links)
 
-    # what is in pieces now is compared in full, in blocks
-    def compared(table: pa.Table) -> pa.Table:
-        return _block_pairs(table, num, den)
+    # what is in pieces now is compared in full, in blocks; texts come for what bitmaps leave
+    def to_verify(table: pa.Table) -> pa.Table:
+        return _to_verify(table, num, den)
+
+    def links_of(table: pa.Table) -> pa.Table:
+        return _links_of(table, k, num, den)
 
     if not open_.isEmpty():
-        placed = (
-            open_.join(members.select("class", "size", "bits"), "class")
+        own = open_.groupBy("class").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))
+        placed = written(
+            open_.join(own.join(members.select("class", "size", "bits"), "class"), "class")
             .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("tile", "class", "root", "size", "bits", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"))
+            .select("tile", "class", "root", "size", "bits", "tiles", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side")),
+            "jaccard-blocks",
         )
-        rest = placed.groupBy("tile", "left", "right").applyInArrow(compared, "a long, b long").distinct()
-        links = links.unionByName(verified(rest))
+        left = written(placed.groupBy("tile", "left", "right").applyInArrow(to_verify, "tile long, left int, right int, class long"), "jaccard-left")
+        final = placed.join(left, ["tile", "left", "right", "class"]).join(members.select("class", "text"), "class")
+        links = links.unionByName(written(final.groupBy("tile", "left", "right").applyInArrow(links_of, "a long, b long"), "jaccard-links"))
     groups = components(links)
 
     # from classes to documents
