@@ -188,7 +188,7 @@ def spans(words: np.ndarray, k: int) -> np.ndarray:
         return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each have about ``most`` bytes; one longer text stands alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

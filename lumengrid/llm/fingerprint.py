@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, shards, written
+from .common import mix, packed_text, shards, written
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525)
@@ -227,12 +226,6 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        yield batch.set_column(1, "text", pa.array([pack.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary()))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
@@ -245,7 +238,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     range meet once more.
     """
     spark = docs.sparkSession
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "doc_id long, text binary")
+    packed = packed_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     walked = written(packed.repartitionByRange(shards(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_walk, DDL), "fingerprints")
     # a few rows for each range: which range comes next
     edges = walked.where(F.col("kind") != DONE).select("kind", "doc_id", "text")

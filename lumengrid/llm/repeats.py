@@ -26,11 +26,10 @@ from functools import partial
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shards, small_batches, spans, written
+from .common import Words, mix, packed_text, shards, small_batches, spans, unpacked, written
 
 PHRASE = 16
 #: Documents that go through one copy of a shard's automaton.
@@ -122,32 +121,30 @@ def _recurring(table: pa.Table) -> pa.Table:
 
 def _route(batches: Iterator[pa.RecordBatch], window: int, phrase: int, splits: dict[int, int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A document's phrases to the shards of which it owns anchors, itself to those it shares anchors with."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in small_batches(batches, "text"):
-        words = Words(batch.column("text"), lower=False)
-        rows: list[tuple] = []
-        cols = (batch.column(c).to_pylist() for c in ("doc_id", "text", "home", "owned", "shards"))
-        for i, (doc, text, home, owned, to) in enumerate(zip(*cols, strict=True)):
-            own = words.hash[words.first[i] : words.first[i + 1]]
-            if owned and len(own) >= window:
-                grams = spans(own, phrase)
-                wanted, at = np.unique(grams, return_index=True)
-                at = at[np.isin(wanted, np.array(owned, np.int64).view(np.uint64))]
-                low = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                body = low[at[:, None] + np.arange(phrase)].tobytes()
-                names = grams[at].tobytes()
-                rows += [(home, part, 0, None, names, body) for part in range(splits.get(home, 1))]
-            if to:
-                small = pack.compress(text.encode())
-                rows += [(shard, doc % splits.get(shard, 1), 1, doc, small, None) for shard in to]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 1024):
+            batch = whole.slice(lo, 1024)
+            small = batch.column("text").to_pylist()
+            words = Words(pa.array(unpacked(small), pa.binary()), lower=False)
+            rows: list[tuple] = []
+            cols = (batch.column(c).to_pylist() for c in ("doc_id", "home", "owned", "shards"))
+            for i, (doc, home, owned, to) in enumerate(zip(*cols, strict=True)):
+                own = words.hash[words.first[i] : words.first[i + 1]]
+                if owned and len(own) >= window:
+                    grams = spans(own, phrase)
+                    wanted, at = np.unique(grams, return_index=True)
+                    at = at[np.isin(wanted, np.array(owned, np.int64).view(np.uint64))]
+                    low = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    body = low[at[:, None] + np.arange(phrase)].tobytes()
+                    rows += [(home, part, 0, None, None, body) for part in range(splits.get(home, 1))]
+                rows += [(shard, doc % splits.get(shard, 1), 1, doc, small[i], None) for shard in to or ()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
 def _locate(batches: Iterator[pa.RecordBatch], window: int, phrase: int, n_shards: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of (shard, part, kind): an automaton of the phrases first, then the documents
     that go through it; sends the hashes of windows whose anchor is located."""
     out = Sender(n_shards)
-    unpack = zstandard.ZstdDecompressor()
     now, ready = None, False
     auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for batch in batches:
@@ -164,7 +161,7 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int, phrase: int, n_shard
             if not ready:
                 auto.make_automaton()
                 ready = True
-            own = Words(pa.array([unpack.decompress(body)], pa.binary()), lower=False).hash
+            own = Words(pa.array(unpacked([body]), pa.binary()), lower=False).hash
             ends = [end for end, _ in auto.iter(tuple((own & np.uint64(0xFFFFFFFF)).tolist()))]
             if ends:
                 grams = spans(own, phrase)
@@ -177,34 +174,37 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int, phrase: int, n_shard
     yield from out.flush()
 
 
-def _given_up(table: pa.Table) -> pa.Table:
-    """(doc, windows): the hashes of windows that a smaller document has too."""
+def _given_up(table: pa.Table, n_shards: int) -> pa.Table:
+    """Windows that a smaller document has too, packed for the shard of the document that gives them up."""
     keys, docs, least = _received(table)
     keep = docs > least
     keys, docs = keys[keep], docs[keep]
+    to = (mix(docs.view(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(n_shards + 1))
+    keys, docs = keys[order], docs[order]
+    rows = [(i, keys[a:b].tobytes(), docs[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("shard", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())))})
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """(doc, windows) from what the shards of windows sent: a row for each document."""
+    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
+    docs = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
     order = np.argsort(docs, kind="stable")
     keys, docs = keys[order], docs[order]
-    at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
     ends = np.append(at[1:], len(docs))
     return pa.table({"doc": pa.array(docs[at], pa.int64()), "windows": pa.array([keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
 
 
-def _packed(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """The text column, at this place, compressed for the shuffle; null stays null."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        small = pa.array([None if t is None else pack.compress(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
-        yield batch.set_column(at, batch.schema.names[at], small)
-
-
 def _cut(batches: Iterator[pa.RecordBatch], window: int, at: int, digest: bool) -> Iterator[pa.RecordBatch]:
     """The text at this place without the words given up; then n_words, n_removed and, instead of
     the text, the SHA-256 of the kept words if ``digest``."""
-    unpack = zstandard.ZstdDecompressor()
     for whole in batches:
         for lo in range(0, whole.num_rows, 1024):
             batch = whole.slice(lo, 1024)
-            raw = [None if t is None else unpack.decompress(t) for t in batch.column(at).to_pylist()]
+            raw = unpacked(batch.column(at).to_pylist())
             given = batch.column(batch.num_columns - 1).to_pylist()
             words = Words(pa.array([t or b"" for t in raw], pa.binary()), lower=False)
             counts, removed, out = words.counts(), [], []
@@ -212,7 +212,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, at: int, digest: bool)
                 a, b = words.first[i], words.first[i + 1]
                 keep = np.ones(b - a, dtype=bool)
                 if gone:
-                    hit = np.isin(spans(words.hash[a:b], window), np.concatenate([np.frombuffer(g, np.uint64) for g in gone]))
+                    hit = np.isin(spans(words.hash[a:b], window), np.frombuffer(gone, np.uint64))
                     edge = np.zeros(b - a + 1, np.int64)
                     edge[:-window] += hit
                     edge[window:] -= hit
@@ -237,7 +237,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, at: int, digest: bool)
 
 
 def windows_to_remove(docs: DataFrame, window: int = 50, phrase: int = PHRASE) -> DataFrame:
-    """(doc, windows): for each document that has any, arrays of hashes of its windows whose word
+    """(doc, windows): for each document that has any, an array of hashes of its windows whose word
     sequence also starts in a document with a smaller doc_id."""
     spark = docs.sparkSession
     n = shards(spark)
@@ -254,22 +254,17 @@ def windows_to_remove(docs: DataFrame, window: int = 50, phrase: int = PHRASE) -
         F.flatten(F.collect_list("owned")).alias("owned"),
         F.collect_list("shard").alias("shards"),
     )
-    packed = docs.mapInArrow(partial(_packed, at=1), "doc_id long, text binary")
-    joined = packed.join(wanted, packed.doc_id == wanted.doc).select("doc_id", "text", "home", "owned", "shards").mapInArrow(_unpacked, "doc_id long, text string, home int, owned array<bigint>, shards array<int>")
+    packed = packed_text(docs)
+    joined = packed.join(wanted, packed.doc_id == wanted.doc).select("doc_id", "text", "home", "owned", "shards")
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("body", pa.binary()), ("more", pa.binary())])
     routed = joined.mapInArrow(partial(_route, window=window, phrase=phrase, splits=splits, schema=schema), "shard int, part int, kind int, doc long, body binary, more binary")
     streams = routed.repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "kind")
     windows = streams.mapInArrow(partial(_locate, window=window, phrase=phrase, n_shards=n), SENT)
-    return windows.groupBy("shard").applyInArrow(_given_up, "doc long, windows binary")
 
+    def given_up(table: pa.Table) -> pa.Table:
+        return _given_up(table, n)
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 1024):
-            batch = whole.slice(lo, 1024)
-            text = pa.array([unpack.decompress(t).decode() for t in batch.column("text").to_pylist()], pa.string())
-            yield batch.set_column(1, "text", text)
+    return windows.groupBy("shard").applyInArrow(given_up, SENT).groupBy("shard").applyInArrow(_by_document, "doc long, windows binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = PHRASE, digest: bool = False) -> DataFrame:
@@ -285,11 +280,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = PHRASE, dige
     are replaced; others are kept. Equality of windows is that of 64-bit hashes.
     """
     docs = docs.drop("n_words", "n_removed")
-    gone = windows_to_remove(docs, window, phrase).groupBy("doc").agg(F.collect_list("windows").alias("_gone")).withColumnRenamed("doc", "_doc")
+    gone = windows_to_remove(docs, window, phrase).select(F.col("doc").alias("_doc"), F.col("windows").alias("_gone"))
     at = docs.columns.index("text")
     kinds = [(f.name, "binary" if f.name == "text" else f.dataType.simpleString()) for f in docs.schema]
     quoted = lambda pairs: ", ".join(f"`{n}` {t}" for n, t in pairs)
-    packed = docs.mapInArrow(partial(_packed, at=at), quoted(kinds))
+    packed = packed_text(docs)
     joined = packed.join(gone, packed["doc_id"].cast("long") == gone["_doc"], "left").drop("_doc")
     final = [(n, "string" if n == "text" else t) for n, t in kinds] + [("n_words", "bigint"), ("n_removed", "bigint")]
     return joined.mapInArrow(partial(_cut, window=window, at=at, digest=digest), quoted(final))
