@@ -8,14 +8,17 @@ or is joined through a chain of such pairs; nothing is sampled or capped.
    at most H(b) shingles, so of m > H(b) parts of the hash range (a shingle's part is read
    from its hash) at least m - H(b) hold exactly the same shingles. A class sends a signature
    of each part, for its own band and for each higher band it can have a partner in. Parts
-   with fewer than two shingles say little and are left out where fewer than m - H(b) are;
-   an equal part remains then. Classes under one (band, part, content) form a tile.
+   with few shingles say little: each class leaves out those of up to q shingles, for the
+   largest q that leaves out fewer than m - H(b) parts. Of two linked classes take the larger
+   q: the parts up to it are fewer than the equal parts, so an equal part remains in both.
+   Classes under one (band, part, content) meet; all that meet with the same least class
+   form a tile.
 3. Each class is compared with the least class of its tiles: bitmaps bound the overlap from
    above, and the pairs that pass are intersected exactly. In tiles that these links leave in
    pieces, one class of each piece is compared with one of the first piece.
-4. Tiles still in pieces are compared in full, in blocks, but only pairs of different pieces,
-   each pair in the first tile it shares. Texts are fetched for the classes that bitmaps leave
-   a pair, and pairs are intersected exactly until the pieces that have a link are joined.
+4. Tiles still in pieces are compared in full, in blocks, but only pairs of different pieces.
+   Texts are fetched for the classes that bitmaps leave a pair, and pairs are intersected
+   exactly until the pieces that have a link are joined.
 5. Components of all links give the groups.
 """
 
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Words, mix, packed_text, shards, small_batches, spans, unpacked, written
 from .components import components
 
-GROWTH = 1.5
+GROWTH = 1.18
 BLOCK = 1024
 _FLUSH = 1 << 21
 
@@ -94,7 +97,7 @@ def band_parts(band: int, num: int, den: int) -> tuple[int, int]:
     """(H, m): the most shingles that two linked sets of this band differ in; the parts to cut into."""
     top = _TOPS[band]
     most = (den - num) * 2 * top // (den + num)
-    return most, most + 1 + (most + 1) // 16 + 1
+    return most, most + 1 + (most + 1) // 4 + 1
 
 
 def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -113,10 +116,9 @@ def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
                 edges = np.concatenate([[0], np.cumsum(held)])
                 body = sums[edges[1:]] - sums[edges[:-1]]
                 sig = mix(body + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)))
-            thin = held < 2
-            if thin.sum() < parts - most:
-                sig = sig[~thin]
-            out.append(sig)
+            # the most shingles of the parts - most - 1 thinnest, less those that share it with others
+            least = np.partition(held, parts - most - 1)[parts - most - 1]
+            out.append(sig[held >= least])
         # the next band's sets have more than top shingles; a partner has at least num/den of that
         if den * n < num * (_TOPS[band] + 1):
             break
@@ -173,21 +175,17 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, n_shard
 
 
 def _tiles(table: pa.Table) -> pa.Table:
-    """Tiles with at least two classes: (tile, class, leader), the leader being the least class."""
+    """(tile, class) of classes that meet another; a tile is named by its least class."""
     sig = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("sig")])
     own = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("own")])
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
-    fresh = np.ones(len(sig), dtype=bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-    sig, own = sig[fresh], own[fresh]
-    head = np.ones(len(sig), dtype=bool)
-    head[1:] = sig[1:] != sig[:-1]
-    at = np.flatnonzero(head)
-    size = np.diff(np.append(at, len(sig)))
-    keep = np.repeat(size > 1, size)
-    lead = np.repeat(own[at], size)
-    return pa.table({"tile": sig[keep].view(np.int64), "class": own[keep], "leader": lead[keep]})
+    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    tile = np.repeat(own[at], np.diff(np.append(at, len(sig))))
+    met = tile != own
+    pairs = np.unique(np.stack([tile[met], own[met]]), axis=1)
+    heads = np.unique(pairs[0])
+    return pa.table({"tile": np.concatenate([pairs[0], heads]), "class": np.concatenate([pairs[1], heads])})
 
 
 def _members(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -209,24 +207,33 @@ def least_common(n: int, m: int, num: int, den: int) -> int:
     return -(-num * (n + m) // (num + den))
 
 
+def _fitting(batches: Iterator[pa.RecordBatch], num: int, den: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their bitmaps, those whose overlap the bit counts don't bound below the threshold."""
+    for batch in batches:
+        col = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+        keep = []
+        for i, (n, m, x, y) in enumerate(zip(col["size_a"], col["size_b"], col["bits_a"], col["bits_b"], strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            w = min(len(x), len(y))
+            x, y = fold(x, w), fold(y, w)
+            if min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum())) >= least_common(n, m, num, den):
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array([col[c][i] for i in keep], pa.int64()) for c in ("a", "b")], schema=schema)
+
+
 def _linked(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their bitmaps and texts, those that reach the threshold."""
+    """Of pairs with their texts, those that reach the threshold."""
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             col = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            may = []
-            for i in range(batch.num_rows):
-                n, m = col["size_a"][i], col["size_b"][i]
-                need = least_common(n, m, num, den)
-                x, y = np.frombuffer(col["bits_a"][i], np.uint64), np.frombuffer(col["bits_b"][i], np.uint64)
-                w = min(len(x), len(y))
-                x, y = fold(x, w), fold(y, w)
-                if min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum())) >= need:
-                    may.append((i, need))
-            texts = {col[s][i]: col[t][i] for i, _ in may for s, t in (("a", "text_a"), ("b", "text_b"))}
+            texts = {name: text for s in "ab" for name, text in zip(col[s], col[f"text_{s}"], strict=True)}
             sets = dict(zip(texts, shingle_sets(pa.array(unpacked(list(texts.values())), pa.binary()), k), strict=True))
-            keep = [i for i, need in may if len(np.intersect1d(sets[col["a"][i]], sets[col["b"][i]], assume_unique=True)) >= need]
+            keep = []
+            for i, (a, b) in enumerate(zip(col["a"], col["b"], strict=True)):
+                x, y = sets[a], sets[b]
+                if len(np.intersect1d(x, y, assume_unique=True)) >= least_common(len(x), len(y), num, den):
+                    keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([col[c][i] for i in keep], pa.int64()) for c in ("a", "b")], schema=schema)
 
 
@@ -243,32 +250,33 @@ class Block:
         self.root = np.array(t["root"], dtype=np.int64)[self.order]
         self.side = np.array(t["side"], dtype=np.int64)[self.order]
         self.two = t["left"][0] != t["right"][0]
-        width = min(len(b) for b in t["bits"]) // 8
-        self.bits = np.stack([fold(np.frombuffer(t["bits"][i], np.uint64), width) for i in self.order])
-        # tiles before this one that each class is in: a pair that shares one was compared there
-        tile = t["tile"][0]
-        earlier = [[x for x in t["tiles"][i] if x < tile] for i in self.order]
-        names = {x: i for i, x in enumerate(sorted({x for e in earlier for x in e}))}
-        flags = np.zeros((len(size), -(-max(1, len(names)) // 64) * 64), dtype=bool)
-        for i, e in enumerate(earlier):
-            flags[i, [names[x] for x in e]] = True
-        self.earlier = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+        bits = [np.frombuffer(t["bits"][i], np.uint64) for i in self.order]
+        self.width = np.array([len(b) for b in bits], dtype=np.int64)
+        # for each width: where it begins in order of size, and the bitmaps of this width and of twice this width
+        self.bits: dict[int, tuple[int, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            lo, hi = np.searchsorted(self.width, [w, 2 * w + 1])
+            self.bits[w] = (int(lo), np.stack([fold(b, w) for b in bits[lo:hi]]))
 
     def survivors(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(i, places) of pairs of different pieces, not met in an earlier tile, that bitmaps don't rule out."""
+        """(i, places) of pairs of different pieces that bitmaps don't rule out."""
         for i in range(len(self.size)):
             # sizes from size[i] up to size[i] * den / num
             hi = int(np.searchsorted(self.size, self.size[i] * self.den // self.num, side="right"))
             if hi <= i + 1:
                 continue
-            ok = (self.root[i + 1 : hi] != self.root[i]) & ~(self.earlier[i + 1 : hi] & self.earlier[i]).any(axis=1)
+            ok = self.root[i + 1 : hi] != self.root[i]
             if self.two:
                 ok &= self.side[i + 1 : hi] != self.side[i]
             at = np.flatnonzero(ok) + i + 1
             if len(at):
                 need = least_common(self.size[i], self.size[at], self.num, self.den)
-                fits = self.size[i] - np.bitwise_count(self.bits[i] & ~self.bits[at]).sum(axis=1, dtype=np.int64) >= need
-                fits &= self.size[at] - np.bitwise_count(self.bits[at] & ~self.bits[i]).sum(axis=1, dtype=np.int64) >= need
+                fits = np.ones(len(at), dtype=bool)
+                lo, bits = self.bits[int(self.width[i])]
+                near = at - lo < len(bits)
+                mine, theirs = bits[i - lo], bits[at[near] - lo]
+                fits[near] = self.size[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64) >= need[near]
+                fits[near] &= self.size[at[near]] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64) >= need[near]
                 if fits.any():
                     yield i, at[fits]
 
@@ -333,7 +341,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         partial(_send, k=k, num=num, den=den, n_shards=shards(spark), schema=arrow(shard=pa.int64(), sig=pa.binary(), own=pa.binary())),
         "shard long, sig binary, own binary",
     )
-    tiles = written(sent.groupBy("shard").applyInArrow(_tiles, "tile long, class long, leader long"), "jaccard-tiles")
+    tiles = written(sent.groupBy("shard").applyInArrow(_tiles, "tile long, class long").distinct(), "jaccard-tiles")
 
     # the arrays of classes that share a tile with another: one document stands for each
     wanted = tiles.select("class").distinct()
@@ -346,11 +354,16 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         .dropDuplicates(["class"]),
         "jaccard-members",
     )
-    link = partial(_linked, k=k, num=num, den=den, schema=arrow(a=pa.int64(), b=pa.int64()))
+    pair = arrow(a=pa.int64(), b=pa.int64())
+    fit = partial(_fitting, num=num, den=den, schema=pair)
+    link = partial(_linked, k=k, num=num, den=den, schema=pair)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda s: members.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "bits", "text")])
-        return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(link, "a long, b long"), "jaccard-links")
+        side = lambda s, *cols: members.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
+        near = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
+        sized = pairs.join(side("a", "size", "bits"), "a").join(side("b", "size", "bits"), "b").where(near)
+        may = written(sized.mapInArrow(fit, "a long, b long"), "jaccard-may")
+        return written(may.join(side("a", "text"), "a").join(side("b", "text"), "b").mapInArrow(link, "a long, b long"), "jaccard-links")
 
     def rooted(links: DataFrame) -> DataFrame:
         """(tile, class, root, n) of tiles that the links leave in several pieces."""
@@ -360,7 +373,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         return written(own.join(open_.select("tile", "n", F.col("lo").alias("least")), "tile"), "jaccard-open")
 
     # each class with the least leader of its tiles
-    links = verified(tiles.where("class <> leader").groupBy("class").agg(F.min("leader").alias("a")).select("a", F.col("class").alias("b")))
+    links = verified(tiles.where("class <> tile").groupBy("class").agg(F.min("tile").alias("a")).select("a", F.col("class").alias("b")))
 
     # then, in tiles still in pieces, one class of each piece with one of the first piece
     open_ = rooted(links)
@@ -379,13 +392,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         return _links_of(table, k, num, den)
 
     if not open_.isEmpty():
-        own = open_.groupBy("class").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))
         placed = written(
-            open_.join(own.join(members.select("class", "size", "bits"), "class"), "class")
+            open_.join(members.select("class", "size", "bits"), "class")
             .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("tile", "class", "root", "size", "bits", "tiles", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side")),
+            .select("tile", "class", "root", "size", "bits", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side")),
             "jaccard-blocks",
         )
         left = written(placed.groupBy("tile", "left", "right").applyInArrow(to_verify, "tile long, left int, right int, class long"), "jaccard-left")
