@@ -365,9 +365,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         may = written(sized.mapInArrow(fit, "a long, b long"), "jaccard-may")
         return written(may.join(side("a", "text"), "a").join(side("b", "text"), "b").mapInArrow(link, "a long, b long"), "jaccard-links")
 
-    def rooted(links: DataFrame) -> DataFrame:
-        """(tile, class, root, n) of tiles that the links leave in several pieces."""
-        roots = components(links).withColumnRenamed("node", "class")
+    def rooted(roots: DataFrame) -> DataFrame:
+        """(tile, class, root, n) of tiles that (class, root) leaves in several pieces."""
         own = tiles.join(roots, "class", "left").select("tile", "class", F.coalesce("root", "class").alias("root"))
         open_ = own.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
         return written(own.join(open_.select("tile", "n", F.col("lo").alias("least")), "tile"), "jaccard-open")
@@ -376,13 +375,16 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     links = verified(tiles.where("class <> tile").groupBy("class").agg(F.min("tile").alias("a")).select("a", F.col("class").alias("b")))
 
     # then, in tiles still in pieces, one class of each piece with one of the first piece
-    open_ = rooted(links)
+    # a class has one link downwards: two steps of it bring most to one root, and those that it
+    # doesn't are only compared once more than they need
+    down = links.select(F.col("a").alias("root"), F.col("b").alias("class"))
+    open_ = rooted(down.join(links.select(F.col("b").alias("root"), F.col("a").alias("_below")), "root", "left").select("class", F.coalesce("_below", "root").alias("root")))
     if not open_.isEmpty():
         pieces = open_.groupBy("tile", "root", "least").agg(F.min("class").alias("class"))
         heads = pieces.where("root = least").select("tile", F.col("class").alias("head"))
         again = pieces.where("root <> least").join(heads, "tile").select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")).distinct()
         links = links.unionByName(verified(again))
-        open_ = rooted(links)
+        open_ = rooted(components(links).withColumnRenamed("node", "class"))
 
     # what is in pieces now is compared in full, in blocks; texts come for what bitmaps leave
     def to_verify(table: pa.Table) -> pa.Table:
