@@ -402,7 +402,7 @@ def nms(spark, sf):
   SELECT a.l_orderkey, greatest(least(a.x, b.x) + 30 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 30 - greatest(a.y, b.y), 0) AS i
   FROM (SELECT l_orderkey, l_partkey, l_quantity * 2 AS x, l_discount * 400 AS y FROM lineitem WHERE l_orderkey % 7 = 0) a JOIN (SELECT l_orderkey, l_partkey, l_quantity * 2 AS x, l_discount * 400 AS y FROM lineitem WHERE l_orderkey % 7 = 0) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) a) GROUP BY 1""")
 def box_overlaps(spark, sf):
-    b = table(spark, sf, "lineitem").where("l_orderkey % 7 = 0").select("l_orderkey", "l_partkey", geometry.rect(F.col("l_quantity") * 2, F.col("l_discount") * 400, F.col("l_quantity") * 2 + 30, F.col("l_discount") * 400 + 30).alias("r"))
+    b = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", geometry.rect(F.col("l_quantity") * 2, F.col("l_discount") * 400, F.col("l_quantity") * 2 + 30, F.col("l_discount") * 400 + 30).alias("r"))
     c = b.select("l_orderkey", F.col("l_partkey").alias("other"), F.col("r").alias("s"))
     pairs = b.join(c, "l_orderkey").where("l_partkey < other").withColumn("iou", geometry.iou(F.col("r"), F.col("s")))
     return pairs.groupBy("l_orderkey").agg(F.count("*").alias("pairs"), F.round(F.sum("iou"), 6).alias("total_iou"))
