@@ -370,8 +370,8 @@ def cluster_faces(spark, sf):
 
 @_query("""SELECT o_orderkey AS id, CASE WHEN d <= 0 THEN 1 ELSE CAST(ceil(d / 5.0) AS BIGINT) END AS n FROM (SELECT o_orderkey, floor(o_totalprice / 1000) AS d FROM orders) WHERE d < 300""")
 def frame_plan_intervals(spark, sf):
-    """Frames of videos without scene changes, short enough for no cap."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("d")).where("d < 300")
+    """Frames of videos without scene changes, below the cap."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("d"))
     plan = frames.with_frame_plan(o.withColumn("cuts", F.array().cast("array<double>")), "d", "cuts", most=1000)
     return plan.select("id", F.size("frames").cast("long").alias("n"))
 

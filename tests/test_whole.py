@@ -18,3 +18,10 @@ def test_box_overlaps_has_every_order(spark, tmp_path):
     got = {r["l_orderkey"]: (r["pairs"], r["total_iou"]) for r in plans.QUERIES["box_overlaps"](spark, str(tmp_path)).collect()}
     assert {o: n for o, (n, _) in got.items()} == {o: n for o, (n, _) in want.items()}
     assert all(got[o][1] == pytest.approx(t, abs=2e-6) for o, (_, t) in want.items())
+
+
+def test_frame_plan_intervals_has_every_order(spark, tmp_path):
+    prices = [0.0, 900.0, 299_999.0, 300_000.0, 301_000.0, 499_999.0]
+    spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["id"]: r["n"] for r in plans.QUERIES["frame_plan_intervals"](spark, str(tmp_path)).collect()}
+    assert got == {i: max(1, -(-int(p // 1000) // 5)) for i, p in enumerate(prices)}
