@@ -29,6 +29,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,15 +129,22 @@ def corpus_totals(training: DataFrame) -> Totals:
 _BLOB = np.dtype([("texts", "<i8"), ("words", "<i8"), ("pairs", "<i8"), ("events", "<i8")])
 
 
+def group_name(contents: np.uint64, place: np.uint64) -> int:
+    """Different at different places even if the contents are the same."""
+    return int(mix(contents ^ mix(np.array([place], np.uint64))).view(np.int64)[0])
+
+
 def _send(batches: Iterator[pa.RecordBatch], totals: Totals, n_shards: int) -> Iterator[pa.RecordBatch]:
     """Groups of up to 2048 texts; for each group and shard the shard's words, for each word its
-    contexts, for each context the texts and how often."""
+    contexts, for each context the texts and how often. A group is named by its contents, its
+    task's partition and its number there: tasks may hold the same rows."""
     pack = zstandard.ZstdCompressor(level=1)
     word: list[np.ndarray] = []
     context: list[np.ndarray] = []
     text: list[np.ndarray] = []
     ids: list[tuple[int | None, bool]] = []
     name = np.uint64(0)
+    place = np.uint64(TaskContext.get().partitionId()) << np.uint64(32)
     tokens = 0
 
     def flush() -> pa.RecordBatch:
@@ -177,8 +185,9 @@ def _send(batches: Iterator[pa.RecordBatch], totals: Totals, n_shards: int) -> I
         for i, doc in enumerate(batch.column("doc_id").to_pylist()):
             own = words.hash[words.first[i] : words.first[i + 1]]
             if ids and (len(ids) >= _TEXTS or tokens + len(own) >= _TOKENS):
-                group = int(name.view(np.int64))
+                group = group_name(name, place)
                 yield flush()
+                place += np.uint64(1)
                 word, context, text, ids, tokens = [], [], [], [], 0
             word.append(np.append(own, END))
             context.append(np.concatenate([[_BEGIN], (mix(own) & np.uint64(0xFFFFFFFF)).astype(np.uint32)]).astype(np.uint32))
@@ -189,7 +198,7 @@ def _send(batches: Iterator[pa.RecordBatch], totals: Totals, n_shards: int) -> I
                 own_name = own.sum(dtype=np.uint64) + np.uint64((doc or 0) & 0xFFFFFFFFFFFFFFFF) + np.uint64(len(ids))
                 name = mix(np.array([name + own_name], np.uint64))[0]
     if ids:
-        group = int(name.view(np.int64))
+        group = group_name(name, place)
         yield flush()
 
 
