@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
+from string import ascii_lowercase, ascii_uppercase
 
 import ahocorasick
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: Items are searched for in rounds of about so many bytes of text, so that what a round sends to the tasks is bounded.
 ROUND_BYTES = 8 << 20
@@ -76,33 +78,57 @@ def myers_best(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: dict[int, str], rate: float, shortest: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    budgets = {i: error_budget(len(t), rate, shortest) for i, t in items.items()}
-    found: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for i, t in items.items():
-        for at, piece in pieces(t, budgets[i]):
-            found[piece].append((i, at))
-    auto = ahocorasick.Automaton()
-    for piece, where in found.items():
-        auto.add_word(piece, (len(piece), where))
-    if found:
-        auto.make_automaton()
+@dataclass
+class Items:
+    """Items under their own numbers, with their ids and edits, and an automaton of their pieces."""
+
+    texts: list[str]
+    ids: list[int | None]
+    rate: float
+    shortest: int
+
+    def built(self) -> Items:
+        self.budgets = [error_budget(len(t), self.rate, self.shortest) for t in self.texts]
+        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for i, t in enumerate(self.texts):
+            for at, piece in pieces(t, self.budgets[i]):
+                found[piece].append((i, at))
+        self.auto = ahocorasick.Automaton()
+        for piece, where in found.items():
+            self.auto.add_word(piece, (len(piece), where))
+        self.auto.make_automaton()
+        return self
+
+    def hits(self, raw: str | None) -> Iterator[tuple[int, int, int, int]]:
+        """(number, distance, hits, end) of each item that occurs in a text."""
+        text = plain(raw)
+        starts: dict[int, list[int]] = defaultdict(list)
+        for end, (size, where) in self.auto.iter(text):
+            for i, at in where:
+                starts[i].append(end + 1 - size - at)
+        for i, begins in starts.items():
+            hit = _verify(self.texts[i], self.budgets[i], sorted(begins), text)
+            if hit:
+                yield i, *hit
+
+
+def _search(batches: Iterator[pa.RecordBatch], items: Items, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    items.built()
     for batch in small_batches(batches, "text"):
         rows = []
-        ids = batch.column("doc_id").to_pylist()
-        for doc, raw in zip(ids, batch.column("text").to_pylist(), strict=True):
-            text = plain(raw)
-            starts: dict[int, list[int]] = defaultdict(list)
-            for end, (size, where) in auto.iter(text) if found else ():
-                for i, at in where:
-                    starts[i].append(end + 1 - size - at)
-            for i, begins in starts.items():
-                hit = _verify(items[i], budgets[i], sorted(begins), text)
-                if hit:
-                    rows.append((doc, i, *hit))
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows += [(doc, items.ids[i], *hit) for i, *hit in items.hits(raw)]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
+def _clean(batches: Iterator[pa.RecordBatch], items: Items, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, the column at this place, has none of the items."""
+    items.built()
+    for batch in batches:
+        keep = [next(items.hits(raw), None) is None for raw in batch.column(at).to_pylist()]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(item: str, budget: int, begins: list[int], text: str) -> tuple[int, int, int] | None:
     """(distance, hits, end) of the best place, if it is within budget; hits: places within budget."""
     best, hits, lo = None, 0, 0
@@ -121,6 +147,18 @@ def _verify(item: str, budget: int, begins: list[int], text: str) -> tuple[int,
     return None if best is None else (best[0], hits, best[1])
 
 
+def _rounds(items: DataFrame, rate: float, shortest: int) -> Iterator[Items]:
+    """Each distinct (item_id, plain text) that isn't blank, in rounds of bounded size."""
+    form = F.trim(F.regexp_replace(F.translate("text", ascii_uppercase, ascii_lowercase), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), form.alias("text")).where("text <> ''").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rounds = total // ROUND_BYTES + 1
+    for i in range(rounds):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == i).collect()
+        if own:
+            yield Items([plain(r.text) for r in own], [r.item_id for r in own], rate, shortest)
+
+
 def benchmark_hits(docs: DataFrame, items: DataFrame, rate: float = 0.05, shortest: int = 8) -> DataFrame:
     """(doc_id, item_id, distance, hits, end) for each document and each item that occurs in it.
 
@@ -128,22 +166,25 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, rate: float = 0.05, shorte
     the document is within ``rate`` of the item's length in edits, in the plain form. ``hits``
     counts the places, ``distance`` is the least, ``end`` where that ends in the plain form.
 
-    Null and blank items match nothing; null texts match no item. Repeated documents come
-    back each. Items with the same id are searched as the one that sorts first. The test set
-    is read in rounds of bounded size, each of which goes through all documents; documents
-    aren't shuffled.
+    Null and blank texts match nothing. An item is a distinct (item_id, plain form): different
+    texts under one item_id are items of their own and come back in a row each, those without
+    item_id too. Repeated documents come back each. The test set is read in rounds of bounded
+    size, each of which goes through all documents; documents aren't shuffled.
     """
     spark = docs.sparkSession
-    items = items.where("text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rounds = total // ROUND_BYTES + 1
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("hits", pa.int32()), ("end", pa.int64())])
     ddl = "doc_id long, item_id long, distance int, hits int, end long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], ddl)
-    for i in range(rounds):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == i).where("item_id is not null").collect()
-        held = {r.item_id: p for r in own if (p := plain(r.text))}
-        if held:
-            out = out.unionByName(docs.mapInArrow(partial(_search, items=held, rate=rate, shortest=shortest, schema=schema), ddl))
+    for held in _rounds(items, rate, shortest):
+        out = out.unionByName(docs.mapInArrow(partial(_search, items=held, schema=schema), ddl))
     return out
+
+
+def without_items(docs: DataFrame, items: DataFrame, rate: float = 0.05, shortest: int = 8) -> DataFrame:
+    """The rows of ``docs`` in whose text no item occurs, by the text of each row alone: doc_id is not looked at."""
+    for i, held in enumerate(_rounds(items, rate, shortest)):
+        # a task holds the items of one round
+        docs = written(docs, "clean-of-round") if i else docs
+        docs = docs.mapInArrow(partial(_clean, items=held, at=docs.columns.index("text")), docs.schema)
+    return docs

@@ -1,6 +1,6 @@
 """Text operators and stages do the whole job: repeated rows, rows without id, items that share an id."""
 
-from lumengrid.llm import language_model
+from lumengrid.llm import decontaminate, language_model
 
 
 def test_language_model_keeps_equal_partitions_apart(spark):
@@ -10,3 +10,12 @@ def test_language_model_keeps_equal_partitions_apart(spark):
     got = language_model.score_texts(docs, language_model.training_rows()).collect()
     want = [(-1 if i is None else i, len(t.split()) + 1) for p in parts for i, t in p]
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in got) == sorted(want)
+
+
+def test_items_that_share_an_id_are_all_searched(spark):
+    items = ["the first item has a dozen words or so in it", "another item under the very same id is here", "an item that came without any id at all", "a second item that came without its id"]
+    keys = [1, 1, None, None]
+    rows = spark.createDataFrame([*zip(keys, items, strict=True), (1, items[0].upper()), (None, None), (2, " .. ")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate([*items, "nothing of them"])], "doc_id long, text string")
+    got = decontaminate.benchmark_hits(docs, rows).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in got) == [(i, k or 0) for i, k in enumerate(keys)]
