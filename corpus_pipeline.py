@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengrid.llm.common import written
-from lumengrid.llm.decontaminate import benchmark_hits
+from lumengrid.llm.decontaminate import without_items
 from lumengrid.llm.language import fit_language, identify_language, training_rows
 from lumengrid.llm.mixture import pareto_mixture
 from lumengrid.llm.ngram_jaccard import near_duplicate_groups
@@ -25,11 +25,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that 5-word shingles link at a similarity of 0.8, the one with the smallest
-    doc_id stays; of rows with that same doc_id, all stay."""
-    groups = near_duplicate_groups(docs, k=5, num=80, den=100).select(F.col("doc_id").alias("_id"), "component_id")
-    stay = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_id"]), "left_semi")
+    """Of documents that 5-word shingles link at a similarity of 0.8, one row stays: that with the
+    smallest doc_id, one without doc_id only where no other has any. Texts of fewer words than a
+    shingle link as wholes, texts without words with nothing. Rows are told apart by a number of
+    their own, so those that share a doc_id or have none don't share their fate."""
+    names = docs.columns
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    groups = near_duplicate_groups(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_row")
+    stay = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first")["_row"].alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(names)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +49,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which an item of ``benchmark`` occurs."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = benchmark_hits(docs, items).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_id"]), "left_anti")
+    """Drops the rows in whose text an item of ``benchmark`` occurs; doc_id has no part in it."""
+    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

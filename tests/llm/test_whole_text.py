@@ -1,5 +1,7 @@
 """Text operators and stages do the whole job: repeated rows, rows without id, items that share an id."""
 
+import corpus_pipeline as cp
+
 from lumengrid.llm import decontaminate, language_model
 
 
@@ -19,3 +21,16 @@ def test_items_that_share_an_id_are_all_searched(spark):
     docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate([*items, "nothing of them"])], "doc_id long, text string")
     got = decontaminate.benchmark_hits(docs, rows).collect()
     assert sorted((r["doc_id"], r["item_id"] or 0) for r in got) == [(i, k or 0) for i, k in enumerate(keys)]
+
+
+def test_stages_decide_row_by_row(spark, tmp_path):
+    item = "the benchmark asks how many apples are left in the basket of the old man"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item} ok"), (None, "a clean text that nobody gave an id"), (7, f"again {item} here"), (7, "a clean text of the same id as another"), (8, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["text"] for r in cp.without_benchmark(spark, docs, str(tmp_path)).collect()} == {rows[i][1] for i in (1, 3, 4)}
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (None, text("a") + " more"), (None, text("b")), (None, text("c")), (None, text("c") + " more"), (5, text("a")), (5, text("d"))]
+    got = cp.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in got) == [(0, "b"), (0, "c"), (1, "a"), (5, "d")]
