@@ -38,16 +38,16 @@ def edits_allowed(term: str) -> int:
 
 
 class FuzzyLexicon:
-    """``terms`` are met as whole words, ``stems`` as beginnings of words; each within its edits."""
+    """``terms`` are met as whole words, ``stems`` as beginnings of words; each within its edits. A
+    stem's edits could hide in what follows it: it is allowed one less, unless ``stem_edits``."""
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], stem_edits: bool = False):
         self.child: list[dict[str, int]] = [{}]
         self.term_at: dict[int, int] = {}
         self.stem_at: dict[int, int] = {}
         self.reach = [0]
-        for words, where, spare in ((terms, self.term_at, 0), (stems, self.stem_at, 1)):
+        for words, where, spare in ((terms, self.term_at, 0), (stems, self.stem_at, 0 if stem_edits else 1)):
             for word in words:
-                # a stem's edits could hide in what follows it: it is allowed one less
                 allowed = max(0, edits_allowed(word) - spare)
                 node = 0
                 self.reach[0] = max(self.reach[0], allowed)
@@ -162,12 +162,13 @@ class ToxicityModel:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of texts, toxic and not, with each whole word ("word$") and each beginning of a word."""
+    """Counts of texts, toxic and not, with each whole word ("word$") and each beginning of a word
+    of ``shortest`` to ``longest`` letters."""
     for batch in batches:
         toxic, clean = Counter(), Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             words = set(_WORD.findall(text.lower()))
-            found = {w[:k] for w in words for k in range(shortest, min(longest, len(w)) + 1)} | {w + "$" for w in words if len(w) >= shortest}
+            found = {w[:k] for w in words for k in range(shortest, min(longest, len(w)) + 1)} | {w + "$" for w in words}
             (toxic if label > 0.5 else clean).update(found)
             (toxic if label > 0.5 else clean).update([""])
         names = sorted(set(toxic) | set(clean))
@@ -178,8 +179,10 @@ def mine_lexicon(sample: DataFrame, most: int = 400) -> tuple[list[str], list[st
     """(terms, stems) that toxic training texts have and others don't; at most ``most``.
 
     A candidate needs 3 toxic texts, 1% of them, and to be 20 times as likely in a toxic
-    text. The strongest are taken first; one that begins with, or is the beginning of, one
-    already taken that does no worse adds nothing.
+    text. The strongest are taken first; a stem that begins with, or is the beginning of, one
+    already taken that does no worse adds nothing. Whole words can have any length and are
+    taken beside the stems that cover them, as they may have edits where the stem has none
+    or ends; these don't count towards ``most``.
     """
     counts = sample.mapInArrow(partial(_candidates, shortest=4, longest=8), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = counts.where("term = ''").first()
@@ -190,18 +193,22 @@ def mine_lexicon(sample: DataFrame, most: int = 400) -> tuple[list[str], list[st
     rows = good.withColumn("odds", odds).orderBy(F.desc("toxic"), F.desc("odds"), F.desc(F.length("term")), "term").limit(50 * most).collect()
     terms: list[str] = []
     stems: list[str] = []
+    free = most
     for r in sorted(rows, key=lambda r: (-(r.toxic - 20 * r.clean), r.clean, -len(r.term), r.term)):
         word = r.term.rstrip("$")
-        if any(word.startswith(s) or s.startswith(word) for s in stems) or word in terms:
-            continue
-        (terms if r.term.endswith("$") else stems).append(word)
-        if len(terms) + len(stems) >= most:
-            break
+        if r.term.endswith("$"):
+            covered = any(word.startswith(s) for s in stems)
+            if covered or free:
+                terms.append(word)
+                free -= not covered
+        elif free and not any(word.startswith(s) or s.startswith(word) for s in stems) and word not in terms:
+            stems.append(word)
+            free -= 1
     return terms, stems
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
-    lexicon, known = FuzzyLexicon(model.terms, model.stems), {}
+    lexicon, known = FuzzyLexicon(model.terms, model.stems, stem_edits=True), {}
     for batch in batches:
         x = [context_features(t, lexicon, known) for t in batch.column("text").to_pylist()]
         known.clear()
@@ -237,7 +244,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", limi
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int) -> Iterator[pa.RecordBatch]:
-    lexicon, known = FuzzyLexicon(model.terms, model.stems), {}
+    lexicon, known = FuzzyLexicon(model.terms, model.stems, stem_edits=True), {}
     for batch in batches:
         x = []
         for text in batch.column(at).to_pylist():

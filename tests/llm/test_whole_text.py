@@ -2,7 +2,7 @@
 
 import corpus_pipeline as cp
 
-from lumengrid.llm import decontaminate, language_model
+from lumengrid.llm import decontaminate, language_model, toxicity
 
 
 def test_language_model_keeps_equal_partitions_apart(spark):
@@ -34,3 +34,16 @@ def test_stages_decide_row_by_row(spark, tmp_path):
     rows = [(1, text("a")), (None, text("a") + " more"), (None, text("b")), (None, text("c")), (None, text("c") + " more"), (5, text("a")), (5, text("d"))]
     got = cp.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in got) == [(0, "b"), (0, "c"), (1, "a"), (5, "d")]
+
+
+def test_misspelled_mined_terms_are_met(spark):
+    bad = ["you grovnax", "such grovnaxes here", "all grovnaxing again", "a zub"]
+    texts = [f"{t} number {i} of many" for i in range(200) for t in (bad[i % 4], "quiet words of peace")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(len(texts))], "doc_id long, toxic int"))
+    assert {"grovnax", "zub"} <= set(model.terms)
+    said = ["you grovnax", "you gravnax", "you zub", "you quiet"]
+    scores = {r["text"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), model).collect()}
+    assert scores["you gravnax"] > scores["you quiet"] and scores["you zub"] > scores["you quiet"]
+    lexicon = toxicity.FuzzyLexicon([], ["lowei", "abcd"], stem_edits=True)
+    assert [lexicon.match(w) for w in ("loweichen", "lawei", "laweichen", "laxeichen", "abxd")] == [0, 1, 1, 99, 99]
