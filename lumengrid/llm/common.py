@@ -1,4 +1,4 @@
-"""What the text operators share: written tables, word hashing, splits by id, neighbours by id.
+"""What the text operators share: written tables, memory of tasks, word hashing, splits by id.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D in the UTF-8 text, which is the same
 as ``[^\\x20\\x09-\\x0D]+`` on code points. Lower-casing touches A-Z alone.
@@ -6,16 +6,19 @@ as ``[^\\x20\\x09-\\x0D]+`` on code points. Lower-casing touches A-Z alone.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
-from functools import partial
+import weakref
+from collections.abc import Callable, Iterator
+from functools import partial, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,23 +30,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop) a temporary one is set for it.
+    Where the session names none, a temporary one is set for it if driver and tasks are one
+    process (tests, a laptop); on a cluster that is an error, as executors would each write to
+    their own disks.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumengrid-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once, and a lost
     executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lumengrid/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` returned, once nothing reads them any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            sc = df.sparkSession.sparkContext
+            there = sc._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def shards(spark: SparkSession) -> int:
@@ -72,6 +93,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int)
     return docs.where("text is not null").join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_id")).select("doc_id", "text", "label")
 
 
+# ---------------------------------------------------------------- memory of tasks
+
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Hand memory that is free but still held back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidy(task: Callable) -> Callable:
+    """A task's function that releases what it leaves: Python workers go on to other tasks, and
+    what one stage has held would else be held beside the next."""
+
+    @wraps(task)
+    def stream(*args, **kwargs):
+        try:
+            yield from task(*args, **kwargs)
+        finally:
+            release()
+
+    @wraps(task)
+    def group(table, *args):
+        try:
+            return task(table, *args)
+        finally:
+            release()
+
+    return stream if inspect.isgeneratorfunction(task) else group
+
+
 # ---------------------------------------------------------------- words as numbers
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,10 +153,12 @@ _UP: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if not _UP or len(_UP[0]) < n:
-        base = int(_ODD)
-        _UP[:] = [_powers(base, max(n, _CHUNK + 4096)), _powers(pow(base, -1, 1 << 64), max(n, _CHUNK + 4096))]
+    """Powers of an odd base and of its inverse modulo 2**64; those that one very long text asks for aren't kept."""
+    base, usual = int(_ODD), _CHUNK + 4096
+    if n > usual:
+        return _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+    if not _UP:
+        _UP[:] = [_powers(base, usual), _powers(pow(base, -1, 1 << 64), usual)]
     return _UP[0], _UP[1]
 
 
@@ -188,7 +244,7 @@ def spans(words: np.ndarray, k: int) -> np.ndarray:
         return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each have about ``most`` bytes; one longer text stands alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -204,9 +260,10 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4
 # ---------------------------------------------------------------- texts on their way through a shuffle
 
 
+@tidy
 def _pack(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in small_batches(batches, at, 8 << 20):
         small = pa.array([None if t is None else press.compress(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
         yield batch.set_column(at, batch.schema.names[at], small)
 
@@ -223,36 +280,17 @@ def unpacked(texts: list[bytes | None]) -> list[bytes | None]:
     return [None if t is None else press.decompress(t) for t in texts]
 
 
-# ---------------------------------------------------------------- order by id without one task
-
-RADIX = 1024
-
-
-def next_by_id(df: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """For rows with distinct, non-null long ``key``: the ``carried`` columns of the row with the
-    next larger key, as ``next_<column>``, after the last those of the first.
-
-    Keys fall into ranges of 1024 and ranges into ranges of ranges; a window never holds
-    more than 1024 rows of a range, whatever the number of rows, until few ranges are left.
-    """
-    row = F.struct(*carried)
-    levels = [df.select(key, *carried, row.alias("_row"), F.floor(F.col(key) / RADIX).cast("long").alias("_block"))]
-    own = Window.partitionBy("_block").orderBy(key)
-    inner = levels[0].withColumn("_next", F.lead("_row").over(own))
-    heads = levels[0].groupBy("_block").agg(F.min_by("_row", key).alias("_row"))
-    follow = _next_block(heads, depth=2)
-    out = inner.join(follow, "_block", "left").withColumn("_next", F.coalesce("_next", "_follow"))
-    return out.select(key, *carried, *[F.col("_next")[c].alias(f"next_{c}") for c in carried])
-
-
-def _next_block(heads: DataFrame, depth: int) -> DataFrame:
-    """(_block, _row) to (_block, _follow): the row of the next block there is; after the last the first."""
-    if depth == 0:
-        every = Window.orderBy("_block")
-        whole = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return heads.select("_block", F.coalesce(F.lead("_row").over(every), F.first("_row").over(whole)).alias("_follow"))
-    wide = heads.withColumn("_outer", F.floor(F.col("_block") / RADIX).cast("long"))
-    inner = wide.withColumn("_follow", F.lead("_row").over(Window.partitionBy("_outer").orderBy("_block")))
-    outer = wide.groupBy("_outer").agg(F.min_by("_row", "_block").alias("_row")).withColumnRenamed("_outer", "_block")
-    beyond = _next_block(outer, depth - 1).select(F.col("_block").alias("_outer"), F.col("_follow").alias("_beyond"))
-    return inner.join(beyond, "_outer", "left").select("_block", F.coalesce("_follow", "_beyond").alias("_follow"))
+def unpacked_batches(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices whose compressed texts have about ``most`` bytes when unpacked, and these texts."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        lo, held, size = 0, [], 0
+        for i, t in enumerate(batch.column(column)):
+            small = t.as_py()
+            held.append(None if small is None else press.decompress(small))
+            size += len(held[-1] or b"")
+            if size >= most:
+                yield batch.slice(lo, i + 1 - lo), held
+                lo, held, size = i + 1, [], 0
+        if held:
+            yield batch.slice(lo), held

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import discard, small_batches, tidy, written
 
 #: Items are searched for in rounds of about so many bytes of text, so that what a round sends to the tasks is bounded.
 ROUND_BYTES = 8 << 20
@@ -112,6 +112,7 @@ class Items:
                 yield i, *hit
 
 
+@tidy
 def _search(batches: Iterator[pa.RecordBatch], items: Items, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     items.built()
     for batch in small_batches(batches, "text"):
@@ -121,10 +122,11 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, schema: pa.Schema)
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
+@tidy
 def _clean(batches: Iterator[pa.RecordBatch], items: Items, at: int) -> Iterator[pa.RecordBatch]:
     """The rows whose text, the column at this place, has none of the items."""
     items.built()
-    for batch in batches:
+    for batch in small_batches(batches, at):
         keep = [next(items.hits(raw), None) is None for raw in batch.column(at).to_pylist()]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -166,25 +168,33 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, rate: float = 0.05, shorte
     the document is within ``rate`` of the item's length in edits, in the plain form. ``hits``
     counts the places, ``distance`` is the least, ``end`` where that ends in the plain form.
 
-    Null and blank texts match nothing. An item is a distinct (item_id, plain form): different
+    Null and blank texts match nothing; empty tables give no row; other columns of either table are
+    not looked at, whatever their names. An item is a distinct (item_id, plain form): different
     texts under one item_id are items of their own and come back in a row each, those without
     item_id too. Repeated documents come back each. The test set is read in rounds of bounded
     size, each of which goes through all documents; documents aren't shuffled.
     """
-    spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("hits", pa.int32()), ("end", pa.int64())])
     ddl = "doc_id long, item_id long, distance int, hits int, end long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = spark.createDataFrame([], ddl)
+    out = None
     for held in _rounds(items, rate, shortest):
-        out = out.unionByName(docs.mapInArrow(partial(_search, items=held, schema=schema), ddl))
-    return out
+        # what an earlier round found is written, so that its items leave the driver
+        done = None if out is None else written(out, "hits-of-round")
+        found = docs.mapInArrow(partial(_search, items=held, schema=schema), ddl)
+        out = found if done is None else done.unionByName(found)
+    return docs.sparkSession.createDataFrame([], ddl) if out is None else out
 
 
 def without_items(docs: DataFrame, items: DataFrame, rate: float = 0.05, shortest: int = 8) -> DataFrame:
     """The rows of ``docs`` in whose text no item occurs, by the text of each row alone: doc_id is not looked at."""
+    before = None
     for i, held in enumerate(_rounds(items, rate, shortest)):
         # a task holds the items of one round
-        docs = written(docs, "clean-of-round") if i else docs
+        if i:
+            docs = written(docs, "clean-of-round")
+            if before is not None:
+                discard(before)
+            before = docs
         docs = docs.mapInArrow(partial(_clean, items=held, at=docs.columns.index("text")), docs.schema)
     return docs

@@ -16,19 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, small_batches
+from .common import crc_remainder, small_batches, tidy
 
 #: n-grams of 1 to ORDERS characters fall into so many buckets.
 BUCKETS = 1 << 15
 ORDERS = 3
-_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 _SCALE = 30.0
 
 
 def ngram_buckets(text: str) -> np.ndarray:
     """The bucket of each n-gram of the whole text, lower-cased, non-letters as single spaces."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _LETTER[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+    letter = _LETTER[code]
     code = np.where(letter, code, np.uint32(32))
     keep = np.ones(len(code), dtype=bool)
     keep[1:] = letter[1:] | letter[:-1]
@@ -115,6 +115,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+@tidy
 def _frequencies(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     total, texts = np.zeros(BUCKETS, np.int64), 0
     for batch in small_batches(batches, "text"):
@@ -127,11 +128,27 @@ def _frequencies(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], texts), pa.int64())], schema=schema)
 
 
+@tidy
+def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, buckets, counts) of the texts that have a letter: at most one entry for each bucket."""
+    for batch in small_batches(batches, "text"):
+        rows = []
+        for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
+            at = ngram_buckets(text)
+            if len(at):
+                held = np.bincount(at, minlength=BUCKETS)
+                some = np.flatnonzero(held)
+                rows.append((doc, lang, some.astype("<i4").tobytes(), held[some].astype("<i4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+
 def fit_language(docs: DataFrame, per_language: int = 800) -> LanguageModel:
-    """Learn from ``docs`` with text, lang and doc_id. Rows with null text, lang or doc_id teach nothing.
+    """Learn from ``docs`` with text, lang and doc_id. Rows with null text, lang or doc_id teach nothing,
+    nor do texts without a letter; an empty table gives a model that answers "und". Repeated rows
+    count each.
 
     FTRL sees about ``per_language`` texts of each language, whole, chosen by a hash of
-    doc_id: a bounded sample, which the driver holds. IDF counts all rows.
+    doc_id: a bounded sample, of which the driver holds counts of buckets. IDF counts all rows.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
@@ -147,29 +164,29 @@ def fit_language(docs: DataFrame, per_language: int = 800) -> LanguageModel:
         return LanguageModel()
     idf = np.log((1 + texts) / (1 + frequency)) + 1
     chance = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # a row for each language, as the model has a column for each; texts aren't moved for it
     many = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    sample = rows.join(many, "lang").where(chance < per_language / F.col("_n")).select("doc_id", "text", "lang").collect()
-    sample.sort(key=lambda r: (r.doc_id, r.lang, r.text))
+    chosen = rows.join(F.broadcast(many), "lang").where(chance < per_language / F.col("_n")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    kinds = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("buckets", pa.binary()), ("counts", pa.binary())])
+    sample = chosen.mapInArrow(partial(_counted, schema=kinds), "doc_id long, lang string, buckets binary, counts binary").collect()
+    sample.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.buckets), bytes(r.counts)))
+    if not sample:
+        return LanguageModel()
     langs = sorted({r.lang for r in sample})
-    feats, labels = [], []
+    feats = []
     for r in sample:
-        at = ngram_buckets(r.text)
-        if len(at):
-            held = np.bincount(at, minlength=BUCKETS)
-            some = np.flatnonzero(held)
-            feats.append((some, held[some] * idf[some] * (_SCALE / len(at))))
-            labels.append(langs.index(r.lang))
-    y = np.array(labels, dtype=np.int64)
-    if not len(y):
-        return LanguageModel()
+        some, held = np.frombuffer(r.buckets, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4").astype(np.float64)
+        feats.append((some, held * idf[some] * (_SCALE / held.sum())))
+    y = np.array([langs.index(r.lang) for r in sample], dtype=np.int64)
     check = np.arange(len(y)) % 5 == 4
     w, b = ftrl([f for f, c in zip(feats, check, strict=True) if not c], y[~check], len(langs))
     logits = np.array([x @ w[at] + b for (at, x), c in zip(feats, check, strict=True) if c]).reshape(-1, len(langs))
     return LanguageModel(langs, (w * idf[:, None]).astype(np.float32), b, calibrate(logits, y[check]))
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, at):
         got = [model.predict(t) for t in batch.column(at).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
@@ -180,7 +197,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, at: int) -
 def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1), read from ``text`` alone and from all of it.
 
-    "und" and 0.0 for null texts, texts without a letter, and where nothing was learned. Columns
+    A letter is what Unicode calls one (categories L), beyond U+FFFF too. "und" and 0.0 for null texts, texts without a letter, and where nothing was learned. Columns
     lang_pred and score that ``docs`` has are replaced. Equal texts get equal answers.
     """
     docs = docs.drop("lang_pred", "score")

@@ -29,15 +29,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, packed_text, shards, small_batches, spans, unpacked, written
+from .common import Words, discard, mix, shards, small_batches, spans, tidy, unpacked, unpacked_batches, written
 from .components import components
 
 GROWTH = 1.18
+#: A block of a tile has so many classes, and so many shingles in all, or less.
 BLOCK = 1024
-_FLUSH = 1 << 21
+BLOCK_SHINGLES = 1 << 20
+#: What follows a class is dealt to so many lots, so that no task has all of a class's pairs.
+LOTS = 1024
+_FLUSH = 1 << 19
+#: So many classes a task remembers as sent.
+_SEEN = 1 << 17
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -129,16 +136,27 @@ def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
 # ---------------------------------------------------------------- tasks
 
 
-def _profile(batches: Iterator[pa.RecordBatch], k: int, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, class): the class is null for a text without words."""
-    for batch in small_batches(batches, text):
-        sets = shingle_sets(batch.column(text).fill_null(""), k)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())],
-            schema=schema,
-        )
+@tidy
+def _profile(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_shingles, class, text): the class is null for a text without words. The text goes along,
+    compressed, where this task has not met its class before."""
+    press = zstandard.ZstdCompressor(level=3)
+    seen: set[int] = set()
+    for batch in small_batches(batches, "text"):
+        sets = shingle_sets(batch.column("text").fill_null(""), k)
+        names = [digest(s) if len(s) else None for s in sets]
+        texts = []
+        for name, text in zip(names, batch.column("text"), strict=True):
+            fresh = name is not None and name not in seen
+            if fresh:
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(name)
+            texts.append(press.compress(text.as_py().encode()) if fresh else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(texts, pa.binary())], schema=schema)
 
 
+@tidy
 def _send(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, n_shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Signatures, packed for each shard they belong to: hashes, and the classes they come from.
     A class that this task has already sent is not sent again."""
@@ -159,7 +177,7 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, n_shard
     for batch in small_batches(batches, "text"):
         for hashes in shingle_sets(batch.column("text").fill_null(""), k):
             if len(hashes) and (name := digest(hashes)) not in seen:
-                if len(seen) >= 1 << 20:
+                if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(name)
                 sig = signatures(hashes, num, den)
@@ -174,6 +192,7 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, n_shard
         yield flush()
 
 
+@tidy
 def _tiles(table: pa.Table) -> pa.Table:
     """(tile, class) of classes that meet another; a tile is named by its least class."""
     sig = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("sig")])
@@ -188,18 +207,13 @@ def _tiles(table: pa.Table) -> pa.Table:
     return pa.table({"tile": np.concatenate([pairs[0], heads]), "class": np.concatenate([pairs[1], heads])})
 
 
+@tidy
 def _members(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(class, size, bits, text) of the documents asked for, if the text still is of that class.
-    The text stays compressed: it is a third of the size of its array of hashes."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
-            rows = []
-            texts = batch.column("text").to_pylist()
-            for want, hashes, text in zip(batch.column("class").to_pylist(), shingle_sets(pa.array(unpacked(texts), pa.binary()), k), texts, strict=True):
-                if len(hashes) and digest(hashes) == want:
-                    rows.append((want, len(hashes), bitmap(hashes).tobytes(), text))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+    """(class, size, bits, text). The text stays compressed: it is a third of the size of its array of hashes."""
+    for batch, texts in unpacked_batches(batches, "text"):
+        sets = shingle_sets(pa.array(texts, pa.binary()), k)
+        columns = [batch.column("class"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()), batch.column("text")]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def least_common(n: int, m: int, num: int, den: int) -> int:
@@ -207,6 +221,7 @@ def least_common(n: int, m: int, num: int, den: int) -> int:
     return -(-num * (n + m) // (num + den))
 
 
+@tidy
 def _fitting(batches: Iterator[pa.RecordBatch], num: int, den: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Of pairs with their bitmaps, those whose overlap the bit counts don't bound below the threshold."""
     for batch in batches:
@@ -221,20 +236,19 @@ def _fitting(batches: Iterator[pa.RecordBatch], num: int, den: int, schema: pa.S
         yield pa.RecordBatch.from_arrays([pa.array([col[c][i] for i in keep], pa.int64()) for c in ("a", "b")], schema=schema)
 
 
+@tidy
 def _linked(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their texts, those that reach the threshold."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            col = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            texts = {name: text for s in "ab" for name, text in zip(col[s], col[f"text_{s}"], strict=True)}
-            sets = dict(zip(texts, shingle_sets(pa.array(unpacked(list(texts.values())), pa.binary()), k), strict=True))
-            keep = []
-            for i, (a, b) in enumerate(zip(col["a"], col["b"], strict=True)):
-                x, y = sets[a], sets[b]
-                if len(np.intersect1d(x, y, assume_unique=True)) >= least_common(len(x), len(y), num, den):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([col[c][i] for i in keep], pa.int64()) for c in ("a", "b")], schema=schema)
+    """Rows in order of (a, lot, kind): a class, then those that may follow it. Of these, the pairs that
+    reach the threshold."""
+    now, head = None, np.zeros(0, np.uint64)
+    for batch, texts in unpacked_batches(batches, "text"):
+        rows = []
+        for a, kind, b, own in zip(*(batch.column(c).to_pylist() for c in ("a", "kind", "b")), shingle_sets(pa.array(texts, pa.binary()), k), strict=True):
+            if kind == 0:
+                now, head = a, own
+            elif a == now and len(np.intersect1d(head, own, assume_unique=True)) >= least_common(len(head), len(own), num, den):
+                rows.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(2)], schema=schema)
 
 
 class Block:
@@ -281,6 +295,7 @@ class Block:
                     yield i, at[fits]
 
 
+@tidy
 def _to_verify(table: pa.Table, num: int, den: int) -> pa.Table:
     """The classes of a block that have a pair left."""
     block = Block(table, num, den)
@@ -290,6 +305,7 @@ def _to_verify(table: pa.Table, num: int, den: int) -> pa.Table:
     return table.select(["tile", "left", "right", "class"]).take(pa.array(np.sort(block.order[left]), pa.int64()))
 
 
+@tidy
 def _links_of(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
     """The pairs left, intersected exactly until they join a block's pieces: a link for each joining."""
     block = Block(table, num, den)
@@ -334,7 +350,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     arrow = lambda **f: pa.schema(list(f.items()))
     profile = written(
-        docs.mapInArrow(partial(_profile, k=k, text="text", schema=arrow(doc_id=pa.int64(), n_shingles=pa.int64(), **{"class": pa.int64()})), "doc_id long, n_shingles long, class long"),
+        docs.mapInArrow(partial(_profile, k=k, schema=arrow(doc_id=pa.int64(), n_shingles=pa.int64(), **{"class": pa.int64()}, text=pa.binary())), "doc_id long, n_shingles long, class long, text binary"),
         "jaccard-profile",
     )
     sent = docs.select("text").mapInArrow(
@@ -343,17 +359,13 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     )
     tiles = written(sent.groupBy("shard").applyInArrow(_tiles, "tile long, class long").distinct(), "jaccard-tiles")
 
-    # the arrays of classes that share a tile with another: one document stands for each
+    # the texts of classes that share a tile with another
     wanted = tiles.select("class").distinct()
-    stands = profile.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi")
-    packed = packed_text(docs.where("text is not null"))
     members = written(
-        packed.join(stands, packed.doc_id.eqNullSafe(stands.doc_id))
-        .select("class", "text")
-        .mapInArrow(partial(_members, k=k, schema=arrow(**{"class": pa.int64()}, size=pa.int64(), bits=pa.binary(), text=pa.binary())), "class long, size long, bits binary, text binary")
-        .dropDuplicates(["class"]),
+        profile.where("text is not null").select("class", "text").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+        .mapInArrow(partial(_members, k=k, schema=arrow(**{"class": pa.int64()}, size=pa.int64(), bits=pa.binary(), text=pa.binary())), "class long, size long, bits binary, text binary"),
         "jaccard-members",
-    )
+    )
     pair = arrow(a=pa.int64(), b=pa.int64())
     fit = partial(_fitting, num=num, den=den, schema=pair)
     link = partial(_linked, k=k, num=num, den=den, schema=pair)
@@ -362,14 +374,21 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         side = lambda s, *cols: members.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
         near = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
         sized = pairs.join(side("a", "size", "bits"), "a").join(side("b", "size", "bits"), "b").where(near)
-        may = written(sized.mapInArrow(fit, "a long, b long"), "jaccard-may")
-        return written(may.join(side("a", "text"), "a").join(side("b", "text"), "b").mapInArrow(link, "a long, b long"), "jaccard-links")
+        lot = F.pmod(F.xxhash64("b"), F.lit(LOTS)).alias("lot")
+        may = written(sized.mapInArrow(fit, "a long, b long").select("a", "b", lot), "jaccard-may")
+        # a text goes once to each lot of those that may follow its class
+        heads = may.select("a", "lot").distinct().join(members.select(F.col("class").alias("a"), "text"), "a").select("a", "lot", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+        rest = may.join(members.select(F.col("class").alias("b"), "text"), "b").select("a", "lot", F.lit(1).alias("kind"), "b", "text")
+        streams = heads.unionByName(rest).repartition(shards(spark), "a", "lot").sortWithinPartitions("a", "lot", "kind")
+        out = written(streams.mapInArrow(link, "a long, b long"), "jaccard-links")
+        discard(may)
+        return out
 
     def rooted(roots: DataFrame) -> DataFrame:
-        """(tile, class, root, n) of tiles that (class, root) leaves in several pieces."""
+        """(tile, class, root, least) of tiles that (class, root) leaves in several pieces."""
         own = tiles.join(roots, "class", "left").select("tile", "class", F.coalesce("root", "class").alias("root"))
-        open_ = own.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        return written(own.join(open_.select("tile", "n", F.col("lo").alias("least")), "tile"), "jaccard-open")
+        open_ = own.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        return written(own.join(open_.select("tile", F.col("lo").alias("least")), "tile"), "jaccard-open")
 
     # each class with the least leader of its tiles
     links = verified(tiles.where("class <> tile").groupBy("class").agg(F.min("tile").alias("a")).select("a", F.col("class").alias("b")))
@@ -394,9 +413,10 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         return _links_of(table, k, num, den)
 
     if not open_.isEmpty():
+        own = members.select("class", "size")
+        large = open_.join(own, "class").groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         placed = written(
-            open_.join(members.select("class", "size", "bits"), "class")
-            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            open_.join(large, "tile").join(members.select("class", "size", "bits"), "class")
             .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("tile", "class", "root", "size", "bits", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side")),
@@ -405,6 +425,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
         left = written(placed.groupBy("tile", "left", "right").applyInArrow(to_verify, "tile long, left int, right int, class long"), "jaccard-left")
         final = placed.join(left, ["tile", "left", "right", "class"]).join(members.select("class", "text"), "class")
         links = links.unionByName(written(final.groupBy("tile", "left", "right").applyInArrow(links_of, "a long, b long"), "jaccard-links"))
+        discard(placed, left)
+    discard(tiles, members)
     groups = components(links)
 
     # from classes to documents

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, labelled_sample, small_batches, spans
+from .common import Words, labelled_sample, small_batches, spans, tidy
 
 BINS = 32
 COARSE = 8
@@ -70,13 +70,19 @@ class AdditiveModel:
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1) if self.edges else np.zeros((len(x), 0), np.int64)
 
+    def coarse(self, at: np.ndarray) -> np.ndarray:
+        """Bins in COARSE cells or fewer; a feature of few values keeps a cell for each."""
+        held = np.array([len(e) + 1 for e in self.edges], dtype=np.int64)
+        return at * np.minimum(held, COARSE) // np.maximum(held, 1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         at = self.bins(x)
+        cell = self.coarse(at)
         total = np.full(len(x), self.base)
         for j, table in enumerate(self.tables):
             total += table[at[:, j]]
         for i, j, table in self.pairs:
-            total += table[at[:, i] * COARSE // BINS, at[:, j] * COARSE // BINS]
+            total += table[cell[:, i], cell[:, j]]
         return 1 / (1 + np.exp(-total))
 
 
@@ -140,7 +146,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: i
             step = rate * shallow_tree(np.bincount(at[:, j], r, BINS), np.bincount(at[:, j], c, BINS), ridge)
             model.tables[j] += step
             total += step[at[:, j]]
-    coarse = at * COARSE // BINS
+    coarse = model.coarse(at)
 
     def grid(i: int, j: int, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = coarse[:, i] * COARSE + coarse[:, j]
@@ -158,6 +164,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: i
     return model
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text"):
         x = features(batch.column("text"))
@@ -176,8 +183,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", lim
     return fit_additive(x[order], rows["label"].to_numpy()[order])
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], model: AdditiveModel, at: int) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text"):
+    for batch in small_batches(batches, at):
         score = model.score(features(batch.column(at)))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 

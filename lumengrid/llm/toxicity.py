@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, small_batches, tidy, written
 
 # English terms of abuse that need no labels; words of report; words of address; quotation marks.
 TERMS = ("bastard", "clown", "disgusting", "dumb", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -138,9 +138,10 @@ def context_features(text: str, lexicon: FuzzyLexicon, known: dict[str, int]) ->
     spots = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(lower)]
     for i, (a, b, word) in enumerate(spots):
         if word in hits:
-            near = [w for _, _, w in spots[max(0, i - WINDOW) : i + WINDOW + 1]]
+            before = [w for _, _, w in spots[max(0, i - WINDOW) : i]]
+            near = before + [w for _, _, w in spots[i : i + WINDOW + 1]]
             left, right = lower[max(0, a - 40) : a], lower[b : b + 40]
-            quoted = (any(q in left[-2:] for q in QUOTES) and any(q in right[:2] for q in QUOTES)) or (any(q in left for q in QUOTES[2:]) and any(q in right for q in QUOTES[2:])) or bool(REPORT & set(near[: WINDOW]) and left.count('"') % 2 and '"' in right)
+            quoted = (any(q in left[-2:] for q in QUOTES) and any(q in right[:2] for q in QUOTES)) or (any(q in left for q in QUOTES[2:]) and any(q in right for q in QUOTES[2:])) or bool(REPORT & set(before) and left.count('"') % 2 and '"' in right)
             kind = "quoted" if quoted else "exact" if hits[word] == 0 else "edited"
             n[kind] += 1
             if not quoted and ADDRESS & set(near):
@@ -161,10 +162,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(x @ self.weights + self.base)))
 
 
+@tidy
 def _candidates(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Counts of texts, toxic and not, with each whole word ("word$") and each beginning of a word
     of ``shortest`` to ``longest`` letters."""
-    for batch in batches:
+    for batch in small_batches(batches, "text", 8 << 20):
         toxic, clean = Counter(), Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             words = set(_WORD.findall(text.lower()))
@@ -184,7 +186,7 @@ def mine_lexicon(sample: DataFrame, most: int = 400) -> tuple[list[str], list[st
     taken beside the stems that cover them, as they may have edits where the stem has none
     or ends; these don't count towards ``most``.
     """
-    counts = sample.mapInArrow(partial(_candidates, shortest=4, longest=8), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = written(sample.mapInArrow(partial(_candidates, shortest=4, longest=8), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-terms")
     totals = counts.where("term = ''").first()
     if not totals or not totals.toxic:
         return [], []
@@ -207,9 +209,10 @@ def mine_lexicon(sample: DataFrame, most: int = 400) -> tuple[list[str], list[st
     return terms, stems
 
 
+@tidy
 def _sampled(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
     lexicon, known = FuzzyLexicon(model.terms, model.stems, stem_edits=True), {}
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         x = [context_features(t, lexicon, known) for t in batch.column("text").to_pylist()]
         known.clear()
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
@@ -243,9 +246,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", limi
     return model
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int) -> Iterator[pa.RecordBatch]:
     lexicon, known = FuzzyLexicon(model.terms, model.stems, stem_edits=True), {}
-    for batch in batches:
+    for batch in small_batches(batches, at):
         x = []
         for text in batch.column(at).to_pylist():
             x.append(context_features(text or "", lexicon, known))
