@@ -6,15 +6,19 @@ whose word sequence also starts in a document with a smaller doc_id.
 1. Anchors. Of the 16-word phrases of a window, the one with the least hash is its anchor; equal
    windows have equal anchors. Each document sends its distinct anchors (about one for 18
    words), and anchors met in two documents or more are recurring. The smallest such
-   document owns the anchor.
+   document owns the anchor. Of an anchor that many documents of one task have, only the two
+   smallest are sent; the task writes down the others, to be joined with the owner.
 2. Automata. Recurring phrases are compiled into Aho-Corasick automata over word numbers,
-   sharded by owner, so that a copy meets the phrases of its source in one shard. Documents
-   stream through the automata of the shards they share anchors with, which locate each
-   occurrence. A shard that very many documents share is split by document.
-3. Confirmation. The windows around located anchors are hashed as a whole, 64 bits, and
-   gathered; a window of two documents or more is a recurring passage, and goes from all
-   but its smallest document.
+   sharded by owner, so that a copy meets the phrases of its source in one shard. A document
+   streams, whole, through the automata of the shards that the owners of its anchors are
+   in, which locate each occurrence. An owner that very many documents share anchors with
+   has a shard of its own, in parts by document.
+3. Confirmation. The windows around located anchors are hashed as a whole, 64 bits. All
+   documents that have a window meet in one shard, so a part knows at once who gives it up, but
+   for the smallest document it has seen itself; only that is compared with other parts.
 4. Each document is cut by the windows it has to give up.
+
+Documents without a recurring anchor have no window in common with others and pass no automaton.
 """
 
 from __future__ import annotations
@@ -29,12 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, packed_text, shards, small_batches, spans, unpacked, written
+from .common import Words, discard, mix, packed_text, shards, small_batches, spans, tidy, unpacked_batches, written
 
 PHRASE = 16
-#: Documents that go through one copy of a shard's automaton.
-SPLIT = 2048
-_FLUSH = 1 << 21
+#: An owner that more documents share anchors with has a shard of its own, in parts of so many documents.
+SPLIT = 256
+#: An anchor that more documents of a flush have is joined with its owner instead of gathered.
+HOT = 64
+_FLUSH = 1 << 19
+#: The shard number of what is not sent to a shard but written down: documents with a hot anchor, smallest documents of windows.
+_ASIDE = -1
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,14 +59,18 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], fore[width - 1 : width - 1 + n])
 
 
-class Sender:
-    """Packs (hash, doc_id) arrays for the shards that the hashes belong to."""
+SENT = "shard long, keys binary, docs binary"
+_SENT = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
+_ANCHORS = _SENT.append(pa.field("anchor", pa.int64()))
+
+
+class Pairs:
+    """(hash, doc_id) pairs that a task gathers."""
 
-    def __init__(self, n_shards: int):
-        self.n, self.held = n_shards, 0
+    def __init__(self):
+        self.held = 0
         self.keys: list[np.ndarray] = []
         self.docs: list[np.ndarray] = []
-        self.schema = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
 
     def add(self, keys: np.ndarray, doc: int) -> None:
         if len(keys):
@@ -66,91 +78,147 @@ class Sender:
             self.docs.append(np.full(len(keys), doc, np.int64))
             self.held += len(keys)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.held:
-            keys, docs = np.concatenate(self.keys), np.concatenate(self.docs)
-            to = (keys >> np.uint64(33)) % np.uint64(self.n)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(self.n + 1))
-            keys, docs = keys[order], docs[order]
-            rows = [(i, keys[a:b].tobytes(), docs[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            self.keys, self.docs, self.held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(self.schema)], schema=self.schema)
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs in order; none are held then."""
+        out = _distinct(self.keys, self.docs) if self.held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.keys, self.docs, self.held = [], [], 0
+        return out
 
 
-SENT = "shard long, keys binary, docs binary"
+def _distinct(keys: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, d = np.concatenate(keys), np.concatenate(docs)
+    order = np.lexsort((d, k))
+    k, d = k[order], d[order]
+    fresh = np.ones(len(k), dtype=bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    return k[fresh], d[fresh]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal keys begin, and how many there are."""
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(keys)))
+
+
+def _packed(keys: np.ndarray, docs: np.ndarray, to: np.ndarray, n_shards: int) -> list[tuple[int, bytes, bytes]]:
+    """A row for each shard."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(n_shards + 1))
+    keys, docs = keys[order], docs[order]
+    return [(i, keys[a:b].tobytes(), docs[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def _rows(rows: list[tuple], schema: pa.Schema = _SENT) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+
+def _by_key(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(33)) % np.uint64(n_shards)).astype(np.int64)
+
+
+def _by_doc(docs: np.ndarray, n_shards: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
 
 
 def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, doc) in order, and for each the smallest document of its key."""
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-    docs = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs = keys[fresh], docs[fresh]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys, docs, np.repeat(docs[at], np.diff(np.append(at, len(keys))))
+    keys, docs = _distinct([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")], [np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
+    at, size = _runs(keys)
+    return keys, docs, np.repeat(docs[at], size)
 
 
 def _anchors_of(words: np.ndarray, window: int, phrase: int) -> np.ndarray:
     return sliding_least(spans(words, phrase), window - phrase + 1)
 
 
+@tidy
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, phrase: int, n_shards: int) -> Iterator[pa.RecordBatch]:
-    out = Sender(n_shards)
+    """Documents' anchors to the shards of the anchors; a row aside for each hot anchor, with all its documents."""
+    pairs = Pairs()
+
+    def flush() -> pa.RecordBatch:
+        keys, docs = pairs.take()
+        at, size = _runs(keys)
+        hot = size > max(HOT, len(keys) >> 10)
+        aside = [(_ASIDE, None, docs[a : a + n].tobytes(), int(keys[a].view(np.int64))) for a, n in zip(at[hot], size[hot], strict=True)]
+        send = np.repeat(~hot, size) | (np.arange(len(keys)) - np.repeat(at, size) < 2)
+        keys, docs = keys[send], docs[send]
+        return _rows([(*r, None) for r in _packed(keys, docs, _by_key(keys, n_shards), n_shards)] + aside, _ANCHORS)
+
     for batch in small_batches(batches, "text"):
         words = Words(batch.column("text"), lower=False)
         for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), words.first[:-1], words.first[1:], strict=True):
             if hi - lo >= window:
-                out.add(np.unique(_anchors_of(words.hash[lo:hi], window, phrase)), doc)
-        if out.held >= _FLUSH:
-            yield from out.flush()
-    yield from out.flush()
+                pairs.add(np.unique(_anchors_of(words.hash[lo:hi], window, phrase)), doc)
+        if pairs.held >= _FLUSH:
+            yield flush()
+    if pairs.held:
+        yield flush()
 
 
+@tidy
 def _recurring(table: pa.Table) -> pa.Table:
     """(anchor, doc, owner) of anchors that more than one document has."""
     keys, docs, least = _received(table)
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(at, len(keys)))
+    _, size = _runs(keys)
     keep = np.repeat(size > 1, size)
     return pa.table({"anchor": keys[keep].view(np.int64), "doc": docs[keep], "owner": least[keep]})
 
 
-def _route(batches: Iterator[pa.RecordBatch], window: int, phrase: int, splits: dict[int, int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A document's phrases to the shards of which it owns anchors, itself to those it shares anchors with."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 1024):
-            batch = whole.slice(lo, 1024)
-            small = batch.column("text").to_pylist()
-            words = Words(pa.array(unpacked(small), pa.binary()), lower=False)
-            rows: list[tuple] = []
-            cols = (batch.column(c).to_pylist() for c in ("doc_id", "home", "owned", "shards"))
-            for i, (doc, home, owned, to) in enumerate(zip(*cols, strict=True)):
-                own = words.hash[words.first[i] : words.first[i + 1]]
-                if owned and len(own) >= window:
-                    grams = spans(own, phrase)
-                    wanted, at = np.unique(grams, return_index=True)
-                    at = at[np.isin(wanted, np.array(owned, np.int64).view(np.uint64))]
-                    low = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    body = low[at[:, None] + np.arange(phrase)].tobytes()
-                    rows += [(home, part, 0, None, None, body) for part in range(splits.get(home, 1))]
-                rows += [(shard, doc % splits.get(shard, 1), 1, doc, small[i], None) for shard in to or ()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+def _with_hot_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, owner) of the documents that were written down with a hot anchor."""
+    for batch in batches:
+        for owner, docs in zip(batch.column("owner").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+            docs = np.frombuffer(docs, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.full(len(docs), owner, np.int64))], names=["doc", "owner"])
+
+
+@tidy
+def _route(batches: Iterator[pa.RecordBatch], window: int, phrase: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A document's phrases to its own shard if it owns anchors, itself to the shards it shares anchors with."""
+    for batch, texts in unpacked_batches(batches, "text"):
+        small = batch.column("text").to_pylist()
+        words = Words(pa.array(texts, pa.binary()), lower=False)
+        rows: list[tuple] = []
+        cols = (batch.column(c).to_pylist() for c in ("doc_id", "home", "owned", "to"))
+        for i, (doc, home, owned, to) in enumerate(zip(*cols, strict=True)):
+            own = words.hash[words.first[i] : words.first[i + 1]]
+            if owned and len(own) >= window:
+                grams = spans(own, phrase)
+                wanted, place = np.unique(grams, return_index=True)
+                place = place[np.isin(wanted, np.array(owned, np.int64).view(np.uint64))]
+                low = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                body = low[place[:, None] + np.arange(phrase)].tobytes()
+                rows += [(home["shard"], part, home["parts"], 0, None, None, body) for part in range(home["parts"])]
+            rows += [(x["shard"], doc % x["parts"], x["parts"], 1, doc, small[i], None) for x in to or ()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
+@tidy
 def _locate(batches: Iterator[pa.RecordBatch], window: int, phrase: int, n_shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (shard, part, kind): an automaton of the phrases first, then the documents
-    that go through it; sends the hashes of windows whose anchor is located."""
-    out = Sender(n_shards)
-    now, ready = None, False
+    """Rows in order of (shard, part, kind): an automaton of the phrases first, then the documents that
+    go through it. Says which windows whose anchor is located have a smaller document in this part, and
+    writes down the smallest documents where another part, or a later flush, may have a smaller one."""
+    pairs = Pairs()
+    now, parts, ready, whole = None, 1, False, True
     auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for batch in batches:
-        for shard, part, kind, doc, body, more in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "kind", "doc", "body", "more")), strict=True):
+
+    def settle(over: bool) -> Iterator[pa.RecordBatch]:
+        if pairs.held:
+            keys, docs = pairs.take()
+            at, size = _runs(keys)
+            later = docs > np.repeat(docs[at], size)
+            rows = _packed(keys[later], docs[later], _by_doc(docs[later], n_shards), n_shards)
+            if parts > 1 or not whole or not over:
+                rows.append((_ASIDE, keys[at].tobytes(), docs[at].tobytes()))
+            if rows:
+                yield _rows(rows)
+
+    for batch, texts in unpacked_batches(batches, "body"):
+        for shard, part, of, kind, doc, body, more in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "parts", "kind", "doc")), texts, batch.column("more").to_pylist(), strict=True):
             if (shard, part) != now:
-                now, ready = (shard, part), False
+                yield from settle(True)
+                now, parts, ready, whole = (shard, part), of, False, True
                 auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
             if kind == 0:
                 for key in np.frombuffer(more, np.uint32).reshape(-1, phrase).tolist():
@@ -161,32 +229,38 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int, phrase: int, n_shard
             if not ready:
                 auto.make_automaton()
                 ready = True
-            own = Words(pa.array(unpacked([body]), pa.binary()), lower=False).hash
+            own = Words(pa.array([body], pa.binary()), lower=False).hash
             ends = [end for end, _ in auto.iter(tuple((own & np.uint64(0xFFFFFFFF)).tolist()))]
             if ends:
                 grams = spans(own, phrase)
                 located = np.unique(grams[np.array(ends) - phrase + 1])
                 # the windows that these phrases anchor
                 least = sliding_least(grams, window - phrase + 1)
-                out.add(np.unique(spans(own, window)[np.isin(least, located)]), doc)
-        if out.held >= _FLUSH:
-            yield from out.flush()
-    yield from out.flush()
+                pairs.add(np.unique(spans(own, window)[np.isin(least, located)]), doc)
+            if pairs.held >= _FLUSH:
+                yield from settle(False)
+                whole = False
+    yield from settle(True)
+
+
+@tidy
+def _smallest_to_shards(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
+    """What was written down about windows, to the shards of the windows."""
+    for batch in batches:
+        for keys, docs in zip(batch.column("keys").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+            keys, docs = np.frombuffer(keys, np.uint64), np.frombuffer(docs, np.int64)
+            yield _rows(_packed(keys, docs, _by_key(keys, n_shards), n_shards))
 
 
+@tidy
 def _given_up(table: pa.Table, n_shards: int) -> pa.Table:
     """Windows that a smaller document has too, packed for the shard of the document that gives them up."""
     keys, docs, least = _received(table)
     keep = docs > least
-    keys, docs = keys[keep], docs[keep]
-    to = (mix(docs.view(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(n_shards + 1))
-    keys, docs = keys[order], docs[order]
-    rows = [(i, keys[a:b].tobytes(), docs[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("shard", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())))})
+    return pa.Table.from_batches([_rows(_packed(keys[keep], docs[keep], _by_doc(docs[keep], n_shards), n_shards))])
 
 
+@tidy
 def _by_document(table: pa.Table) -> pa.Table:
     """(doc, windows) from what the shards of windows sent: a row for each document."""
     keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
@@ -198,42 +272,40 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(docs[at], pa.int64()), "windows": pa.array([keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch], window: int, at: int, digest: bool) -> Iterator[pa.RecordBatch]:
     """The text at this place without the words given up; then n_words, n_removed and, instead of
     the text, the SHA-256 of the kept words if ``digest``."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 1024):
-            batch = whole.slice(lo, 1024)
-            raw = unpacked(batch.column(at).to_pylist())
-            given = batch.column(batch.num_columns - 1).to_pylist()
-            words = Words(pa.array([t or b"" for t in raw], pa.binary()), lower=False)
-            counts, removed, out = words.counts(), [], []
-            for i, (text, gone) in enumerate(zip(raw, given, strict=True)):
-                a, b = words.first[i], words.first[i + 1]
-                keep = np.ones(b - a, dtype=bool)
-                if gone:
-                    hit = np.isin(spans(words.hash[a:b], window), np.frombuffer(gone, np.uint64))
-                    edge = np.zeros(b - a + 1, np.int64)
-                    edge[:-window] += hit
-                    edge[window:] -= hit
-                    keep = np.cumsum(edge[:-1]) == 0
-                removed.append(int((~keep).sum()))
-                if digest:
-                    parts = (text or b"").split()
-                    if removed[-1]:
-                        parts = [p for p, k in zip(parts, keep.tolist(), strict=True) if k]
-                    out.append(hashlib.sha256(b" ".join(parts)).hexdigest())
-                elif not removed[-1]:
-                    out.append(None if text is None else text.decode())
-                else:
-                    # runs of kept words with the white space between them, a line each
-                    place = np.flatnonzero(keep)
-                    runs = np.split(place, np.flatnonzero(np.diff(place) > 1) + 1) if len(place) else []
-                    out.append("\n".join(words.data[words.start[a + r[0]] : words.end[a + r[-1]]].tobytes().decode() for r in runs))
-            cols = [batch.column(c) for c in range(batch.num_columns - 1)]
-            cols[at] = pa.array(out, pa.string())
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_words", "n_removed"])
+    for batch, raw in unpacked_batches(batches, at):
+        given = batch.column(batch.num_columns - 1).to_pylist()
+        words = Words(pa.array([t or b"" for t in raw], pa.binary()), lower=False)
+        counts, removed, out = words.counts(), [], []
+        for i, (text, gone) in enumerate(zip(raw, given, strict=True)):
+            a, b = words.first[i], words.first[i + 1]
+            keep = np.ones(b - a, dtype=bool)
+            if gone:
+                hit = np.isin(spans(words.hash[a:b], window), np.frombuffer(gone, np.uint64))
+                edge = np.zeros(b - a + 1, np.int64)
+                edge[:-window] += hit
+                edge[window:] -= hit
+                keep = np.cumsum(edge[:-1]) == 0
+            removed.append(int((~keep).sum()))
+            if digest:
+                parts = (text or b"").split()
+                if removed[-1]:
+                    parts = [p for p, k in zip(parts, keep.tolist(), strict=True) if k]
+                out.append(hashlib.sha256(b" ".join(parts)).hexdigest())
+            elif not removed[-1]:
+                out.append(None if text is None else text.decode())
+            else:
+                # runs of kept words with the white space between them, a line each
+                place = np.flatnonzero(keep)
+                runs = np.split(place, np.flatnonzero(np.diff(place) > 1) + 1) if len(place) else []
+                out.append("\n".join(words.data[words.start[a + r[0]] : words.end[a + r[-1]]].tobytes().decode() for r in runs))
+        cols = [batch.column(c) for c in range(batch.num_columns - 1)]
+        cols[at] = pa.array(out, pa.string())
+        names = batch.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_words", "n_removed"])
 
 
 def windows_to_remove(docs: DataFrame, window: int = 50, phrase: int = PHRASE) -> DataFrame:
@@ -242,29 +314,35 @@ def windows_to_remove(docs: DataFrame, window: int = 50, phrase: int = PHRASE) -
     spark = docs.sparkSession
     n = shards(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    sent = docs.mapInArrow(partial(_anchors, window=window, phrase=phrase, n_shards=n), SENT)
-    found = written(sent.groupBy("shard").applyInArrow(_recurring, "anchor long, doc long, owner long"), "repeats-anchors")
-    home = F.pmod(F.xxhash64("owner"), F.lit(n)).cast("int")
-    links = found.groupBy("doc", home.alias("shard")).agg(F.collect_list(F.when(F.col("doc") == F.col("owner"), F.col("anchor"))).alias("owned"))
-    links = written(links, "repeats-links")
-    # at most one number for each shard
-    splits = {r["shard"]: -(-r["n"] // SPLIT) for r in links.groupBy("shard").agg(F.count("*").alias("n")).where(f"n > {SPLIT}").collect()}
-    wanted = links.groupBy("doc").agg(
-        F.max(F.when(F.size("owned") > 0, F.col("shard"))).alias("home"),
-        F.flatten(F.collect_list("owned")).alias("owned"),
-        F.collect_list("shard").alias("shards"),
-    )
+    sent = written(docs.mapInArrow(partial(_anchors, window=window, phrase=phrase, n_shards=n), SENT + ", anchor long"), "repeats-sent")
+    found = written(sent.where(F.col("shard") != _ASIDE).groupBy("shard").applyInArrow(_recurring, "anchor long, doc long, owner long"), "repeats-anchors")
+    # documents with a hot anchor learn its owner by a join, whose large keys Spark can split
+    aside = sent.where(F.col("shard") == _ASIDE).select("anchor", "docs")
+    owners = found.join(aside.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.min("owner").alias("owner"))
+    hot = aside.join(owners, "anchor").select("owner", "docs").mapInArrow(_with_hot_anchor, "doc long, owner long")
+    known = found.select("doc", "owner", F.when(F.col("doc") == F.col("owner"), F.col("anchor")).alias("anchor"))
+    links = written(known.unionByName(hot.withColumn("anchor", F.lit(None).cast("long"))).groupBy("doc", "owner").agg(F.collect_list("anchor").alias("owned")), "repeats-links")
+    # a shard for each hot owner, the others by hash
+    many = links.groupBy("owner").agg(F.count("*").alias("n"))
+    shard = F.when(F.col("n") > SPLIT, n + F.pmod(F.xxhash64("owner"), F.lit(1 << 60))).otherwise(F.pmod(F.xxhash64("owner"), F.lit(n)))
+    parts = F.when(F.col("n") > SPLIT, F.ceil(F.col("n") / SPLIT)).otherwise(1).cast("int")
+    homes = many.select("owner", F.struct(shard.alias("shard"), parts.alias("parts")).alias("at"))
+    wanted = links.join(homes, "owner").groupBy("doc").agg(
+        F.max(F.when(F.col("doc") == F.col("owner"), F.col("at"))).alias("home"), F.flatten(F.collect_list("owned")).alias("owned"), F.collect_set("at").alias("to"),
+    )
     packed = packed_text(docs)
-    joined = packed.join(wanted, packed.doc_id == wanted.doc).select("doc_id", "text", "home", "owned", "shards")
-    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("body", pa.binary()), ("more", pa.binary())])
-    routed = joined.mapInArrow(partial(_route, window=window, phrase=phrase, splits=splits, schema=schema), "shard int, part int, kind int, doc long, body binary, more binary")
+    joined = packed.join(wanted, packed.doc_id == wanted.doc).select("doc_id", "text", "home", "owned", "to")
+    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("body", pa.binary()), ("more", pa.binary())])
+    routed = joined.mapInArrow(partial(_route, window=window, phrase=phrase, schema=schema), "shard long, part int, parts int, kind int, doc long, body binary, more binary")
     streams = routed.repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "kind")
-    windows = streams.mapInArrow(partial(_locate, window=window, phrase=phrase, n_shards=n), SENT)
+    windows = written(streams.mapInArrow(partial(_locate, window=window, phrase=phrase, n_shards=n), SENT), "repeats-windows")
+    discard(sent, found, links)
 
     def given_up(table: pa.Table) -> pa.Table:
         return _given_up(table, n)
 
-    return windows.groupBy("shard").applyInArrow(given_up, SENT).groupBy("shard").applyInArrow(_by_document, "doc long, windows binary")
+    between = windows.where(F.col("shard") == _ASIDE).mapInArrow(partial(_smallest_to_shards, n_shards=n), SENT).groupBy("shard").applyInArrow(given_up, SENT)
+    return windows.where(F.col("shard") != _ASIDE).unionByName(between).groupBy("shard").applyInArrow(_by_document, "doc long, windows binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = PHRASE, digest: bool = False) -> DataFrame:
