@@ -72,14 +72,6 @@ def test_spans_are_equal_where_words_are():
     assert len(common.spans(h, 8)) == 0
 
 
-def test_next_by_id(spark):
-    ids = [0, 5, 1023, 1024, 5000, 10**7, 10**7 + 1, 10**13]
-    df = spark.createDataFrame([(i, i * 2) for i in ids], "doc_id long, n long")
-    got = {r[0]: r for r in common.next_by_id(df.withColumn("me", F.col("doc_id")), "doc_id", ["me", "n"]).select("doc_id", "next_me", "next_n").collect()}
-    for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
-        assert got[a][1:] == (b, 2 * b)
-
-
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (3, 9), (4, 4), (9, -5)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -112,6 +104,32 @@ def test_mixture(spark):
     assert mixture.pareto_mixture(docs.limit(0)).count() == 0
 
 
+def test_mixture_draws_rows_not_ids(spark):
+    rows = [(None, f"w{i % 7} " * 10, "en", "a", 1) for i in range(200)] + [(5, "w " * 7, "en", "b", 1) for _ in range(300)] + [(i, "w " * 7, "en", "b", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, DDL)
+    got = mixture.pareto_mixture(docs, weights=(1,), share=(1, 2), carry=("lang",)).collect()
+    for source, size in (("a", 10), ("b", 7)):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < size
+    again = mixture.pareto_mixture(docs.repartition(5), weights=(1,), share=(1, 2)).collect()
+    key = lambda r: (r["doc_id"] or -1, r["size"], r["taken"])
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    assert {r["lang"] for r in got} == {"en"}
+
+
+def test_mixture_prefers_larger_documents(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "w " * rng.choice((4, 64)), "en", "s", 1) for i in range(3000)], DDL)
+    got = mixture.pareto_mixture(docs, weights=(1,), share=(1, 4)).collect()
+    large = [r for r in got if r["size"] == 64]
+    small = [r for r in got if r["size"] == 4]
+    share = lambda rows: sum(r["taken"] > 0 for r in rows) / len(rows)
+    # inclusion probabilities are in proportion to size: 64 * p(64) / 4 and so on
+    level = 0.25 * sum(r["size"] for r in got) / sum(r["size"] ** 2 for r in got)
+    assert share(large) == pytest.approx(64 * level, rel=0.15)
+    assert share(small) == pytest.approx(4 * level, rel=0.6)
+
+
 def test_mixture_chances_follow_weights(spark):
     docs = spark.createDataFrame([(i, "w " * 5, "en", "s", 10) for i in range(2000)], DDL).withColumn("good", F.col("doc_id") % 2)
     got = mixture.pareto_mixture(docs, weights=(1,), share=(1, 2), weight=F.when(F.col("good") == 1, 4.0).otherwise(1.0)).collect()
@@ -259,6 +277,11 @@ def test_language(spark):
     assert {(r["lang_pred"], r["score"]) for r in empty.collect()} == {("und", 0.0)}
 
 
+def test_letters_beyond_the_first_plane():
+    assert not len(language.ngram_buckets("\U0001F600\U0001F600 123 \U0001D7CE"))
+    assert len(language.ngram_buckets("\U00010400"))
+
+
 def test_calibration_is_not_certain():
     logits = np.array([[5.0, 0.0]] * 50)
     labels = np.array([0] * 40 + [1] * 10)
@@ -513,6 +536,16 @@ def test_repeats_edges(spark):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_hot_passages(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(5000)}"
+    hot, other = [word() for _ in range(70)], [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(rng.randint(0, 30))] + (hot if i % 2 else other if i % 5 == 0 else []) + [word() for _ in range(rng.randint(0, 30))]) for i in range(900)]
+    docs = documents(spark, texts).repartition(3)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in repeats.remove_repeats(docs, digest=True).collect()}
+    assert got == brute_repeats(list(enumerate(texts)), 50)
+
+
 def test_sliding_least():
     x = np.random.default_rng(1).integers(0, 1 << 60, 200, dtype=np.uint64)
     for w in (1, 2, 7, 35, 200):
