@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import written
+from lumengrid.llm.common import discard, written
 from lumengrid.llm.decontaminate import without_items
 from lumengrid.llm.language import fit_language, identify_language, training_rows
 from lumengrid.llm.mixture import pareto_mixture
@@ -17,7 +17,9 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those that no language claims; lang stays as it was."""
+    """Drops texts without a letter (null and empty ones among them) and those that no language claims, by
+    the text of each row alone; lang stays as it was. Where no text has a lang, nothing can be learned,
+    every text is unknown and all go."""
     names = docs.columns
     model = fit_language(training_rows(docs))
     kept = identify_language(docs, model)
@@ -54,10 +56,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each document, ``copies`` of it, and its words in the mix."""
-    mix = pareto_mixture(docs)
+    """What the mix takes: the documents with their columns, how often each is in it (``copies``) and its
+    words in it. Rows are drawn each for itself, whatever their doc_id; those of null source are a
+    source of their own; rows of null, empty or wordless text have no words to give and go. An empty
+    table gives an empty mix."""
+    mix = pareto_mixture(docs, carry=tuple(docs.columns))
     copies = F.coalesce(F.try_divide(F.col("taken"), F.col("size")), F.lit(0)).cast("long")
-    return mix.select("doc_id", "source", "size", "source_size", "target", "taken", copies.alias("copies")).where("taken > 0")
+    added = ["size", "source_size", "target", "taken"]
+    return mix.select(*[c for c in docs.columns if c not in (*added, "copies")], *added, copies.alias("copies")).where("taken > 0")
 
 
 STAGES = [
@@ -75,7 +81,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name}")
+            out = written(out, f"stage-{name}")
+            discard(docs)
+        docs = out
     return docs
