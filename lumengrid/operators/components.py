@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from ..scratch import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,124 +1,154 @@
-"""Vectors of faces: matching against a library, nearest neighbours, centroids."""
+"""Vectors of faces: matching against a library, nearest neighbours, centroids.
+
+Two tables of vectors are compared block by block: each side is dealt to blocks of bounded
+size, every block of one side meets every block of the other in one task, and a task hands on
+only the best of each row. Vectors of different sizes are not compared; rows without a vector
+have no part in it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A library or block of vectors is broadcast in pieces of about so many numbers.
-BLOCK_NUMBERS = 4 << 20
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
-
-
-def _against(batches: Iterator[pa.RecordBatch], keys: np.ndarray, vectors: np.ndarray, least: float, most: int | None) -> Iterator[pa.RecordBatch]:
-    """(id, key, similarity) of each row with each key, by blocks of a matrix product; the best sample of a key counts."""
-    names, at = np.unique(keys, return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    heads = np.searchsorted(at[order], np.arange(len(names)))
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            ids = np.array(part.column("id").to_pylist(), np.int64)
-            rows = _matrix(part.column("embedding"))
-            same = np.clip(rows @ vectors[order].T, -1, 1) if rows.shape[1] == vectors.shape[1] else np.zeros((len(rows), len(order)))
-            best = np.maximum.reduceat(same, heads, axis=1)
-            own = names[None, :] == ids[:, None] if most is not None else np.zeros_like(best, dtype=bool)
-            ok = (best >= least) & ~own
-            if most is not None and best.shape[1] > most:
-                # the most similar, ties to the lower key
-                rank = np.argsort(np.argsort(np.where(ok, -best, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
-                ok &= rank < most
-            i, j = np.nonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(names[j]), pa.array(best[i, j])], names=["id", "key", "similarity"])
-
-
-def _blocks(df: DataFrame, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows of (key, embedding) in blocks of bounded size, one at a time, whole keys together."""
-    size = df.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    parts = max(1, -(-(size["n"] or 0) * (size["d"] or 0) // BLOCK_NUMBERS))
-    for i in range(parts):
-        own = df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i).orderBy(key).select(key, "embedding").toArrow()
-        if own.num_rows:
-            yield np.array(own.column(key).to_pylist(), np.int64), _matrix(own.column("embedding"))
-
-
-def _joined(queries: DataFrame, others: DataFrame, key: str, least: float, most: int | None) -> DataFrame:
-    spark = queries.sparkSession
-    ddl = "id long, key long, similarity double"
-    out = spark.createDataFrame([], ddl)
-    for keys, vectors in _blocks(others, key):
-        out = out.unionByName(queries.select("id", "embedding").mapInArrow(partial(_against, keys=keys, vectors=vectors, least=least, most=most), ddl))
-    return out
-
-
-def similarities(queries: DataFrame, library: DataFrame, least: float = -1.0) -> DataFrame:
-    """(id, person_id, similarity): each query (id, embedding) with each person of the library
-    (person_id, embedding), by the person's most similar sample."""
-    return _joined(queries, library.where(F.size("embedding") > 0), "person_id", least, None).withColumnRenamed("key", "person_id")
-
-
-def ranked(similar: DataFrame, most: int = 3) -> DataFrame:
+#: A block holds about so many numbers.
+BLOCK_NUMBERS = 1 << 17
+
+_PAIR = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("similarity", pa.float64())])
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size as rows."""
+    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _best_of_blocks(least: float, most: int, slack: float, apart: bool) -> Callable[[pa.Table], pa.Table]:
+    """A task's work on two blocks: of each row of the first the ``most`` best keys of the second that
+    reach ``least``, and those less than ``slack`` below the last of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = (table.filter(pc.equal(table.column("side"), side)) for side in (0, 1))
+        if not left.num_rows or not right.num_rows:
+            return _PAIR.empty_table()
+        keys, at = np.unique(right.column("id").to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        heads = np.searchsorted(at[order], np.arange(len(keys)))
+        ids = left.column("id").to_numpy()
+        # a key with several vectors counts by the nearest
+        near = np.maximum.reduceat(np.clip(_matrix(left.column("embedding")) @ _matrix(right.column("embedding"))[order].T, -1, 1), heads, axis=1)
+        if apart:
+            near[keys[None, :] == ids[:, None]] = -np.inf
+        floor = np.partition(near, -most, axis=1)[:, -most] if near.shape[1] > most else np.full(len(ids), -np.inf)
+        i, j = np.nonzero((near >= least) & ((near >= floor[:, None]) | (near > floor[:, None] - slack)))
+        group = np.full(len(i), left.column("group")[0].as_py(), np.int64)
+        return pa.table([group, ids[i], keys[j], near[i, j]], schema=_PAIR)
+
+    return run
+
+
+def best_keys(rows: DataFrame, others: DataFrame, most: int, least: float = -1.0, slack: float = 0.0, apart: bool = False) -> DataFrame:
+    """(group, id, key, similarity, rank): the ``most`` nearest keys of each row, and those less than
+    ``slack`` below the last of them; ties by key.
+
+    Both tables have (group, id, embedding), the second's ids being the keys; only vectors of one
+    group and size are compared. ``apart``: a row's own id is no key for it.
+    """
+    dim = F.size("embedding").alias("dim")
+    left = rows.where(F.size("embedding") > 0).select("group", "id", "embedding", dim)
+    right = others.where(F.size("embedding") > 0).select("group", "id", "embedding", dim)
+    count = lambda df, name: df.groupBy("group", "dim").agg(F.ceil(F.count("*") * F.col("dim") / BLOCK_NUMBERS).cast("int").alias(name))
+    blocks = count(left, "n_left").join(count(right, "n_right"), ["group", "dim"])
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        (own, n_own), (other, n_other) = (("i", "n_left"), ("j", "n_right"))[:: 1 - 2 * side]
+        placed = df.join(blocks, ["group", "dim"]).withColumn(own, F.pmod(F.xxhash64("id", "embedding"), F.col(n_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select("group", "dim", "i", "j", "id", "embedding", F.lit(side).alias("side"))
+
+    met = dealt(left, 0).unionByName(dealt(right, 1)).groupBy("group", "dim", "i", "j")
+    found = met.applyInArrow(_best_of_blocks(least, most, slack, apart), "group long, id long, key long, similarity double")
+    found = found.groupBy("group", "id", "key").agg(F.max("similarity").alias("similarity"))
+    ranks = found.withColumn("rank", F.row_number().over(Window.partitionBy("group", "id").orderBy(F.desc("similarity"), "key")))
+    if not slack:
+        return ranks.where(F.col("rank") <= most)
+    last = F.max(F.when(F.col("rank") == most, F.col("similarity"))).over(Window.partitionBy("group", "id"))
+    near = F.coalesce(F.col("similarity") > last - slack, F.lit(True))
+    return ranks.withColumn("near", near).where((F.col("rank") <= most) | F.col("near")).drop("near")
+
+
+def best_persons(queries: DataFrame, library: DataFrame, most: int = 3, slack: float = 0.0) -> DataFrame:
+    """(id, person_id, similarity, rank): each query (id, embedding) with the nearest persons of the
+    library (person_id, embedding), by the person's most similar sample."""
+    one = F.lit(0).cast("long").alias("group")
+    found = best_keys(queries.select(one, "id", "embedding"), library.select(one, F.col("person_id").alias("id"), "embedding"), most, slack=slack)
+    return found.select("id", F.col("key").alias("person_id"), "similarity", "rank")
+
+
+def ranked(queries: DataFrame, library: DataFrame, most: int = 3) -> DataFrame:
     """The best persons of each query, with their rank from 1 and the score of the second."""
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "person_id")
-    top = similar.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(most, 2))
+    top = best_persons(queries, library, max(most, 2))
     second = F.max(F.when(F.col("rank") == 2, F.col("similarity"))).over(Window.partitionBy("id"))
     return top.withColumn("runner_up", second).where(F.col("rank") <= most)
 
 
-def matches(similar: DataFrame, threshold: float = 0.42, margin: float = 0.05) -> DataFrame:
+def matches(queries: DataFrame, library: DataFrame, threshold: float = 0.42, margin: float = 0.05) -> DataFrame:
     """(id, person_id, similarity, runner_up) of queries whose best person reaches the threshold and
     leads the second by the margin."""
-    best = ranked(similar, 1)
     lead = F.col("runner_up").isNull() | (F.col("similarity") - F.col("runner_up") >= margin)
-    return best.where((F.col("similarity") >= threshold) & lead).select("id", "person_id", "similarity", "runner_up")
+    return ranked(queries, library, 1).where((F.col("similarity") >= threshold) & lead).select("id", "person_id", "similarity", "runner_up")
 
 
-def neighbours(vectors: DataFrame, k: int = 12, least: float = 0.45) -> DataFrame:
-    """(src, dst, similarity): for each vector its k most similar others that reach ``least``, ties to
-    the lower id, and the same links the other way round. Exact: every vector is compared with
-    all, a block of bounded size at a time. k = 0 gives none."""
+def neighbours_within(vectors: DataFrame, k: int = 12, least: float = 0.45) -> DataFrame:
+    """(group, src, dst, similarity): for each vector (group, id, embedding) its k most similar others of
+    the group that reach ``least``, ties to the lower id, and the same links the other way round.
+    Exact: every vector is compared with all of its group. k = 0 gives none."""
     if k <= 0:
-        return vectors.sparkSession.createDataFrame([], "src long, dst long, similarity double")
-    near = _joined(vectors, vectors, "id", least, k)
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "key")
-    top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias("src"), F.col("key").alias("dst"), "similarity")
-    back = top.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity")
-    return top.unionByName(back).groupBy("src", "dst").agg(F.max("similarity").alias("similarity"))
+        return vectors.sparkSession.createDataFrame([], "group long, src long, dst long, similarity double")
+    top = best_keys(vectors, vectors, k, least, apart=True).select("group", F.col("id").alias("src"), F.col("key").alias("dst"), "similarity")
+    back = top.select("group", F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity")
+    return top.unionByName(back).groupBy("group", "src", "dst").agg(F.max("similarity").alias("similarity"))
 
 
-def centroids(members: DataFrame, group: str) -> DataFrame:
-    """(group, centroid, size): the mean direction of each group's vectors of the group's first size.
+def neighbours(vectors: DataFrame, k: int = 12, least: float = 0.45) -> DataFrame:
+    """(src, dst, similarity) of all vectors (id, embedding), as one group."""
+    one = vectors.select(F.lit(0).cast("long").alias("group"), "id", "embedding")
+    return neighbours_within(one, k, least).drop("group")
 
-    ``members`` has the group, id and embedding. Sums are taken number by number, so a group
-    of any size is added up by all tasks.
+
+def vector_sums(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, total, size): the sum and number of each group's vectors of the group's first size.
+
+    ``members`` has the group's columns, id and embedding. Sums are taken number by number, so a
+    group of any size is added up by all tasks.
     """
-    first = members.groupBy(group).agg(F.min_by(F.size("embedding"), "id").alias("_dim"))
-    fitting = members.join(first, group).where(F.size("embedding") == F.col("_dim"))
-    sums = fitting.select(group, F.posexplode("embedding").alias("pos", "x")).groupBy(group, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    count = fitting.groupBy(group).agg(F.count("*").alias("size"))
-    parts = sums.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("parts"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = F.when(F.col("norm") > 1e-12, F.transform("parts", lambda p: p["x"] / F.col("norm"))).otherwise(F.transform("parts", lambda p: p["x"]))
-    return parts.join(count, group).select(group, unit.alias("centroid"), "size")
+    first = members.groupBy(*by).agg(F.min_by(F.size("embedding"), "id").alias("_dim"))
+    fitting = members.join(first, by).where(F.size("embedding") == F.col("_dim"))
+    sums = fitting.select(*by, F.posexplode("embedding").alias("pos", "x")).groupBy(*by, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "x")))
+    return sums.groupBy(*by).agg(F.transform(parts, lambda p: p["x"]).alias("total"), F.max("n").alias("size"))
+
+
+def centroids(members: DataFrame, *by: str) -> DataFrame:
+    """(by, centroid, size): the mean direction of each group's vectors of the group's first size."""
+    norm = F.sqrt(F.aggregate("total", F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = F.transform("total", lambda x: F.when(F.col("_norm") > 1e-12, x / F.col("_norm")).otherwise(x))
+    return vector_sums(members, list(by)).withColumn("_norm", norm).select(*by, unit.alias("centroid"), "size")
 
 
-def cohesion(members: DataFrame, group: str) -> DataFrame:
-    """(group, cohesion): the mean cosine of a group's vectors with its centroid."""
+def cohesion(members: DataFrame, *by: str) -> DataFrame:
+    """(by, cohesion): the mean cosine of a group's vectors with its centroid."""
     from ..functions.geometry import cosine
 
-    joined = members.join(centroids(members, group), group)
-    return joined.groupBy(group).agg(F.avg(cosine(F.col("embedding"), F.col("centroid"))).alias("cohesion"))
+    joined = members.join(centroids(members, *by), list(by))
+    return joined.groupBy(*by).agg(F.avg(cosine(F.col("embedding"), F.col("centroid"))).alias("cohesion"))
 
 
 def suggest_for_clusters(members: DataFrame, group: str, library: DataFrame, threshold: float = 0.42, margin: float = 0.05) -> DataFrame:
     """A person for each cluster whose centroid matches one."""
     queries = centroids(members, group).select(F.col(group).alias("id"), F.col("centroid").cast("array<float>").alias("embedding"))
-    return matches(similarities(queries, library), threshold, margin).withColumnRenamed("id", group)
+    return matches(queries, library.select("person_id", F.col("embedding").cast("array<float>").alias("embedding")), threshold, margin).withColumnRenamed("id", group)

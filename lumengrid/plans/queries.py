@@ -327,13 +327,13 @@ def _library(spark, sf):
 @_query("SELECT id, rank, person_id, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 3")
 def vector_rank_top3(spark, sf):
     queries, library = _library(spark, sf)
-    return vectors.ranked(vectors.similarities(queries, library)).select("id", F.col("rank").cast("long").alias("rank"), "person_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.ranked(queries, library).select("id", F.col("rank").cast("long").alias("rank"), "person_id", F.round("similarity", 6).alias("similarity"))
 
 
 @_query("""SELECT a.id, a.person_id, round(a.similarity, 6) AS similarity, round(b.similarity, 6) AS runner_up FROM ranked a LEFT JOIN ranked b ON b.id = a.id AND b.rank = 2 WHERE a.rank = 1 AND a.similarity >= 0.25 AND (b.similarity IS NULL OR a.similarity - b.similarity >= 0.02)""")
 def vector_match_one(spark, sf):
     queries, library = _library(spark, sf)
-    return vectors.matches(vectors.similarities(queries, library), 0.25, 0.02).select("id", "person_id", F.round("similarity", 6).alias("similarity"), F.round("runner_up", 6).alias("runner_up"))
+    return vectors.matches(queries, library, 0.25, 0.02).select("id", "person_id", F.round("similarity", 6).alias("similarity"), F.round("runner_up", 6).alias("runner_up"))
 
 
 @_query("""SELECT src, dst, round(max(similarity), 6) AS similarity FROM (SELECT src, dst, similarity FROM k WHERE rank <= 3 UNION ALL SELECT dst, src, similarity FROM k WHERE rank <= 3) GROUP BY 1, 2""".replace("FROM k", "FROM (SELECT a.id AS src, b.id AS dst, greatest(-1, least(1, list_dot_product(a.v, b.v))) AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS rank FROM vectors a JOIN vectors b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) >= 0.3) k"))
@@ -353,15 +353,15 @@ def centroid_cohesion(spark, sf):
 
 @_query()
 def match_frame(spark, sf):
-    """No person twice in a medium: a greedy choice in order, which tests hold against plain Python."""
+    """No person twice in a medium: a greedy choice in order; tests/test_vectors.py holds it against plain Python."""
     queries, library = _library(spark, sf)
     return clustering.match_frames(queries, library, clustering.MatchSettings(0.25, 0.02))
 
 
 @_query()
 def cluster_faces(spark, sf):
-    """Labels spread in a fixed shuffled order, which tests hold against plain Python."""
-    v = roles.vectors(spark, sf).withColumn("shoot_id", F.lit(1).cast("long"))
+    """Labels spread in a fixed shuffled order, shoot by shoot; tests/test_vectors.py holds it against plain Python."""
+    v = roles.vectors(spark, sf).withColumn("shoot_id", F.pmod(F.col("media_id"), F.lit(4)))
     return clustering.cluster_faces(v, clustering.ClusterSettings(edge=0.30))
 
 

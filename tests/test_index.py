@@ -163,39 +163,6 @@ def test_matching(spark):
     assert free == {1: 1, 2: 1}
 
 
-def test_unique_choice_rules():
-    choose = lambda scores, **k: clustering.assign_uniquely(scores, clustering.MatchSettings(**k))
-    # within the margin and nobody taken: skipped for good
-    assert choose({1: [(1, 0.9), (2, 0.88)]}) == {}
-    # within the margin, but the runner-up is taken by then: accepted
-    assert {f: v[0] for f, v in choose({1: [(2, 0.95), (1, 0.2)], 2: [(1, 0.9), (2, 0.88)]}).items()} == {1: 2, 2: 1}
-    assert choose({1: [(1, 0.41)]}) == {}
-
-
-def views(identity, n, dims):
-    out = []
-    for i in range(n):
-        v = [0.0] * dims
-        v[identity] = 1.0
-        v[dims - 1] = 0.02 * i
-        norm = sum(x * x for x in v) ** 0.5
-        out.append([x / norm for x in v])
-    return out
-
-
-def test_clustering(spark):
-    data = [v for identity, n in ((0, 8), (1, 6), (2, 5)) for v in views(identity, n, 6)] + [[0.0, 0.0, 0.0, 0.0, 1.0, 0.0]]
-    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(data)], "id long, shoot_id long, embedding array<float>")
-    got = clustering.cluster_faces(df).collect()
-    sizes = {}
-    for r in got:
-        sizes.setdefault(r["cluster"], []).append(r["id"])
-    assert [len(sizes[k]) for k in (0, 1, 2)] == [8, 6, 5]
-    assert sizes[None] == [19]
-    assert clustering.cluster_faces(df.limit(1)).first()["cluster"] is None
-    assert rows(clustering.numbered_labels(clustering.cluster_faces(df)).orderBy("cluster"), "label") == [("Unknown Person 1",), ("Unknown Person 2",), ("Unknown Person 3",)]
-
-
 def test_export_names():
     taken = set()
     assert [export.free_name(n, taken) for n in ("IMG_0231.JPG", "img_0231.jpg", "IMG_0231.JPG")] == ["IMG_0231.JPG", "img_0231 (2).jpg", "IMG_0231 (3).JPG"]
