@@ -1,4 +1,4 @@
-"""What the text operators share: written tables, memory of tasks, word hashing, splits by id.
+"""What the text operators share: memory of tasks, word hashing, splits by id.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D in the UTF-8 text, which is the same
 as ``[^\\x20\\x09-\\x0D]+`` on code points. Lower-casing touches A-Z alone.
@@ -8,9 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import inspect
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
 from functools import partial, wraps
 
@@ -21,50 +18,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-# ---------------------------------------------------------------- tables between steps
+from ..scratch import discard, written
 
+__all__ = ["discard", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary one is set for it if driver and tasks are one
-    process (tests, a laptop); on a cluster that is an error, as executors would each write to
-    their own disks.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lumengrid-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it is computed once, and a lost
-    executor costs no recomputation of what lies before."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lumengrid/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``written`` returned, once nothing reads them any more."""
-    for df in tables:
-        if path := _PATHS.pop(df, None):
-            sc = df.sparkSession.sparkContext
-            there = sc._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shards(spark: SparkSession) -> int:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, discard, mix, shards, small_batches, spans, tidy, unpacked, unpacked_batches, written
-from .components import components
+from ..operators.components import components
 
 GROWTH = 1.18
 #: A block of a tile has so many classes, and so many shingles in all, or less.

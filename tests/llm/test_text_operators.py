@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumengrid.llm import common, decontaminate, fingerprint, fixity, language, language_model, mixture, ngram_jaccard, quality, repeats, toxicity
-from lumengrid.llm.components import components
+from lumengrid.operators.components import components
 from lumengrid.llm.elias_fano import EliasFano
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
