@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import nocase, trimmed
 from ..schema import REFERENCES, State, conform
+from ..scratch import numbered
 from .summaries import cluster_covers
 
 MOST_ATTEMPTS = 3
@@ -54,11 +55,10 @@ def _many(state: State, ids, guard: Column | None = None, /, **values) -> State:
 
 
 def inserted(state: State, table: str, rows: DataFrame, order: list[str]) -> State:
-    """Rows appended with the ids that follow the largest, in ``order``; defaults fill what is missing.
-    The new rows are numbered in one task: they are one change's worth."""
+    """Rows appended with the ids that follow the largest, in ``order``; defaults fill what is missing."""
     base = state[table].agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-    numbered = rows.join(F.broadcast(base)).withColumn("id", F.col("_base") + F.row_number().over(Window.orderBy(*order)))
-    return {**state, table: state[table].unionByName(conform(numbered, table), allowMissingColumns=True)}
+    fresh = numbered(rows, order, "_n").join(F.broadcast(base)).withColumn("id", F.col("_base") + F.col("_n"))
+    return {**state, table: state[table].unionByName(conform(fresh, table), allowMissingColumns=True)}
 
 
 def deleted(state: State, table: str, gone: DataFrame) -> State:
@@ -121,9 +121,10 @@ def refresh_face_counts(state: State) -> State:
     return {**state, "media": df.select(*state["media"].columns)}
 
 
-def reset_analysis(state: State, shoot_id: int) -> State:
+def reset_analysis(state: State, shoot_id: int, now: str = "") -> State:
     """Forgets what was found in a shoot: faces, detections, clusters (named ones too) and albums; its
-    media are to be analysed again, its open jobs are cancelled and finished ones cleared."""
+    media are to be analysed again. Its open jobs are cancelled, cancelled and done ones cleared; failed
+    ones stay."""
     own = F.col("shoot_id") == shoot_id
     out = state
     for table in ("faces", "clusters", "albums"):
@@ -131,7 +132,7 @@ def reset_analysis(state: State, shoot_id: int) -> State:
     media = out["media"].where(own).select(F.col("id").alias("media_id"))
     out = {**out, "video_detections": out["video_detections"].join(media, "media_id", "left_anti").select(*state["video_detections"].columns)}
     out = changed(out, "media", own, processing_status="indexed", face_count=0, error=None)
-    return {**out, "jobs": out["jobs"].where(~own)}
+    return clear_finished(cancel_jobs(out, shoot_id, now), shoot_id)
 
 
 def remove_faces_of_media(state: State, media_id: int) -> State:

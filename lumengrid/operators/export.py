@@ -10,9 +10,10 @@ from functools import partial
 from pathlib import PurePath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..functions.scalars import safe_component
 from ..schema import State
 
@@ -44,12 +45,10 @@ def export_groups(state: State, shoot_id: int, options: ExportOptions, present:
 
 
 def _deduplicated(table: pa.Table, order: list[str]) -> pa.Table:
-    """A column ``target`` with names that don't collide, in order: ' (2)', ' (3)' before the last stop."""
+    """(_row, target) of a scope where a file is named like a copy: gone through in order."""
     rows = sorted(table.to_pylist(), key=lambda r: tuple((r[c] is None, r[c]) for c in order))
     taken: set[str] = set()
-    for r in rows:
-        r["target"] = free_name(r["filename"], taken)
-    return pa.Table.from_pylist(rows, schema=table.schema.append(pa.field("target", pa.string())))
+    return pa.table({"_row": pa.array([r["_row"] for r in rows], pa.int64()), "target": pa.array([free_name(r["filename"], taken) for r in rows], pa.string())})
 
 
 def free_name(name: str, taken: set[str]) -> str:
@@ -67,13 +66,28 @@ def free_name(name: str, taken: set[str]) -> str:
 
 def deduplicated(files: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     """``files`` with ``target``: file names of one scope (a folder of a group) made distinct, in order.
-    A name such as 'a (2).jpg' that is there already keeps its place, so a scope is gone through in order."""
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", target string"
+
+    The second of a name gets ' (2)' before the last stop, and so on. Where a file's own name looks like
+    that, 'a (2).jpg' that is there already keeps its place; only names of that stem are gone through in order.
+    """
+    stem, ext = F.regexp_extract("filename", r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"(?s)^(.+?)(\.[^.]*)?$", 2)
+    # names that can collide with each other have one root: the stem without any ' (n)' at its end
+    root = F.lower(F.concat(F.regexp_replace(stem, r"( \(\d+\))+$", ""), ext))
+    rows = written(files.withColumn("_row", F.monotonically_increasing_id()).withColumn("_root", root), "export-names")
+    by = [*scope, "_root"]
+    literal = rows.where(F.lower("filename") != F.col("_root")).select(*[F.col(c).alias(f"_by_{c}") for c in by]).distinct().withColumn("_literal", F.lit(True))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    marked = rows.join(literal, same, "left").select(*rows.columns, "_literal")
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.asc_nulls_last(c) for c in order], "_row"))
+    copy = F.when(n == 1, F.col("filename")).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext))
+    plain = marked.where("_literal is null").withColumn("target", copy).select(*files.columns, "target")
+    needed = list(dict.fromkeys([*by, *order, "filename", "_row"]))
 
     def run(table: pa.Table) -> pa.Table:
-        return _deduplicated(table, order)
+        return _deduplicated(table, [*order, "_row"])
 
-    return files.groupBy(*scope).applyInArrow(run, ddl)
+    walked = marked.where("_literal").select(*needed).groupBy(*by).applyInArrow(run, "_row long, target string")
+    return plain.unionByName(rows.join(walked, "_row").select(*files.columns, "target"))
 
 
 def export_plan(groups: DataFrame, options: ExportOptions) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou, rect
@@ -101,3 +101,34 @@ def anchor_box(index: Column, level: Column, size: Column, distances: Column, sc
     x, y = (cell % grid) * stride, F.floor(cell / grid) * stride
     d = lambda i: F.element_at(distances, i) * stride
     return rect((x - d(1)) / scale, (y - d(2)) / scale, (x + d(3)) / scale, (y + d(4)) / scale)
+
+
+def scrfd_faces(outputs: DataFrame, key: str, size: float, threshold: float, anchors: int = 2) -> DataFrame:
+    """(key, level, index, score, box, landmarks) of a detector's raw outputs.
+
+    ``outputs`` has (key, rows, channels, values, scale): an array of rows * channels numbers for each
+    output, 1 channel for scores, 4 for distances of a box, 10 for five points, ``scale`` as in
+    ``anchor_box``. Of each kind the output with most rows is level 0, stride 8, the next level 1 and
+    so on. Rows below ``threshold`` go; a level whose rows don't fill its grid is skipped; scores and boxes that
+    differ in number are an error. Without points, ``landmarks`` is null.
+    """
+    level = (F.row_number().over(Window.partitionBy(key, "channels").orderBy(F.desc("rows"))) - 1).alias("level")
+    leveled = outputs.select(key, "channels", "rows", "values", "scale", level)
+    side = lambda n, name: leveled.where(F.col("channels") == n).select(key, "level", F.col("rows").alias(f"{name}_rows"), F.col("values").alias(name))
+    scores = leveled.where("channels = 1").select(key, "level", "rows", "scale", F.col("values").alias("scores"))
+    joined = scores.join(side(4, "boxes"), [key, "level"], "left").join(side(10, "points"), [key, "level"], "left")
+    stride = F.pow(F.lit(2.0), F.col("level") + 3)
+    cells = F.pow(F.floor(F.lit(size) / stride), F.lit(2.0))
+    fits = joined.where((cells > 0) & (F.col("rows") % cells == 0))
+    same = F.when(F.col("rows").eqNullSafe(F.col("boxes_rows")), F.lit(True)).otherwise(F.raise_error(F.lit("scores and boxes differ in number")).cast("boolean"))
+    rows = fits.where(same).select("*", F.posexplode("scores").alias("index", "score")).where(F.col("score") >= threshold)
+    distances = F.slice("boxes", F.col("index") * 4 + 1, F.lit(4))
+    per_cell = F.col("rows") / cells
+    cell = F.floor(F.col("index") / per_cell)
+    grid = F.floor(F.lit(size) / stride)
+    x, y = (cell % grid) * stride, F.floor(cell / grid) * stride
+    d = lambda i: F.element_at(distances, i) * stride
+    box = rect((x - d(1)) / F.col("scale"), (y - d(2)) / F.col("scale"), (x + d(3)) / F.col("scale"), (y + d(4)) / F.col("scale"))
+    own = F.slice("points", F.col("index") * 10 + 1, F.lit(10))
+    landmarks = F.transform(own, lambda v, i: (v * stride + F.when(i % 2 == 0, x).otherwise(y)) / F.col("scale"))
+    return rows.select(key, "level", "index", "score", box.alias("box"), F.when(F.col("points").isNotNull(), landmarks).alias("landmarks"))

@@ -49,7 +49,7 @@ def cluster_summaries(state: State, shoot_id: int, include_named: bool = False)
         clusters = clusters.where(F.col("status") == "unnamed")
     media = state["faces"].where((F.col("shoot_id") == shoot_id) & F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count_distinct("media_id").alias("media_count"))
     people = state["people"].select(F.col("id").alias("person_id"), F.col("name").alias("person_name"))
-    covers = state["faces"].select(F.col("id").alias("cover_face_id"), F.col("media_id").alias("cover_media_id"))
+    covers = state["faces"].where(F.col("shoot_id") == shoot_id).select(F.col("id").alias("cover_face_id"), F.col("media_id").alias("cover_media_id"))
     thumbs = state["media"].select(F.col("id").alias("cover_media_id"), F.col("thumbnail_path").alias("cover_thumbnail"))
     out = clusters.join(media, clusters.id == media.cluster_id, "left").drop("cluster_id").join(people, "person_id", "left").join(covers, "cover_face_id", "left").join(thumbs, "cover_media_id", "left")
     return out.withColumns(_zero("media_count")).orderBy(F.desc("face_count"), "id")

@@ -75,16 +75,17 @@ def album_unidentified(spark, sf):
     return albums.album_counts(albums.unidentified_albums(s), s["media"], _COUNTS)
 
 
-@_query("""SELECT shoot_id, album_type, count(*) AS albums FROM (
-  SELECT DISTINCT shoot_id, 'player' AS album_type, person_id AS k FROM seen UNION ALL SELECT shoot_id, 'multiPlayer', sort_order FROM pairs
-  UNION ALL SELECT DISTINCT shoot_id, 'team', hash(team) FROM seen JOIN people ON people.id = person_id
-  UNION ALL SELECT DISTINCT shoot_id, 'unidentified', 0 FROM faces WHERE person_id IS NULL AND assignment <> 'ignored') GROUP BY ALL""")
+@_query("""SELECT shoot_id, album_type, name, count(DISTINCT media_id) AS media_count, min(CASE WHEN thumbnail_path IS NOT NULL THEN media_id END) AS cover_media_id FROM (
+  SELECT s.shoot_id, 'player' AS album_type, p.name, s.media_id, s.person_id AS k FROM seen s JOIN people p ON p.id = s.person_id
+  UNION ALL SELECT p.shoot_id, 'multiPlayer', a.name || ' + ' || b.name, x.media_id, p.sort_order FROM pairs p JOIN people a ON a.id = a_id JOIN people b ON b.id = b_id JOIN seen x ON x.shoot_id = p.shoot_id AND x.person_id = a_id JOIN seen y ON y.media_id = x.media_id AND y.person_id = b_id
+  UNION ALL SELECT DISTINCT s.shoot_id, 'team', team, s.media_id, 0 FROM seen s JOIN people p ON p.id = s.person_id
+  UNION ALL SELECT DISTINCT shoot_id, 'unidentified', 'Unidentified', media_id, 0 FROM faces WHERE person_id IS NULL AND assignment <> 'ignored') r JOIN (SELECT id, thumbnail_path FROM media) m ON m.id = r.media_id GROUP BY shoot_id, album_type, name, k""")
 def album_list(spark, sf):
-    """All albums derived anew, listed, counted by kind."""
+    """All albums derived anew, listed."""
     s = state(spark, sf, "faces", "people", "media")
     none = spark.createDataFrame([], "id long, shoot_id long, name string, album_type string, person_ids array<bigint>, cluster_id long, cover_media_id long, media_count long, photo_count long, video_count long, sort_order long, generated_at string")
     s |= {"albums": none, "album_media": spark.createDataFrame([], "album_id long, media_id long")}
-    return albums.album_list(albums.regenerate(s)).groupBy("shoot_id", "album_type").agg(F.count("*").alias("albums"))
+    return albums.album_list(albums.regenerate(s)).select("shoot_id", "album_type", "name", "media_count", "cover_media_id")
 
 
 # ---------------------------------------------------------------- grid and review
@@ -240,29 +241,29 @@ def face_transitions(spark, sf):
     return s["faces"].select("id", "person_id", "cluster_id", "recognition_confidence", "assignment")
 
 
-@_query("""SELECT CASE WHEN person_id = 2 THEN 1 ELSE person_id END AS person_id, assignment, count(*) AS faces FROM faces GROUP BY ALL""")
+@_query("SELECT id, CASE WHEN person_id = 2 THEN 1 ELSE person_id END AS person_id, assignment FROM faces")
 def person_merge(spark, sf):
     s = changes.merge_people(state(spark, sf, "faces", "clusters", "video_detections", "people"), 1, 2, "2026-01-01T00:00:00Z")
-    return s["faces"].groupBy("person_id", "assignment").agg(F.count("*").alias("faces"))
+    return s["faces"].select("id", "person_id", "assignment")
 
 
-@_query("""SELECT 'faces' AS kind, assignment AS what, count(*) AS n FROM faces WHERE coalesce(person_id, 3) = 3 GROUP BY ALL
-  UNION ALL SELECT 'clusters', status, count(*) FROM clusters WHERE coalesce(person_id, 3) = 3 GROUP BY ALL
-  UNION ALL SELECT 'detections', 'left', count(*) FROM detections WHERE coalesce(person_id, 0) <> 3 UNION ALL SELECT 'people', 'left', count(*) FROM people WHERE id <> 3""")
+@_query("""SELECT 'face' AS kind, id, CASE WHEN person_id <> 3 THEN person_id END AS person_id, assignment AS what FROM faces UNION ALL SELECT 'cluster', id, CASE WHEN person_id <> 3 THEN person_id END, status FROM clusters
+  UNION ALL SELECT 'detection', id, person_id, NULL FROM detections WHERE coalesce(person_id, 0) <> 3 UNION ALL SELECT 'person', id, id, name FROM people WHERE id <> 3""")
 def person_delete(spark, sf):
-    """Rows without a person after one is deleted, and what is left."""
+    """All rows that can point at a person after one is deleted."""
     s = changes.delete_person(state(spark, sf, "faces", "clusters", "video_detections", "people"), 3)
-    count = lambda df, kind, what: df.groupBy(what.alias("what")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "what", "n")
-    lost = F.col("person_id").isNull()
-    out = count(s["faces"].where(lost), "faces", F.col("assignment")).unionByName(count(s["clusters"].where(lost), "clusters", F.col("status")))
-    return out.unionByName(count(s["video_detections"], "detections", F.lit("left"))).unionByName(count(s["people"], "people", F.lit("left")))
+    rows = lambda t, kind, person, what: s[t].select(F.lit(kind).alias("kind"), "id", person.alias("person_id"), what.alias("what"))
+    p = F.col("person_id")
+    out = rows("faces", "face", p, F.col("assignment")).unionByName(rows("clusters", "cluster", p, F.col("status")))
+    return out.unionByName(rows("video_detections", "detection", p, F.lit(None).cast("string"))).unionByName(rows("people", "person", F.col("id"), F.col("name")))
 
 
-@_query("""SELECT 'media' AS kind, count(*) AS n FROM media WHERE shoot_id <> 1996 UNION ALL SELECT 'faces', count(*) FROM faces WHERE shoot_id <> 1996 UNION ALL SELECT 'jobs', count(*) FROM jobs WHERE shoot_id <> 1996
-  UNION ALL SELECT 'clusters', count(*) FROM clusters WHERE shoot_id <> 1996 UNION ALL SELECT 'shoots', count(*) FROM shoots WHERE id <> 1996""")
+@_query("""SELECT 'media' AS kind, id FROM media WHERE shoot_id <> 1996 UNION ALL SELECT 'faces', id FROM faces WHERE shoot_id <> 1996 UNION ALL SELECT 'jobs', id FROM jobs WHERE shoot_id <> 1996
+  UNION ALL SELECT 'clusters', id FROM clusters WHERE shoot_id <> 1996 UNION ALL SELECT 'shoots', id FROM shoots WHERE id <> 1996""")
 def cascade_delete(spark, sf):
+    """What is left of all tables after a shoot is deleted."""
     s = changes.delete_shoot(state(spark, sf, "shoots", "media", "faces", "jobs", "clusters"), 1996)
-    parts = [s[t].agg(F.count("*").alias("n")).select(F.lit(t).alias("kind"), "n") for t in ("media", "faces", "jobs", "clusters", "shoots")]
+    parts = [s[t].select(F.lit(t).alias("kind"), "id") for t in ("media", "faces", "jobs", "clusters", "shoots")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -289,26 +290,25 @@ def job_claim_order(spark, sf):
     return job.select("id", "priority", "state", "attempts")
 
 
-@_query("SELECT CASE WHEN state <> 'running' THEN state WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS state, attempts, count(*) AS n FROM jobs GROUP BY ALL")
+@_query("SELECT id, CASE WHEN state <> 'running' THEN state WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS state, attempts, CASE WHEN state = 'running' THEN 'lost' END AS error FROM jobs")
 def job_fail(spark, sf):
     s = changes.fail_jobs(state(spark, sf, "jobs"), F.col("state") == "running", "lost", "2026-01-01T00:00:00Z")
-    return s["jobs"].groupBy("state", "attempts").agg(F.count("*").alias("n"))
+    return s["jobs"].select("id", "state", "attempts", "error")
 
 
-@_query("SELECT CASE WHEN state = 'running' AND attempts < 3 THEN 'queued' ELSE state END AS state, attempts, count(*) AS n FROM jobs GROUP BY ALL")
+@_query("SELECT id, CASE WHEN state = 'running' AND attempts < 3 THEN 'queued' ELSE state END AS state, attempts FROM jobs")
 def job_requeue_stale(spark, sf):
-    return changes.requeue_stale(state(spark, sf, "jobs"))["jobs"].groupBy("state", "attempts").agg(F.count("*").alias("n"))
+    return changes.requeue_stale(state(spark, sf, "jobs"))["jobs"].select("id", "state", "attempts")
 
 
-@_query("""SELECT shoot_id, kind, count(*) AS n FROM (SELECT m.shoot_id, m.id AS media_id, unnest(['thumbnail', CASE WHEN media_type = 'video' THEN 'analyseVideo' ELSE 'analysePhoto' END]) AS kind FROM media m WHERE processing_status = 'pending') w
-  WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.state IN ('queued', 'running') AND j.shoot_id = w.shoot_id AND j.kind = w.kind AND j.media_id = w.media_id) GROUP BY ALL""")
+@_query("""SELECT (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY priority, shoot_id, kind, media_id) AS id, shoot_id, kind, media_id, priority FROM (
+    SELECT m.shoot_id, m.id AS media_id, unnest(['thumbnail', CASE WHEN media_type = 'video' THEN 'analyseVideo' ELSE 'analysePhoto' END]) AS kind, unnest([50, CASE WHEN media_type = 'video' THEN 120 ELSE 100 END])::BIGINT AS priority FROM media m WHERE processing_status = 'pending') w
+  WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.state IN ('queued', 'running') AND j.shoot_id = w.shoot_id AND j.kind = w.kind AND j.media_id = w.media_id)""")
 def enqueue_unique(spark, sf):
     """Work for media that wait, where no job for it waits or runs yet."""
     s = state(spark, sf, "jobs", "media")
-    wanted = changes.analysis_jobs(s["media"])
-    busy = s["jobs"].where(F.col("state").isin("queued", "running"))
-    same = (wanted.shoot_id == busy.shoot_id) & (wanted.kind == busy.kind) & wanted.media_id.eqNullSafe(busy.media_id)
-    return wanted.join(busy, same, "left_anti").groupBy("shoot_id", "kind").agg(F.count("*").alias("n"))
+    after = changes.enqueue(s, changes.analysis_jobs(s["media"]), unique=True)
+    return after["jobs"].join(s["jobs"].select("id"), "id", "left_anti").select("id", "shoot_id", "kind", "media_id", "priority")
 
 
 @_query("SELECT id, event FROM app_log ORDER BY id DESC LIMIT 150")
@@ -368,9 +368,9 @@ def cluster_faces(spark, sf):
 # ---------------------------------------------------------------- frames and detections
 
 
-@_query("""SELECT o_orderkey AS id, CASE WHEN d <= 0 THEN 1 ELSE CAST(ceil(d / 5.0) AS BIGINT) END AS n FROM (SELECT o_orderkey, floor(o_totalprice / 1000) AS d FROM orders) WHERE d < 300""")
+@_query("""SELECT o_orderkey AS id, CASE WHEN d <= 0 THEN 1 ELSE CAST(ceil(d / 5.0) AS BIGINT) END AS n FROM (SELECT o_orderkey, floor(o_totalprice / 1000) AS d FROM orders)""")
 def frame_plan_intervals(spark, sf):
-    """Frames of videos without scene changes, below the cap."""
+    """Frames of videos without scene changes."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("d"))
     plan = frames.with_frame_plan(o.withColumn("cuts", F.array().cast("array<double>")), "d", "cuts", most=1000)
     return plan.select("id", F.size("frames").cast("long").alias("n"))
@@ -378,7 +378,7 @@ def frame_plan_intervals(spark, sf):
 
 @_query()
 def frame_plan(spark, sf):
-    """Frames with scene changes and the cap: a fold, which tests hold against plain Python."""
+    """Frames with scene changes and the cap: a fold; tests/test_scalars.py holds it against plain Python."""
     e = table(spark, sf, "events")
     scenes = e.groupBy("user_id").agg(F.sort_array(F.collect_set(F.round(F.col("value") * 3, 1))).alias("scenes"), (F.max("value") * 3 + 10).alias("duration"))
     plan = frames.with_frame_plan(scenes, "duration", "scenes", most=45)
@@ -393,14 +393,14 @@ def _boxes(spark, sf):
 
 @_query()
 def nms(spark, sf):
-    """Greedy suppression of overlapping boxes in each frame: a fold, which tests hold against plain Python."""
+    """Greedy suppression of overlapping boxes in each frame: a fold; tests/test_whole.py holds it against plain Python."""
     kept = frames.suppress(F.sort_array(F.collect_list("box")), 0.4)
-    return _boxes(spark, sf).groupBy("l_orderkey").agg(F.count("*").alias("boxes"), F.size(kept).alias("kept"))
+    return _boxes(spark, sf).groupBy("l_orderkey").agg(kept.alias("kept")).select("l_orderkey", F.inline("kept"))
 
 
 @_query("""SELECT l_orderkey, count(*) AS pairs, round(sum(iou), 6) AS total_iou FROM (SELECT a.l_orderkey, i / (1800 - i) AS iou FROM (
   SELECT a.l_orderkey, greatest(least(a.x, b.x) + 30 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 30 - greatest(a.y, b.y), 0) AS i
-  FROM (SELECT l_orderkey, l_partkey, l_quantity * 2 AS x, l_discount * 400 AS y FROM lineitem WHERE l_orderkey % 7 = 0) a JOIN (SELECT l_orderkey, l_partkey, l_quantity * 2 AS x, l_discount * 400 AS y FROM lineitem WHERE l_orderkey % 7 = 0) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) a) GROUP BY 1""")
+  FROM (SELECT l_orderkey, l_partkey, l_quantity * 2 AS x, l_discount * 400 AS y FROM lineitem) a JOIN (SELECT l_orderkey, l_partkey, l_quantity * 2 AS x, l_discount * 400 AS y FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) a) GROUP BY 1""")
 def box_overlaps(spark, sf):
     b = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", geometry.rect(F.col("l_quantity") * 2, F.col("l_discount") * 400, F.col("l_quantity") * 2 + 30, F.col("l_discount") * 400 + 30).alias("r"))
     c = b.select("l_orderkey", F.col("l_partkey").alias("other"), F.col("r").alias("s"))
