@@ -71,13 +71,25 @@ class EliasFano:
         """The lower bits of the numbers at these places."""
         return read_bits(self.lows, self.width, at)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1. Among the numbers of its upper part, the first that is
-        not less (its successor) is searched by halving."""
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at these places: the upper part is how many zeros stand before the one of a place."""
+        at = at.astype(np.int64)
+        block = np.searchsorted(self.ones, at, side="right") - 1
+        found = self.highs[block[:, None] * 8 + np.arange(8)]
+        one = np.cumsum(np.unpackbits(np.ascontiguousarray(found), axis=1, bitorder="little"), axis=1, dtype=np.int8)
+        inside = (one <= (at - self.ones[block])[:, None]).sum(axis=1)
+        return ((block * 64 + inside - at).astype(np.uint64) << np.uint64(self.width)) | self.value(at)
+
+    def find(self, values: np.ndarray, begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value, or -1. Among the numbers of its upper part, and between the places
+        ``begin`` and ``stop`` where they are given, the first that is not less (its successor) is searched
+        by halving."""
         values = values.astype(np.uint64)
         step = (values >> np.uint64(self.width)).astype(np.int64)
         low = values & np.uint64((1 << self.width) - 1)
         lo, end = self.before_step(step), self.before_step(step + 1)
+        if begin is not None:
+            lo, end = np.maximum(lo, begin), np.minimum(end, stop)
         hi = end.copy()
         while len(todo := np.flatnonzero(lo < hi)):
             mid = (lo[todo] + hi[todo]) // 2

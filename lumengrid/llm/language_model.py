@@ -9,9 +9,14 @@ The logarithm of p(w | v) falls into a part that needs w, its contexts and count
 -log(c(v) + m), which needs the count of v alone. So words are dealt to shards by hash, each
 shard gathers all it needs about its words from the whole corpus, and texts add up what the
 shards say. A shard's trie has a level of words, as an Elias-Fano sequence of their hashes with
-exact counts, and a level of the contexts of each word: context hashes are made relative to
-their word's place, so that one Elias-Fano sequence holds all of them in order, with smoothed
-log probabilities quantised to 16 bits. Levels lie in memory-mapped files of the task.
+exact counts, monotone pointers to where each word's contexts begin, and a level of contexts:
+context hashes are made relative to their word's place, so that one Elias-Fano sequence holds
+all of them in order, with smoothed log probabilities quantised to 16 bits. A pair is asked for by
+its word's place, the two pointers there and the successor of the context between them. Levels
+lie in memory-mapped files, which only the task that scores a shard reads and then removes.
+
+The order is two: of three words, the count of the first two and that of all three would lie in
+different shards. The prior mass is that of many tokens, since most pairs of words occur once or never.
 
 Words with more than 1/4096 of all tokens are split by context over 64 shards; their counts,
 4096 at most, are sent to all tasks.
@@ -33,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_remainder, mix, shards, small_batches
+from .common import Words, crc_remainder, mix, shards, small_batches, tidy
 from .elias_fano import EliasFano
 
-MASS = 2.0
+MASS = 300.0
 HOT = 4096
 PARTS = 64
 _TEXTS = 2048
@@ -54,6 +59,7 @@ def _shard(keys: np.ndarray, n: int) -> np.ndarray:
 # ---------------------------------------------------------------- how often words occur
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
     """Word counts of training texts, packed by shard; the end of a text counts as a word."""
     names = ["shard", "keys", "counts"]
@@ -79,6 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.Reco
         yield flush()
 
 
+@tidy
 def _vocabulary(table: pa.Table) -> pa.Table:
     """Of one shard: distinct words and tokens, and the words that may be hot."""
     keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
@@ -127,6 +134,7 @@ def corpus_totals(training: DataFrame) -> Totals:
 # ---------------------------------------------------------------- bigrams to the shards of their words
 
 _BLOB = np.dtype([("texts", "<i8"), ("words", "<i8"), ("pairs", "<i8"), ("events", "<i8")])
+_ANSWER = np.dtype([("text", "<u2"), ("known", "<u4"), ("base", "<f8"), ("bigram", "<f8")])
 
 
 def group_name(contents: np.uint64, place: np.uint64) -> int:
@@ -134,6 +142,7 @@ def group_name(contents: np.uint64, place: np.uint64) -> int:
     return int(mix(contents ^ mix(np.array([place], np.uint64))).view(np.int64)[0])
 
 
+@tidy
 def _send(batches: Iterator[pa.RecordBatch], totals: Totals, n_shards: int) -> Iterator[pa.RecordBatch]:
     """Groups of up to 2048 texts; for each group and shard the shard's words, for each word its
     contexts, for each context the texts and how often. A group is named by its contents, its
@@ -143,6 +152,7 @@ def _send(batches: Iterator[pa.RecordBatch], totals: Totals, n_shards: int) -> I
     context: list[np.ndarray] = []
     text: list[np.ndarray] = []
     ids: list[tuple[int | None, bool]] = []
+    lengths: list[int] = []
     name = np.uint64(0)
     place = np.uint64(TaskContext.get().partitionId()) << np.uint64(32)
     tokens = 0
@@ -154,32 +164,39 @@ def _send(batches: Iterator[pa.RecordBatch], totals: Totals, n_shards: int) -> I
             hot = totals.hot[at] == w
             w[hot] = part_name(w[hot], c[hot])
         names, at = np.unique(w, return_inverse=True)
-        key = np.sort((at.astype(np.uint64) << np.uint64(43)) | (c.astype(np.uint64) << np.uint64(11)) | d.astype(np.uint64))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        times = np.diff(np.append(first, len(key)))
-        key = key[first]
-        pair = key >> np.uint64(11)
-        head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        pair_events = np.diff(np.append(head, len(key)))
-        pair = pair[head]
-        word_of = (pair >> np.uint64(32)).astype(np.int64)
-        word_pairs = np.bincount(word_of, minlength=len(names))
-        doc_ids = np.array([-1 if i is None else i for i, _ in ids], "<i8").tobytes()
-        flags = np.array([(t, i is None) for i, t in ids], np.uint8).tobytes()
+        if len(names) < 1 << 21:
+            key = np.sort((at.astype(np.uint64) << np.uint64(43)) | (c.astype(np.uint64) << np.uint64(11)) | d.astype(np.uint64))
+            at, c, d = (key >> np.uint64(43)).astype(np.int64), (key >> np.uint64(11)).astype(np.uint32), (key & np.uint64(0x7FF)).astype(np.uint16)
+        else:
+            # one very long text: its words don't fit into one number with their contexts
+            order = np.lexsort((d, c, at))
+            at, c, d = at[order], c[order], d[order]
+        change = np.ones(len(at), dtype=bool)
+        change[1:] = (at[1:] != at[:-1]) | (c[1:] != c[:-1])
+        first = np.flatnonzero(change | np.concatenate([[True], d[1:] != d[:-1]]))
+        times = np.diff(np.append(first, len(at)))
+        head = np.flatnonzero(change[first])
+        at, c, d = at[first], c[first], d[first]
+        pair_events = np.diff(np.append(head, len(first)))
+        word_pairs = np.bincount(at[head], minlength=len(names))
+        pair_context = c[head]
+        flags = np.packbits(np.array([t for _, t in ids], dtype=bool)).tobytes()
         cuts = np.searchsorted(_shard(names, n_shards), np.arange(n_shards + 1))
         pair_at = np.concatenate([[0], np.cumsum(word_pairs)])
         event_at = np.concatenate([[0], np.cumsum(pair_events)])
         rows = []
+        # what is known of the texts goes along with the first blob alone
+        known = pack.compress(np.array([-1 if i is None else i for i, _ in ids], "<i8").tobytes() + np.array(lengths, "<i8").tobytes() + np.array([(t, i is None) for i, t in ids], np.uint8).tobytes())
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if b > a:
                 pa_, pb = pair_at[a], pair_at[b]
                 ea, eb = event_at[pa_], event_at[pb]
                 size = np.array([(len(ids), b - a, pb - pa_, eb - ea)], _BLOB)
-                body = [size, names[a:b], word_pairs[a:b].astype("<u4"), (pair[pa_:pb] & np.uint64(0xFFFFFFFF)).astype("<u4"), pair_events[pa_:pb].astype("<u2"), (key[ea:eb] & np.uint64(0x7FF)).astype("<u2"), times[ea:eb].astype("<u4")]
-                rows.append((i, group, pack.compress(b"".join([x.tobytes() for x in body] + [doc_ids, flags]))))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema([("shard", pa.int64()), ("group", pa.int64()), ("blob", pa.binary())]))
+                body = [size, names[a:b], word_pairs[a:b].astype("<u4"), pair_context[pa_:pb].astype("<u4"), pair_events[pa_:pb].astype("<u2"), d[ea:eb].astype("<u2"), times[ea:eb].astype("<u4")]
+                rows.append((i, group, pack.compress(b"".join([x.tobytes() for x in body] + [flags])), None if rows else known))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SENT)], schema=_SENT)
 
-    for batch in small_batches(batches, "text", most=4 << 20):
+    for batch in small_batches(batches, "text"):
         words = Words(batch.column("text").fill_null(""), lower=True)
         train = batch.column("train").to_pylist()
         for i, doc in enumerate(batch.column("doc_id").to_pylist()):
@@ -188,11 +205,12 @@ def _send(batches: Iterator[pa.RecordBatch], totals: Totals, n_shards: int) -> I
                 group = group_name(name, place)
                 yield flush()
                 place += np.uint64(1)
-                word, context, text, ids, tokens = [], [], [], [], 0
+                word, context, text, ids, lengths, tokens = [], [], [], [], [], 0
             word.append(np.append(own, END))
             context.append(np.concatenate([[_BEGIN], (mix(own) & np.uint64(0xFFFFFFFF)).astype(np.uint32)]).astype(np.uint32))
             text.append(np.full(len(own) + 1, len(ids), np.uint16))
             ids.append((doc, bool(train[i])))
+            lengths.append(len(own) + 1)
             tokens += len(own) + 1
             with np.errstate(over="ignore"):
                 own_name = own.sum(dtype=np.uint64) + np.uint64((doc or 0) & 0xFFFFFFFFFFFFFFFF) + np.uint64(len(ids))
@@ -202,17 +220,20 @@ def _send(batches: Iterator[pa.RecordBatch], totals: Totals, n_shards: int) -> I
         yield flush()
 
 
+_SENT = pa.schema([("shard", pa.int64()), ("group", pa.int64()), ("blob", pa.binary()), ("known", pa.binary())])
+
+
 class Blob:
     def __init__(self, data: bytes):
         size = np.frombuffer(data, _BLOB, 1)[0]
         at = _BLOB.itemsize
         parts = []
-        for kind, n in (("<u8", size["words"]), ("<u4", size["words"]), ("<u4", size["pairs"]), ("<u2", size["pairs"]), ("<u2", size["events"]), ("<u4", size["events"]), ("<i8", size["texts"]), ("u1", 2 * size["texts"])):
+        for kind, n in (("<u8", size["words"]), ("<u4", size["words"]), ("<u4", size["pairs"]), ("<u2", size["pairs"]), ("<u2", size["events"]), ("<u4", size["events"]), ("u1", -(-size["texts"] // 8))):
             parts.append(np.frombuffer(data, kind, n, at))
             at += parts[-1].nbytes
-        self.words, self.word_pairs, self.context, self.pair_events, self.text, self.times, self.ids, flags = parts
-        self.train, self.no_id = flags[::2].astype(bool), flags[1::2].astype(bool)
-        # a pair whose events fill more than 65535 texts can't be: a group has 2048
+        self.words, self.word_pairs, self.context, self.pair_events, self.text, self.times, flags = parts
+        self.n = int(size["texts"])
+        self.train = np.unpackbits(flags, count=self.n).astype(bool)
         self.word_of = np.repeat(np.arange(len(self.words)), self.word_pairs)
         self.pair_of = np.repeat(np.arange(len(self.context)), self.pair_events)
 
@@ -240,19 +261,24 @@ class Trie:
         owner = place[word_of]
         value = np.full(len(context), np.nan)
         known = np.flatnonzero(owner >= 0)
-        at = self.pairs.find((owner[known].astype(np.uint64) << np.uint64(32)) | context[known].astype(np.uint64))
+        # a word's contexts lie between its pointer and the next word's
+        here = np.maximum(place, 0)
+        begin, stop = self.pointers.get(here).astype(np.int64), self.pointers.get(here + 1).astype(np.int64)
+        own = word_of[known]
+        at = self.pairs.find((owner[known].astype(np.uint64) << np.uint64(32)) | context[known].astype(np.uint64), begin[own], stop[own])
         hit = at >= 0
         value[known[hit]] = self.low + self.grain * self.codes[at[hit]]
         return place, value
 
 
+@tidy
 def _score_shard(table: pa.Table, totals: Totals) -> pa.Table:
     """Builds the shard's trie from the training texts in all groups, then asks it for all texts."""
     unpack = zstandard.ZstdDecompressor()
-    blobs = [Blob(unpack.decompress(x.as_py())) for x in table.column("blob")]
-    groups = table.column("group").to_pylist()
+    packed = table.column("blob")
     words, contexts, counts = [], [], []
-    for b in blobs:
+    for x in packed:
+        b = Blob(unpack.decompress(x.as_py()))
         seen = np.bincount(b.pair_of, b.times * b.train[b.text], minlength=len(b.context))
         some = seen > 0
         words.append(b.words[b.word_of[some]])
@@ -277,37 +303,46 @@ def _score_shard(table: pa.Table, totals: Totals) -> pa.Table:
         trie = Trie(names, pairs, pair_counts, true_counts(names, word_counts), totals, folder)
         out = []
         pack = zstandard.ZstdCompressor(level=1)
-        for b in blobs:
-            place, value = trie.lookup(b.words, b.word_of, b.context)
-            c = true_counts(b.words, np.where(place >= 0, trie.counts[np.maximum(place, 0)], 0) if len(names) else np.zeros(len(b.words)))
+        for x in packed:
+            b = Blob(unpack.decompress(x.as_py()))
+            if len(names):
+                place, value = trie.lookup(b.words, b.word_of, b.context)
+                c = true_counts(b.words, np.where(place >= 0, trie.counts[np.maximum(place, 0)], 0))
+            else:
+                value, c = np.full(len(b.context), np.nan), true_counts(b.words, np.zeros(len(b.words)))
             new = np.log10(MASS * (c + 0.5) / totals.mass)
             bigram = np.where(np.isnan(value), new[b.word_of], value) - np.log10(c + MASS)[b.word_of]
             event_word = b.word_of[b.pair_of]
-            n = len(b.ids)
-            total = lambda x: np.bincount(b.text, x, minlength=n)  # noqa: B023, E731
-            sums = (total(b.times), total(b.times * (c > 0)[event_word]), total(b.times * np.log10(c + 0.5)[event_word]), total(b.times * bigram[b.pair_of]))
-            out.append(pack.compress(np.concatenate(sums).astype("<f8").tobytes() + b.ids.tobytes() + np.stack([b.train, b.no_id]).astype(np.uint8).tobytes()))
+            texts, of = np.unique(b.text, return_inverse=True)
+            total = lambda v: np.bincount(of, v)  # noqa: B023, E731
+            said = np.empty(len(texts), _ANSWER)
+            said["text"], said["known"] = texts, np.rint(total(b.times * (c > 0)[event_word]))
+            said["base"], said["bigram"] = total(b.times * np.log10(c + 0.5)[event_word]), total(b.times * bigram[b.pair_of])
+            out.append(pack.compress(said.tobytes()))
         del trie
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    return pa.table({"group": pa.array(groups, pa.int64()), "sums": pa.array(out, pa.binary())})
+    return pa.table({"group": table.column("group"), "sums": pa.array(out, pa.binary()), "known": table.column("known")})
 
 
+@tidy
 def _finish(table: pa.Table, totals: Totals) -> pa.Table:
     """Adds up what the shards say about the texts of one group."""
     unpack = zstandard.ZstdDecompressor()
-    sums = ids = flags = None
+    data = next(unpack.decompress(x.as_py()) for x in table.column("known") if x.is_valid)
+    n = len(data) // 18
+    ids, lengths, flags = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "u1", 2 * n, 16 * n).reshape(n, 2).astype(bool)
+    known, base, bigram = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
     for x in table.column("sums"):
-        data = unpack.decompress(x.as_py())
-        n = len(data) // 42
-        own = np.frombuffer(data, "<f8", 4 * n).reshape(4, n)
-        sums = own.copy() if sums is None else sums + own
-        ids, flags = np.frombuffer(data, "<i8", n, 32 * n), np.frombuffer(data, "u1", 2 * n, 40 * n).reshape(2, n).astype(bool)
-    tokens = np.rint(sums[0])
-    base = sums[2] - tokens * np.log10(totals.mass)
-    score = np.logaddexp(base * np.log(10), sums[3] * np.log(10)) / np.log(10) + np.log10(0.5)
+        said = np.frombuffer(unpack.decompress(x.as_py()), _ANSWER)
+        at = said["text"]
+        known[at] += said["known"]
+        base[at] += said["base"]
+        bigram[at] += said["bigram"]
+    base -= lengths * np.log10(totals.mass)
+    score = np.logaddexp(base * np.log(10), bigram * np.log(10)) / np.log(10) + np.log10(0.5)
     return pa.table({
-        "doc_id": pa.array(ids, pa.int64(), mask=flags[1]), "held_out": pa.array(~flags[0]), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(np.rint(sums[1]).astype(np.int64)),
+        "doc_id": pa.array(ids, pa.int64(), mask=flags[:, 1]), "held_out": pa.array(~flags[:, 0]), "n_tokens": pa.array(lengths), "n_known": pa.array(known),
         "train_tokens": pa.array(np.full(len(ids), totals.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(np.minimum(score, 0.0)),
     })
 
@@ -324,7 +359,7 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     n = shards(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     totals = corpus_totals(rows.where("train"))
-    sent = rows.mapInArrow(partial(_send, totals=totals, n_shards=n), "shard long, group long, blob binary")
+    sent = rows.mapInArrow(partial(_send, totals=totals, n_shards=n), "shard long, group long, blob binary, known binary")
 
     def score(table: pa.Table) -> pa.Table:
         return _score_shard(table, totals)
@@ -332,7 +367,7 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     def finish(table: pa.Table) -> pa.Table:
         return _finish(table, totals)
 
-    said = sent.groupBy("shard").applyInArrow(score, "group long, sums binary")
+    said = sent.groupBy("shard").applyInArrow(score, "group long, sums binary, known binary")
     return said.groupBy("group").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
