@@ -2,9 +2,14 @@
 
 The prefix array of a text, sums of (code + 1) * B**i modulo a prime, answers whether two spans
 are equal in constant time and, by binary search, how far two texts agree. A fingerprint
-holds the length, the hash of the whole text modulo two primes, and for each of 64 buckets
-the least hash of all spans of 24 code points; the share of equal buckets tells how much
-two texts have in common, wherever it stands in them.
+holds the length, the hash of the whole text modulo two primes, marks of the prefix array, and a
+sketch.
+
+The marks are prefix hashes at multiples of the largest power of two that goes 32 times into the
+length, so two texts have marks at common places, and a binary search over these locates
+their longest common extension from the start to within a mark. The sketch, for each of 64
+buckets the least hash of all spans of 24 code points, tells what two texts have in common
+wherever it stands in them, which prefixes can't. Likeness is the larger of the two shares.
 """
 
 from __future__ import annotations
@@ -18,12 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, packed_text, shards, written
+from .common import mix, packed_text, shards, tidy, unpacked_batches, written
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525)
 SPAN = 24
 BUCKETS = 64
+#: A text has so many marks at least, and less than twice as many, unless it is shorter.
+MARKS = 32
 _CHUNK = 1 << 18
 
 
@@ -126,13 +133,49 @@ def whole_hash(c: np.ndarray, before: tuple[int, int, int] = (0, 0, 0)) -> tuple
     return (size + len(c), *sums)
 
 
-def _string(whole: tuple[int, int, int], least: np.ndarray) -> str:
-    return f"{whole[0]:x}-{whole[1]:08x}{whole[2]:08x}-" + (least >> 16).astype(">u2").tobytes().hex()
+def mark_step(size: int) -> int:
+    """The largest power of two that goes MARKS times into the size; 1 for shorter texts."""
+    return 1 << max(0, (size // MARKS).bit_length() - 1)
+
+
+def prefix_marks(c: np.ndarray) -> np.ndarray:
+    """16 bits of the prefix hash at each multiple of the step."""
+    step, prime = mark_step(len(c)), PRIMES[0]
+    at = np.arange(step, len(c) + 1, step)
+    out = np.zeros(len(at), np.int64)
+    before = 0
+    for lo in range(0, len(c), _CHUNK):
+        part = c[lo : lo + _CHUNK]
+        sums = np.cumsum(part * _powers(0, len(part)) % prime) % prime
+        shift = pow(BASES[0], lo, prime)
+        here = (at > lo) & (at <= lo + len(part))
+        out[here] = (before + sums[at[here] - lo - 1] * shift) % prime
+        before = (before + int(sums[-1]) * shift) % prime
+    return (mix(out.astype(np.uint64)) & np.uint64(0xFFFF)).astype(">u2")
+
+
+def common_extension(a: str, b: str) -> int:
+    """How many code points two texts have in common from their start, to within a mark, as their fingerprints
+    tell it: a binary search, since equal prefixes have equal shorter ones."""
+    if a == b:
+        return int(a.partition("-")[0], 16)
+    sizes = [int(x.partition("-")[0], 16) for x in (a, b)]
+    step = max(map(mark_step, sizes))
+    x, y = (np.frombuffer(bytes.fromhex(t.split("-")[2]), ">u2")[step // mark_step(n) - 1 :: step // mark_step(n)] for t, n in zip((a, b), sizes, strict=True))
+    lo, hi = 0, min(len(x), len(y))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if x[mid - 1] == y[mid - 1] else (lo, mid - 1)
+    return lo * step
+
+
+def _string(whole: tuple[int, int, int], marks: np.ndarray, least: np.ndarray) -> str:
+    return f"{whole[0]:x}-{whole[1]:08x}{whole[2]:08x}-{marks.tobytes().hex()}-" + (least >> 16).astype(">u2").tobytes().hex()
 
 
 def fingerprint(text: str) -> str:
     c = codes(text) + 1
-    return _string(whole_hash(c), _minima(c))
+    return _string(whole_hash(c), prefix_marks(c), _minima(c))
 
 
 def _minima(c: np.ndarray) -> np.ndarray:
@@ -146,16 +189,16 @@ def _minima(c: np.ndarray) -> np.ndarray:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of spans that two texts have in common (Dice), as their fingerprints tell it.
-    1 for equal fingerprints, two empty texts among them."""
+    """0 to 1: the share of two texts that they have in common (Dice), as their fingerprints tell it: of
+    their code points by the longest common extension from the start, or of their spans by the sketch,
+    whichever is more. 1 for equal fingerprints, two empty texts among them."""
     if a == b:
         return 1.0
+    extension = 2 * common_extension(a, b) / max(1, sum(int(x.partition("-")[0], 16) for x in (a, b)))
     x, y = (np.frombuffer(bytes.fromhex(s.rpartition("-")[2]), ">u2") for s in (a, b))
     held = (x != 0xFFFF) | (y != 0xFFFF)
-    if not held.any():
-        return 0.0
-    same = float(((x == y) & held).sum() / held.sum())
-    return 2 * same / (1 + same)
+    same = float(((x == y) & held).sum() / held.sum()) if held.any() else 0.0
+    return max(extension, 2 * same / (1 + same))
 
 
 def edited(text: str, following: str) -> str:
@@ -172,11 +215,12 @@ def _both(text: str, following: str) -> tuple[str, str, str]:
     sha = hashlib.sha256(edited(text, following).encode()).hexdigest()
     if len(head) < SPAN:
         again = np.concatenate([head, new])
-        return fingerprint(text), _string(whole_hash(again), _minima(again)), sha
+        return fingerprint(text), _string(whole_hash(again), prefix_marks(again), _minima(again)), sha
     shared, whole = least_hashes(head), whole_hash(head)
     edge = head[len(head) - SPAN + 1 :]
     own, other = (np.minimum(shared, least_hashes(np.concatenate([edge, x]))) for x in (tail, new))
-    return _string(whole_hash(tail, whole), own), _string(whole_hash(new, whole), other), sha
+    again = np.concatenate([head, new])
+    return _string(whole_hash(tail, whole), prefix_marks(c), own), _string(whole_hash(new, whole), prefix_marks(again), other), sha
 
 
 DDL = "kind int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text binary"
@@ -193,39 +237,46 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
 
+@tidy
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of doc_id: each is finished when the next larger doc_id comes. The first text of
-    the partition and the rows of its last doc_id are passed on as they are."""
-    unpack = zstandard.ZstdDecompressor()
-    waiting: list[tuple[int, bytes]] = []
-    for whole in batches:
+    """Rows from the largest doc_id down, so that the text that follows is known: the first of the doc_id
+    before. The rows of the partition's largest doc_id are passed on as they are, and so is the
+    first text of its smallest."""
+    now, first, small_first = None, "", b""
+    following: str | None = None
+    next_print: str | None = None
+    for batch, texts in unpacked_batches(batches, "text"):
         rows: list[tuple] = []
-        for doc, small in zip(whole.column("doc_id").to_pylist(), whole.column("text").to_pylist(), strict=True):
-            text = unpack.decompress(small).decode()
-            if doc is None:
-                rows.append(_finished(None, text, None, None))
-                continue
-            if not waiting:
-                rows.append((FIRST, doc, *[None] * 6, small))
-            elif waiting[0][0] != doc:
-                print_ = fingerprint(text)
-                rows += [_finished(d, unpack.decompress(t).decode(), text, print_) for d, t in waiting]
-                waiting = []
-            waiting.append((doc, small))
+        for doc, small, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), texts, strict=True):
+            text = raw.decode()
+            if doc != now:
+                if now is not None:
+                    following, next_print = first, fingerprint(first)
+                now, first, small_first = doc, text, small
+            rows.append((LAST, doc, *[None] * 6, small) if following is None else _finished(doc, text, following, next_print))
         yield _batch(rows)
-    yield _batch([(LAST, d, *[None] * 6, t) for d, t in waiting])
+    if now is not None:
+        yield _batch([(FIRST, now, *[None] * 6, small_first)])
 
 
+@tidy
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch, texts in unpacked_batches(batches, "text"):
         rows = []
-        for doc, small, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True):
+        for doc, raw, after in zip(batch.column("doc_id").to_pylist(), texts, batch.column("after").to_pylist(), strict=True):
             following = unpack.decompress(after).decode()
-            rows.append(_finished(doc, unpack.decompress(small).decode(), following, fingerprint(following)))
+            rows.append(_finished(doc, raw.decode(), following, fingerprint(following)))
         yield _batch(rows)
 
 
+@tidy
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without a doc_id: nothing follows them."""
+    for batch, texts in unpacked_batches(batches, "text"):
+        yield _batch([_finished(None, raw.decode(), None, None) for raw in texts])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
@@ -235,11 +286,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id is followed by nothing, and near_next is 0. An only document follows itself.
 
     Texts are sorted by doc_id in ranges, compressed; only the first and last rows of each
-    range meet once more.
+    range meet once more. An empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
     packed = packed_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    walked = written(packed.repartitionByRange(shards(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_walk, DDL), "fingerprints")
+    known = packed.where("doc_id is not null").repartitionByRange(shards(spark), "doc_id").sortWithinPartitions(F.desc("doc_id"), "text")
+    walked = written(known.mapInArrow(_walk, DDL), "fingerprints")
+    # rows without a doc_id may be many: they stay where they are
+    alone = packed.where("doc_id is null").mapInArrow(_alone, DDL)
     # a few rows for each range: which range comes next
     edges = walked.where(F.col("kind") != DONE).select("kind", "doc_id", "text")
     firsts = edges.where(F.col("kind") == FIRST)
@@ -252,4 +306,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     tails = lasts.join(named, lasts.doc_id == named.s_id).select("doc_id", "text", "a_id")
     closed = tails.join(firsts.select(F.col("doc_id").alias("f_id"), F.col("text").alias("after")), F.col("a_id") == F.col("f_id")).select("doc_id", "text", "after").mapInArrow(_close, DDL)
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return walked.where(F.col("kind") == DONE).select(columns).unionByName(closed.select(columns))
+    return walked.where(F.col("kind") == DONE).select(columns).unionByName(closed.select(columns)).unionByName(alone.select(columns))

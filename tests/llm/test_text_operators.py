@@ -396,6 +396,36 @@ def test_elias_fano(tmp_path):
         assert (s.find(others) == -1).all()
 
 
+def test_elias_fano_gets_and_searches_between(tmp_path):
+    values = np.sort(np.random.default_rng(5).integers(0, 5000, 3000, dtype=np.uint64))
+    s = EliasFano(values, 5000, tmp_path, "y")
+    assert (s.get(np.arange(3000)) == values).all()
+    distinct = np.unique(values)
+    t = EliasFano(distinct, 5000, tmp_path, "z")
+    at = np.arange(len(distinct))
+    assert (t.find(distinct, at, at + 1) == at).all()
+    assert (t.find(distinct, at + 1, at + 3) == -1).all()
+
+
+def test_language_model_of_one_very_long_text(spark):
+    n = (1 << 21) + 5000
+    docs = spark.createDataFrame([(0, " ".join(map(str, range(n)))), (2, "1 2 x"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_model.score_texts(docs, F.col("doc_id") < 2).collect()}
+    assert (got[0]["n_tokens"], got[0]["n_known"], got[0]["train_tokens"]) == (n + 1, n + 1, n + 1)
+    assert (got[2]["n_tokens"], got[2]["n_known"]) == (4, 3)
+    mass = n + 1 + 0.5 * (n + 2)
+    assert got[0]["base_score"] == pytest.approx((n + 1) * math.log10(1.5 / mass), rel=1e-9)
+
+
+def test_language_model_beats_word_frequencies(spark, small):
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    got = language_model.score_texts(docs, language_model.training_rows()).where("held_out and n_tokens > 1").collect()
+    assert sum(r["score"] > r["base_score"] for r in got) > 0.75 * len(got)
+    none = language_model.score_texts(docs.limit(5), F.lit(False)).collect()
+    assert {(r["train_tokens"], r["n_known"]) for r in none} == {(0, 0)}
+    assert language_model.score_texts(docs.limit(0), language_model.training_rows()).count() == 0
+
+
 def test_language_model(spark):
     texts = sample_texts(80, seed=6)
     docs = documents(spark, texts)
@@ -475,6 +505,37 @@ def test_fingerprints(spark):
     assert only["near_next"] == 1.0
 
 
+def test_common_extension_is_found_to_within_a_mark():
+    rng = random.Random(7)
+    for n in (0, 1, 20, 33, 500, 5000):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        for keep in (0, n // 3, 3 * n // 4, n):
+            b = a[:keep] + "".join(rng.choice("ijk") for _ in range(rng.randint(0, n)))
+            true = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            x, y = fingerprint.fingerprint(a), fingerprint.fingerprint(b)
+            found = fingerprint.common_extension(x, y)
+            step = max(fingerprint.mark_step(len(a)), fingerprint.mark_step(len(b)))
+            assert true - step < found <= true or a == b
+            assert fingerprint.likeness(x, y) >= 2 * found / max(1, len(a) + len(b)) - 1e-9
+            assert fingerprint.prefix_marks(fingerprint.codes(a) + 1).tolist() == [int(fingerprint.mix(np.array([fingerprint.PrefixHashes(a).span(0, p)[0]], np.uint64))[0]) & 0xFFFF for p in range(fingerprint.mark_step(n), n + 1, fingerprint.mark_step(n))]
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    rows = [(1, "b" * 40), (1, "a" * 40), (1, "b" * 40), (2, "c" * 40), (2, "d" * 40), (None, "e"), (None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in fingerprint.fingerprints(docs).collect())
+    first = {1: min(("a" * 40, "b" * 40), key=lambda t: packed(t)), 2: min(("c" * 40, "d" * 40), key=lambda t: packed(t))}
+    after = {1: first[2], 2: first[1]}
+    want = sorted((i or 0, len(t), hashlib.sha256(fingerprint.edited(t, after.get(i, "")).encode()).hexdigest()) for i, t in rows)
+    assert got == want
+
+
+def packed(text):
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(text.encode())
+
+
 def test_prefix_hashes():
     rng = random.Random(1)
     for _ in range(100):
