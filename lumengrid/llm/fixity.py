@@ -8,6 +8,7 @@ root down, and only children of nodes that differ are looked at.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 from .common import written
 
 FAN = 64
+#: The time that records give where nobody says another, so that equal pages make equal records.
+DATE = "1970-01-01T00:00:00Z"
 END = "\r\n\r\n"
 
 
-def record(key: Column, url: Column, body: Column) -> Column:
+def record(key: Column, url: Column, body: Column, date: str = DATE) -> Column:
     """A WARC response record without the two line ends that close it; null url and body are empty."""
     body = F.coalesce(body, F.lit(""))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
         F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body,
     )
 
@@ -39,6 +42,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             at, rows = 0, []
+            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
             while at < len(data):
                 head = data.find(END.encode(), at)
                 if head < 0:
@@ -52,15 +56,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, size, record_id, url, body) of the records of uncompressed WARC files. A file is read whole by one task."""
+    """(path, offset, size, record_id, url, body) of the records of WARC files, plain or gzipped; offsets are those of the
+    plain bytes. A file is read whole by one task, so files should be of about a GB, as archives have them."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_parse, "path string, offset long, size long, record_id string, url string, body binary")
 
 
 def leaves(records: DataFrame) -> DataFrame:
     """(key, hash, bytes) from (key, value): one leaf for each key. Records that share a key are
-    combined by sums, in any order, so that no list of them is held."""
-    one = records.where("key is not null").select("key", F.sha2("value", 256).alias("h"), (F.octet_length("value") + len(END)).cast("long").alias("bytes"))
+    combined by sums, in any order, so that no list of them is held. A record whose value is null is there,
+    without bytes, and differs from an empty one."""
+    held = F.coalesce(F.sha2("value", 256), F.sha2(F.lit("no value"), 256))
+    one = records.where("key is not null").select("key", held.alias("h"), (F.coalesce(F.octet_length("value"), F.lit(0)) + len(END)).cast("long").alias("bytes"))
     number = F.conv(F.substring("h", 1, 15), 16, 10).cast("long")
     several = F.sha2(F.concat_ws("|", F.min("h"), F.max("h"), F.count("*"), F.bit_xor(number), F.sum(number.cast("decimal(38,0)"))), 256)
     return one.groupBy("key").agg(F.when(F.count("*") == 1, F.min("h")).otherwise(several).alias("hash"), F.sum("bytes").alias("bytes"))
@@ -97,7 +104,9 @@ def audit(expected: DataFrame, replica: DataFrame) -> DataFrame:
     Both have (key long, value string or binary). ``fault`` is changed, missing or extra; ``offset``
     is where the record starts, or would, in the expected archive ordered by key; ``compared``
     counts the nodes that were looked at on its level. Records without a key are not audited.
-    Equal replicas, and two empty ones, give no row.
+    A record whose value is null is a record like others: changed where the replica has bytes. Records
+    that share a key are one leaf. Equal replicas, and two empty ones, give no row; other columns of the
+    tables are not looked at.
     """
     spark = expected.sparkSession
     keys = expected.select("key").unionByName(replica.select("key")).agg(F.min("key"), F.max("key")).first()
@@ -141,7 +150,7 @@ def damaged(pages: DataFrame) -> DataFrame:
     return kept.unionByName(extra)
 
 
-_FIXED = len("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:>\r\nWARC-Target-URI: \r\nContent-Length: ") + 2 * len(END)
+_FIXED = len("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:>\r\nWARC-Date: \r\nWARC-Target-URI: \r\nContent-Length: ") + len(DATE) + 2 * len(END)
 
 #: What the audit of ``damaged(pages)`` finds, for pages with distinct ids.
 SQL = f"""

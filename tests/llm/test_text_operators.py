@@ -474,6 +474,12 @@ def test_fixity(spark):
     assert fixity.audit(twice, ours).count() == 1
 
 
+def test_fixity_of_null_values(spark):
+    ours = spark.createDataFrame([(1, None, 0), (2, "x", 0), (3, "", 0), (4, None, 0)], "key long, value string, hash int")
+    theirs = spark.createDataFrame([(1, "x", 0), (2, None, 0), (3, None, 0), (4, None, 0), (5, None, 0)], "key long, value string, bytes int")
+    assert {r["key"]: r["fault"] for r in fixity.audit(ours, theirs).collect()} == {1: "changed", 2: "changed", 3: "changed", 5: "extra"}
+
+
 def test_warc_round_trip(spark, tmp_path, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").unionByName(spark.createDataFrame([(10**6, None, None)], "page_id long, url string, html string"))
     fixity.write_warc(pages, str(tmp_path / "warc"))
