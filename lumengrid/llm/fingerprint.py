@@ -289,11 +289,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     range meet once more. An empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    packed = packed_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    known = packed.where("doc_id is not null").repartitionByRange(shards(spark), "doc_id").sortWithinPartitions(F.desc("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = packed_text(texts.where("doc_id is not null")).repartitionByRange(shards(spark), "doc_id").sortWithinPartitions(F.desc("doc_id"), "text")
     walked = written(known.mapInArrow(_walk, DDL), "fingerprints")
     # rows without a doc_id may be many: they stay where they are
-    alone = packed.where("doc_id is null").mapInArrow(_alone, DDL)
+    alone = packed_text(texts.where("doc_id is null")).mapInArrow(_alone, DDL)
     # a few rows for each range: which range comes next
     edges = walked.where(F.col("kind") != DONE).select("kind", "doc_id", "text")
     firsts = edges.where(F.col("kind") == FIRST)
