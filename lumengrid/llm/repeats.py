@@ -322,12 +322,12 @@ def windows_to_remove(docs: DataFrame, window: int = 50, phrase: int = PHRASE) -
     hot = aside.join(owners, "anchor").select("owner", "docs").mapInArrow(_with_hot_anchor, "doc long, owner long")
     known = found.select("doc", "owner", F.when(F.col("doc") == F.col("owner"), F.col("anchor")).alias("anchor"))
     links = written(known.unionByName(hot.withColumn("anchor", F.lit(None).cast("long"))).groupBy("doc", "owner").agg(F.collect_list("anchor").alias("owned")), "repeats-links")
-    # a shard for each hot owner, the others by hash
-    many = links.groupBy("owner").agg(F.count("*").alias("n"))
-    shard = F.when(F.col("n") > SPLIT, n + F.pmod(F.xxhash64("owner"), F.lit(1 << 60))).otherwise(F.pmod(F.xxhash64("owner"), F.lit(n)))
-    parts = F.when(F.col("n") > SPLIT, F.ceil(F.col("n") / SPLIT)).otherwise(1).cast("int")
-    homes = many.select("owner", F.struct(shard.alias("shard"), parts.alias("parts")).alias("at"))
-    wanted = links.join(homes, "owner").groupBy("doc").agg(
+    # a shard for each hot owner, the others by hash; only hot owners are joined, so that their links can be split
+    hot_owners = written(links.groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT), "repeats-hot-owners")
+    shard = F.when(F.col("n").isNotNull(), n + F.pmod(F.xxhash64("owner"), F.lit(1 << 60))).otherwise(F.pmod(F.xxhash64("owner"), F.lit(n)))
+    parts = F.when(F.col("n").isNotNull(), F.ceil(F.col("n") / SPLIT)).otherwise(1).cast("int")
+    at_home = links.join(hot_owners, "owner", "left").withColumn("at", F.struct(shard.alias("shard"), parts.alias("parts")))
+    wanted = at_home.groupBy("doc").agg(
         F.max(F.when(F.col("doc") == F.col("owner"), F.col("at"))).alias("home"), F.flatten(F.collect_list("owned")).alias("owned"), F.collect_set("at").alias("to"),
     )
     packed = packed_text(docs)
@@ -336,7 +336,7 @@ def windows_to_remove(docs: DataFrame, window: int = 50, phrase: int = PHRASE) -
     routed = joined.mapInArrow(partial(_route, window=window, phrase=phrase, schema=schema), "shard long, part int, parts int, kind int, doc long, body binary, more binary")
     streams = routed.repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "kind")
     windows = written(streams.mapInArrow(partial(_locate, window=window, phrase=phrase, n_shards=n), SENT), "repeats-windows")
-    discard(sent, found, links)
+    discard(sent, found, links, hot_owners)
 
     def given_up(table: pa.Table) -> pa.Table:
         return _given_up(table, n)
