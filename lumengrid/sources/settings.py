@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 _CORES = os.cpu_count() or 1
 
 
+# The names and defaults below, which stored settings refer to.
 @dataclass(frozen=True)
 class Settings:
     inference_threads: int = max(1, _CORES // 2)
