@@ -62,5 +62,6 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     counts = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    joined = sorted_.withColumn("_part", part).join(starts, "_part")
+    # a row for each range, as many as the session has shuffle partitions
+    joined = sorted_.withColumn("_part", part).join(F.broadcast(starts), "_part")
     return joined.withColumn(name, (F.col("_start") + place + 1).cast("long")).drop("_at", "_part", "_start")
