@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixity, language_model, mixture
+from . import divergence, fixity, language_model, manifest, mixture, slots
 from .common import crc_remainder
 from .decontaminate import benchmark_hits
 from .fingerprint import fingerprints
@@ -90,6 +90,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, window=50, digest=True).select("doc_id", "n_words", "n_removed", F.col("text").alias("kept_sha256"))
 
 
+def op11_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes, through a map of virtual slots."""
+    found = slots.sharded(_table(spark, sf_dir, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual", "part")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ in their words, and each source's leading terms."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all documents, and each one's proof against it, some with tampered text."""
+    return manifest.manifest_proofs(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": op1_mixture,
     "op2_decontamination": op2_decontamination,
@@ -101,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fixity": op8_fixity,
     "op9_fingerprint": op9_fingerprint,
     "op10_repeats": op10_repeats,
+    "op11_slots": op11_slots,
+    "op12_divergence": op12_divergence,
+    "op13_manifest": op13_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixture": mixture.SQL, "op8_fixity": fixity.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixture": mixture.SQL, "op8_fixity": fixity.SQL, "op11_slots": slots.SQL, "op12_divergence": divergence.SQL, "op13_manifest": manifest.SQL}
