@@ -36,11 +36,20 @@ def crc_remainder(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def thinned(rows: DataFrame, key: Column, some: int, found: int) -> DataFrame:
+    """``rows``, of which there are ``found``, or about ``some`` of them where that is clearly less; ``key`` tells rows apart."""
+    if found <= 1.2 * some:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit("thin"), key), F.lit(1 << 30)) / float(1 << 30) < some / found)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
     """(doc_id, text, label): about ``limit`` of the labelled training rows, chosen by a hash of doc_id.
 
     Training rows are those whose crc32(doc_id as text) mod 4 is not 2. Rows without doc_id,
-    text or label are left out; of several labels of a document the largest counts. At most
+    text or label are left out; of several labels of a document the largest counts. Where ids
+    stand for so many rows that they would be more than a fifth over ``limit``, rows are drawn
+    each for itself down to it, so the sample is bounded whatever one id holds. At most
     twice ``limit`` ids are broadcast; the texts stay where they are.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (crc_remainder(F.col("doc_id"), 4) != 2))
@@ -48,7 +57,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int)
     many = max(ids.count(), 1)
     chance = F.pmod(F.xxhash64(F.lit(column), "_id"), F.lit(1 << 30)) / float(1 << 30)
     some = ids.where(chance < limit / many).limit(2 * limit)
-    return docs.where("text is not null").join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_id")).select("doc_id", "text", "label")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_n"))
+    rows = rows.join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    return thinned(rows, F.col("_n"), limit, rows.count()).select("doc_id", "text", "label")
+
+
+# ---------------------------------------------------------------- columns that an operator doesn't look at
+
+
+def set_aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but ``own`` in one column ``carried``, whatever their names are, and what
+    puts them back in place, followed by the columns that it is told to add."""
+    names, rest = docs.columns, [c for c in docs.columns if c not in own]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    carried = F.struct(F.lit(0).alias("c"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("carried")
+
+    def put_back(df: DataFrame, *added: str) -> DataFrame:
+        kept = [(F.col("carried")[f"c{rest.index(c)}"] if c in rest else quoted(c)).alias(c) for c in names if c not in added]
+        return df.select(*kept, *added)
+
+    return docs.select(*[quoted(c) for c in names if c in own], carried), put_back
 
 
 # ---------------------------------------------------------------- memory of tasks

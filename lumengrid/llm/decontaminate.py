@@ -132,7 +132,11 @@ def _clean(batches: Iterator[pa.RecordBatch], items: Items, at: int) -> Iterator
 
 
 def _verify(item: str, budget: int, begins: list[int], text: str) -> tuple[int, int, int] | None:
-    """(distance, hits, end) of the best place, if it is within budget; hits: places within budget."""
+    """(distance, hits, end) of the best place, if it is within budget; hits: places within budget. An
+    item that may have no edit counts where it stands as whole words."""
+    if not budget:
+        ends = [b + len(item) for b in begins if text[b - 1 : b] in ("", " ") and text[b + len(item) : b + len(item) + 1] in ("", " ")]
+        return (0, len(ends), ends[0]) if ends else None
     best, hits, lo = None, 0, 0
     while lo < len(begins):
         hi = lo + 1
@@ -165,7 +169,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, rate: float = 0.05, shorte
     """(doc_id, item_id, distance, hits, end) for each document and each item that occurs in it.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; an item occurs where a stretch of
-    the document is within ``rate`` of the item's length in edits, in the plain form. ``hits``
+    the document is within ``rate`` of the item's length in edits, in the plain form; items so short that
+    this allows none must stand there as whole words. ``hits``
     counts the places, ``distance`` is the least, ``end`` where that ends in the plain form.
 
     Null and blank texts match nothing; empty tables give no row; other columns of either table are

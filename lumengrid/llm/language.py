@@ -142,13 +142,15 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
-def fit_language(docs: DataFrame, per_language: int = 800) -> LanguageModel:
+def fit_language(docs: DataFrame, per_language: int = 800, languages: int = 200) -> LanguageModel:
     """Learn from ``docs`` with text, lang and doc_id. Rows with null text, lang or doc_id teach nothing,
     nor do texts without a letter; an empty table gives a model that answers "und". Repeated rows
     count each.
 
     FTRL sees about ``per_language`` texts of each language, whole, chosen by a hash of
-    doc_id: a bounded sample, of which the driver holds counts of buckets. IDF counts all rows.
+    doc_id, or row by row where a language's chosen ids stand for more than twice as many rows: a bounded
+    sample, of which the driver holds counts of buckets. Of a lang column with more
+    than ``languages`` values the most frequent ones are learned. IDF counts all rows.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
@@ -164,9 +166,13 @@ def fit_language(docs: DataFrame, per_language: int = 800) -> LanguageModel:
         return LanguageModel()
     idf = np.log((1 + texts) / (1 + frequency)) + 1
     chance = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    # a row for each language, as the model has a column for each; texts aren't moved for it
-    many = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    chosen = rows.join(F.broadcast(many), "lang").where(chance < per_language / F.col("_n")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    # a row for each language that is learned; texts aren't moved for it
+    many = rows.groupBy("lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "lang").limit(languages)
+    chosen = rows.withColumn("_n", F.monotonically_increasing_id()).join(F.broadcast(many), "lang").where(chance < per_language / F.col("_all"))
+    found = chosen.groupBy("lang").agg(F.count("*").alias("_found"))
+    again = F.pmod(F.xxhash64(F.lit("thin"), "_n"), F.lit(1 << 30)) / float(1 << 30)
+    few = (F.col("_found") <= 2 * per_language) | (again < per_language / F.col("_found"))
+    chosen = chosen.join(F.broadcast(found), "lang").where(few).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     kinds = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("buckets", pa.binary()), ("counts", pa.binary())])
     sample = chosen.mapInArrow(partial(_counted, schema=kinds), "doc_id long, lang string, buckets binary, counts binary").collect()
     sample.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.buckets), bytes(r.counts)))

@@ -111,7 +111,8 @@ def pareto_mixture(
     Null text or text without words: size 0, taken 0. Null source: a source of its own, last
     in order. Rows that share a doc_id, or have none, have chances of their own, by their text; of rows
     that are equal in all three each has its own too, in no order. An empty table gives an
-    empty result. Other columns of ``docs`` are looked at only if named in ``carry``.
+    empty result. Other columns of ``docs`` are looked at only if named in ``carry``; one that is named like
+    a column of the result comes back as ``carried_`` and its name.
     """
     row = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))), F.coalesce(F.col("source").cast("string"), F.lit(""))))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -168,8 +169,9 @@ def pareto_mixture(
     discard(ranked, at, cut)
 
     extra = F.coalesce((F.col("p") > 0) & (before_cut | (F.col("_seq") == F.col("closing_seq"))), F.lit(False))
+    own = ("size", "source_size", "target", "taken")
     taken = (F.col("size") * (F.col("sure") + extra.cast("long"))).alias("taken")
-    return drawn.join(ends, "of").select("doc_id", "size", "source", "source_size", "target", taken, *[F.col(f"_carry_{c}").alias(c) for c in carry if c not in ("doc_id", "source")])
+    return drawn.join(ends, "of").select("doc_id", "size", "source", "source_size", "target", taken, *[F.col(f"_carry_{c}").alias(f"carried_{c}" if c in own else c) for c in carry if c not in ("doc_id", "source")])
 
 
 #: The same by windows over whole sources, for comparison on small tables.

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, mix, packed_text, shards, small_batches, spans, tidy, unpacked_batches, written
+from .common import Words, discard, mix, packed_text, set_aside, shards, small_batches, spans, tidy, unpacked_batches, written
 
 PHRASE = 16
 #: An owner that more documents share anchors with has a shard of its own, in parts of so many documents.
@@ -355,9 +355,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = PHRASE, dige
     Null texts stay null (their digest is that of the empty text) and have no words. Rows
     without doc_id are left whole and take nothing from others. Rows that share a doc_id
     give up the same windows and nothing to each other. Columns n_words, n_removed of ``docs``
-    are replaced; others are kept. Equality of windows is that of 64-bit hashes.
+    are replaced; others are kept, whatever their names. Equality of windows is that of 64-bit hashes.
     """
-    docs = docs.drop("n_words", "n_removed")
+    docs, put_back = set_aside(docs.drop("n_words", "n_removed"), "doc_id", "text")
     gone = windows_to_remove(docs, window, phrase).select(F.col("doc").alias("_doc"), F.col("windows").alias("_gone"))
     at = docs.columns.index("text")
     kinds = [(f.name, "binary" if f.name == "text" else f.dataType.simpleString()) for f in docs.schema]
@@ -365,4 +365,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = PHRASE, dige
     packed = packed_text(docs)
     joined = packed.join(gone, packed["doc_id"].cast("long") == gone["_doc"], "left").drop("_doc")
     final = [(n, "string" if n == "text" else t) for n, t in kinds] + [("n_words", "bigint"), ("n_removed", "bigint")]
-    return joined.mapInArrow(partial(_cut, window=window, at=at, digest=digest), quoted(final))
+    return put_back(joined.mapInArrow(partial(_cut, window=window, at=at, digest=digest), quoted(final)), "n_words", "n_removed")

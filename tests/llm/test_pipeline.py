@@ -54,3 +54,21 @@ def test_nulls_and_empty_tables(spark, small, docs):
     for rows in (odd, odd.limit(0)):
         for _, stage in cp.STAGES:
             assert stage(spark, rows, small).count() <= 3
+
+
+#: Names that stages use inside.
+CLASHING = ("size", "source_size", "target", "taken", "copies", "_doc", "_gone", "_row", "carried", "score", "lang_pred", "n_words", "n_removed", "component_id", "class", "w", "p", "of", "rank", "_seq", "_n", "a.b", "c0")
+
+
+def test_clashing_names_and_long_texts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    long = spark.createDataFrame([(10**6, " ".join(f"the word number {i} of a very long text" for i in range(40_000)), "en", "long", 1)], docs.schema)
+    rows = docs.unionByName(long).withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, rows, small)
+        assert got.columns == rows.columns
+        kept = got.collect()
+        assert kept and all(r[c] == f"own {c}" for r in kept for c in CLASHING)
+    mix = cp.mixed(spark, rows, small)
+    assert mix.columns == [c for c in rows.columns if c not in ("size", "source_size", "target", "taken", "copies")] + ["size", "source_size", "target", "taken", "copies"]
+    assert all(r["taken"] == r["copies"] * r["size"] and r["_doc"] == "own _doc" for r in mix.collect())

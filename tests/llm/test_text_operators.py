@@ -618,3 +618,24 @@ def test_sliding_least():
     for w in (1, 2, 7, 35, 200):
         assert (repeats.sliding_least(x, w) == np.array([x[i : i + w].min() for i in range(200 - w + 1)])).all()
     assert len(repeats.sliding_least(x, 201)) == 0
+
+
+# ---------------------------------------------------------------- bounds and whole words
+
+
+def test_samples_are_bounded_though_one_id_has_all_rows(spark):
+    docs = spark.range(30_000).select(F.when(F.col("id") < 29_000, 4).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    labels = spark.createDataFrame([(i, i % 2) for i in (4, *range(29_000, 29_020))], "doc_id long, quality int")
+    sample = common.labelled_sample(docs, labels, "quality", 500)
+    assert zlib.crc32(b"4") % 4 != 2
+    assert 300 < sample.count() < 700
+    taught = language.fit_language(docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 50).cast("string"))), per_language=30, languages=10)
+    assert len(taught.langs) <= 10
+
+
+def test_short_items_stand_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "the party starts"), (2, "an ART show"), (3, "art"), (4, "start art."), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "Art"), (8, "")], "item_id long, text string").withColumns({c: F.lit(1) for c in ("number", "hits", "end", "doc_id")})
+    got = {r["doc_id"]: (r["distance"], r["hits"]) for r in decontaminate.benchmark_hits(docs.withColumn("item_id", F.lit("x")), items).collect()}
+    assert got == {2: (0, 1), 3: (0, 1), 4: (0, 1)}
+    assert [r["doc_id"] for r in decontaminate.without_items(docs, items).orderBy("doc_id").collect()] == [1, 5]
