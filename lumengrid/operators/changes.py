@@ -275,14 +275,16 @@ def name_cluster(state: State, cluster_id: int, person_id: int) -> State:
 
 
 def split_cluster(state: State, cluster_id: int, ids, label: str, now: str) -> State:
-    """Faces that are in the cluster now move to a new one and are open again."""
+    """Faces that are in the cluster now move to a new one and are open again. Counts and covers follow in
+    the cluster's shoot; other shoots stay as they are."""
     own = state["clusters"].where(F.col("id") == cluster_id).select("shoot_id").withColumn("label", F.lit(label)).withColumn("created_at", F.lit(now))
-    if own.isEmpty():
+    found = own.first()
+    if not found:
         raise ChangeError(f"there is no cluster {cluster_id}")
     out = inserted(state, "clusters", own, ["shoot_id"])
     new_id = out["clusters"].agg(F.max("id")).first()[0]
     out = _many(out, ids, F.col("cluster_id") == cluster_id, person_id=None, recognition_confidence=None, assignment="unassigned", cluster_id=new_id)
-    return refresh_clusters(out)
+    return refresh_clusters(out, found["shoot_id"])
 
 
 def merge_clusters(state: State, target: int, source: int) -> State:

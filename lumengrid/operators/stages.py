@@ -5,7 +5,7 @@ Each stage takes a state and returns a new one; ``shoot_id`` None does all shoot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -24,10 +24,11 @@ def unknown_pool(state: State, shoot_id: int | None = None) -> DataFrame:
     return state["faces"].where(_own(shoot_id) & open_).select("id", "media_id", "shoot_id", "embedding")
 
 
-def refresh_timeline(state: State, shoot_id: int | None = None) -> State:
+def refresh_timeline(state: State, shoot_id: int | None = None, shoots: DataFrame | None = None) -> State:
     """Hits in videos get the person of their face: none if the face has none or is gone. Hits without a
-    face stay as they are."""
-    media = state["media"].where(_own(shoot_id)).select(F.col("id").alias("media_id"), F.lit(True).alias("_own"))
+    face stay as they are, and so do those of shoots that ``shoots`` (shoot_id) leaves out."""
+    own = state["media"].where(_own(shoot_id))
+    media = (own if shoots is None else own.join(shoots, "shoot_id", "left_semi")).select(F.col("id").alias("media_id"), F.lit(True).alias("_own"))
     faces = state["faces"].select(F.col("id").alias("face_id"), F.col("person_id").alias("_person"))
     hits = state["video_detections"].join(media, "media_id", "left").join(faces, "face_id", "left")
     follow = F.col("_own") & F.col("face_id").isNotNull()
@@ -37,30 +38,42 @@ def refresh_timeline(state: State, shoot_id: int | None = None) -> State:
 
 def recognise(state: State, shoot_id: int | None = None, cfg: MatchSettings = MatchSettings(), auto_confirm: float = 1.0) -> State:
     """Unknown faces are matched against confirmed ones, medium by medium, and get a suggestion, or the person
-    at once from ``auto_confirm`` on if that is below 1; then timelines follow. Without a library or unknown
-    faces nothing changes, timelines neither."""
+    at once from ``auto_confirm`` on if that is below 1; then the timelines of their shoots follow. A suggestion
+    never touches a face that somebody has decided on. A shoot without unknown faces keeps its timelines, and
+    without a library nothing changes."""
+    return recognised(state, shoot_id, cfg, auto_confirm)[0]
+
+
+def recognised(state: State, shoot_id: int | None = None, cfg: MatchSettings = MatchSettings(), auto_confirm: float = 1.0) -> tuple[State, DataFrame]:
+    """The state after ``recognise``, and its report: (library_players, library_samples, faces_examined,
+    faces_matched, faces_auto_confirmed). Faces are counted while their matches are written, in the same pass."""
+    spark = state["faces"].sparkSession
     library = grid.library_vectors(state).select("person_id", "embedding")
     pool = unknown_pool(state, shoot_id)
-    if library.isEmpty() or pool.isEmpty():
-        return state
-    found = written(match_frames(pool, library, cfg), "recognised")
+    held = library.agg(F.count_distinct("person_id"), F.count("*")).first()
+    if not held[1]:
+        return state, _report(spark, *held, pool.count(), 0, 0)
+    seen = Observation("examined")
+    pool = written(pool.observe(seen, F.count("*").alias("n")), "recognition-pool")
+    if not seen.get["n"]:
+        return state, _report(spark, *held, 0, 0, 0)
     sure = F.col("similarity") >= auto_confirm if auto_confirm < 1 else F.lit(False)
-    new = found.select("id", F.col("person_id").alias("_person"), F.col("similarity").alias("_sure"), F.when(sure, "confirmed").otherwise("suggested").alias("_as"))
+    counted = Observation("matched")
+    found = match_frames(pool, library, cfg).withColumn("sure", sure)
+    found = written(found.observe(counted, F.count("*").alias("n"), F.count_if("sure").alias("sure")), "recognised")
+    certain = found.where("sure").select("id", F.col("person_id").alias("_person"), F.col("similarity").alias("_sure"))
     met = F.col("_person").isNotNull()
-    faces = state["faces"].join(new, "id", "left").withColumns({
+    faces = state["faces"].join(certain, "id", "left").withColumns({
         "person_id": F.when(met, F.col("_person")).otherwise(F.col("person_id")), "recognition_confidence": F.when(met, F.col("_sure")).otherwise(F.col("recognition_confidence")),
-        "assignment": F.when(met, F.col("_as")).otherwise(F.col("assignment")),
+        "assignment": F.when(met, F.lit("confirmed")).otherwise(F.col("assignment")),
     })
-    return refresh_timeline({**state, "faces": faces.select(*state["faces"].columns)}, shoot_id)
+    offers = found.where(~F.col("sure")).select(F.col("id").alias("face_id"), "person_id", F.col("similarity").alias("confidence"))
+    out = changes.set_suggestions({**state, "faces": faces.select(*state["faces"].columns)}, offers)
+    return refresh_timeline(out, shoot_id, pool.select("shoot_id").distinct()), _report(spark, *held, seen.get["n"], counted.get["n"], counted.get["sure"])
 
 
-def recognition_report(state: State, after: State, shoot_id: int | None = None) -> DataFrame:
-    """(library_players, library_samples, faces_examined, faces_matched, faces_auto_confirmed)."""
-    library = summaries.library_stats(state).select(F.col("player_count").alias("library_players"), F.col("total_samples").alias("library_samples"))
-    was = unknown_pool(state, shoot_id).select("id")
-    now = after["faces"].join(was, "id", "left_semi")
-    counts = now.agg(F.count("*").alias("faces_examined"), F.count("person_id").alias("faces_matched"), F.count_if(F.col("assignment") == "confirmed").alias("faces_auto_confirmed"))
-    return library.crossJoin(counts)
+def _report(spark: SparkSession, *counts: int) -> DataFrame:
+    return spark.createDataFrame([tuple(int(c) for c in counts)], "library_players long, library_samples long, faces_examined long, faces_matched long, faces_auto_confirmed long")
 
 
 def cluster(state: State, shoot_id: int | None = None, cfg: ClusterSettings = ClusterSettings(), now: str = "") -> State:
