@@ -2,7 +2,8 @@
 
 Two tables of vectors are compared block by block: each side is dealt to blocks of bounded
 size, every block of one side meets every block of the other in one task, and a task hands on
-only the best of each row. Vectors of different sizes are not compared; rows without a vector
+only the best of each row. Neighbours within one table go through ``pivots``, which leaves out pairs of
+blocks that are too far apart. Vectors of different sizes are not compared; rows without a vector
 have no part in it.
 """
 
@@ -16,38 +17,89 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pivots import matrix, met
+
 #: A block holds about so many numbers.
-BLOCK_NUMBERS = 1 << 17
+BLOCK_NUMBERS = 1 << 19
+#: Products of one call, in numbers.
+_STRIP = 1 << 22
 
 _PAIR = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("similarity", pa.float64())])
 
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one size as rows."""
-    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
-    return flat.reshape(len(column), -1)
+def near_keys(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, others: np.ndarray, most: int, least: float, slack: float = 0.0, apart: bool = False) -> Found:
+    """(id, key, similarity): of each row the ``most`` best keys of the others that reach ``least``, with those that equal
+    the last of them and those less than ``slack`` below it. A strip of rows at a time is multiplied."""
+    keys, at = np.unique(keys, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    heads = np.searchsorted(at[order], np.arange(len(keys)))
+    columns = others[order].T
+    out: list[Found] = []
+    step = max(1, _STRIP // max(1, len(order)))
+    for lo in range(0, len(rows), step):
+        own = ids[lo : lo + step]
+        # a key with several vectors counts by the nearest
+        near = np.clip(rows[lo : lo + step] @ columns, -1, 1)
+        near = near if len(heads) == near.shape[1] else np.maximum.reduceat(near, heads, axis=1)
+        if apart:
+            near[keys[None, :] == own[:, None]] = -np.inf
+        floor = np.partition(near, -most, axis=1)[:, -most] if near.shape[1] > most else np.full(len(own), -np.inf)
+        i, j = np.nonzero((near >= least) & ((near >= floor[:, None]) | (near > floor[:, None] - slack)))
+        out.append((own[i], keys[j], near[i, j]))
+    return tuple(np.concatenate([x[c] for x in out]) for c in range(3)) if out else (np.array([], np.int64),) * 2 + (np.array([], np.float64),)
 
 
 def _best_of_blocks(least: float, most: int, slack: float, apart: bool) -> Callable[[pa.Table], pa.Table]:
-    """A task's work on two blocks: of each row of the first the ``most`` best keys of the second that
-    reach ``least``, and those less than ``slack`` below the last of them."""
+    """A task's work on a block of rows and one of keys."""
 
     def run(table: pa.Table) -> pa.Table:
         left, right = (table.filter(pc.equal(table.column("side"), side)) for side in (0, 1))
         if not left.num_rows or not right.num_rows:
             return _PAIR.empty_table()
-        keys, at = np.unique(right.column("id").to_numpy(), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        heads = np.searchsorted(at[order], np.arange(len(keys)))
-        ids = left.column("id").to_numpy()
-        # a key with several vectors counts by the nearest
-        near = np.maximum.reduceat(np.clip(_matrix(left.column("embedding")) @ _matrix(right.column("embedding"))[order].T, -1, 1), heads, axis=1)
-        if apart:
-            near[keys[None, :] == ids[:, None]] = -np.inf
-        floor = np.partition(near, -most, axis=1)[:, -most] if near.shape[1] > most else np.full(len(ids), -np.inf)
-        i, j = np.nonzero((near >= least) & ((near >= floor[:, None]) | (near > floor[:, None] - slack)))
-        group = np.full(len(i), left.column("group")[0].as_py(), np.int64)
-        return pa.table([group, ids[i], keys[j], near[i, j]], schema=_PAIR)
+        ids, keys = left.column("id").to_numpy(), right.column("id").to_numpy()
+        found = near_keys(ids, matrix(left.column("embedding")), keys, matrix(right.column("embedding")), most, least, slack, apart)
+        return pa.table([np.full(len(found[0]), left.column("group")[0].as_py(), np.int64), *found], schema=_PAIR)
+
+    return run
+
+
+def first_keys(ids: np.ndarray, keys: np.ndarray, near: np.ndarray, most: int) -> Found:
+    """Each (id, key) once, with its largest similarity, and of each id the first ``most``, ties by key."""
+    order = np.lexsort((-near, keys, ids))
+    ids, keys, near = ids[order], keys[order], near[order]
+    once = np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))[: len(ids)]
+    ids, keys, near = ids[once], keys[once], near[once]
+    order = np.lexsort((keys, -near, ids))
+    ids, keys, near = ids[order], keys[order], near[order]
+    rank = np.arange(len(ids)) - np.searchsorted(ids, ids)
+    return ids[rank < most], keys[rank < most], near[rank < most]
+
+
+def linked(ids: np.ndarray, rows: np.ndarray, k: int, least: float) -> Found:
+    """(src, dst, similarity) of the neighbours of all rows of one table, with the same links the other way round."""
+    src, dst, near = first_keys(*near_keys(ids, rows, ids, rows, k, least, apart=True), k)
+    return first_keys(np.append(src, dst), np.append(dst, src), np.append(near, near), len(src) * 2 + 1)
+
+
+def _links_of_group(k: int, least: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found = linked(table.column("id").to_numpy(), matrix(table.column("embedding")), k, least)
+        return pa.table([np.full(len(found[0]), key[0].as_py(), np.int64), *found], schema=_PAIR)
+
+    return run
+
+
+def _best_of_pair(k: int, least: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        group, _, i, j = (x.as_py() for x in key)
+        sides = [table.filter(pc.equal(table.column("block"), b)) for b in ((i,) if i == j else (i, j))]
+        sides = [(t.column("id").to_numpy(), matrix(t.column("embedding"))) for t in sides if t.num_rows]
+        pairs = [(sides[0], sides[0])] if i == j else list(zip(sides, sides[::-1], strict=True)) if len(sides) == 2 else []
+        found = [near_keys(*a, *b, k, least, apart=True) for a, b in pairs]
+        out = [np.concatenate([f[c] for f in found]) for c in range(3)] if found else [np.array([], t) for t in (np.int64, np.int64, np.float64)]
+        return pa.table([np.full(len(out[0]), group, np.int64), *out], schema=_PAIR)
 
     return run
 
@@ -106,10 +158,17 @@ def matches(queries: DataFrame, library: DataFrame, threshold: float = 0.42, mar
 def neighbours_within(vectors: DataFrame, k: int = 12, least: float = 0.45) -> DataFrame:
     """(group, src, dst, similarity): for each vector (group, id, embedding) its k most similar others of
     the group that reach ``least``, ties to the lower id, and the same links the other way round.
-    Exact: every vector is compared with all of its group. k = 0 gives none."""
+    Exact: only pairs of blocks that can't reach ``least`` are left out. k = 0 gives none."""
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "group long, src long, dst long, similarity double")
-    top = best_keys(vectors, vectors, k, least, apart=True).select("group", F.col("id").alias("src"), F.col("key").alias("dst"), "similarity")
+    rows, whole = met(vectors, least)
+    if whole:
+        found = rows.groupBy("group", "dim").applyInArrow(_links_of_group(k, least), "group long, id long, key long, similarity double")
+        return found.select("group", F.col("id").alias("src"), F.col("key").alias("dst"), "similarity")
+    found = rows.groupBy("group", "dim", "i", "j").applyInArrow(_best_of_pair(k, least), "group long, id long, key long, similarity double")
+    found = found.groupBy("group", "id", "key").agg(F.max("similarity").alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("group", "id").orderBy(F.desc("similarity"), "key"))
+    top = found.withColumn("rank", rank).where(F.col("rank") <= k).select("group", F.col("id").alias("src"), F.col("key").alias("dst"), "similarity")
     back = top.select("group", F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity")
     return top.unionByName(back).groupBy("group", "src", "dst").agg(F.max("similarity").alias("similarity"))
 

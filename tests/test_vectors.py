@@ -3,10 +3,11 @@
 import collections
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumengrid.operators import clustering, vectors
+from lumengrid.operators import clustering, pivots, vectors
 from lumengrid.plans import queries as plans
 from lumengrid.plans import roles
 
@@ -101,10 +102,78 @@ def test_cluster_faces(spark, small, faces):
     assert {k: v for k, v in got.items() if v[0] is not None} == want
 
 
+def known_turns(n, rounds):
+    """The turns by the published rule of the generator: shifts 12, 25 and 27, then a product modulo 2**64."""
+    x, order, out = 0x5EED1234ABCD0001, list(range(n)), []
+    for _ in range(rounds):
+        for last in reversed(range(1, n)):
+            x = (x ^ (x >> 12)) % 2**64
+            x = (x ^ (x << 25)) % 2**64
+            x = (x ^ (x >> 27)) % 2**64
+            pick = x * 2685821657736338717 % 2**64 % (last + 1)
+            order[last], order[pick] = order[pick], order[last]
+        out.append([order.index(i) for i in range(n)])
+    return out
+
+
 def test_the_generator_is_the_known_one():
-    # the first turns of 5, which known results depend on
-    turns = [t.tolist() for t in clustering.shuffled_turns(5, 2)]
-    assert all(sorted(t) == list(range(5)) for t in turns) and turns[0] != turns[1]
+    for n in (1, 2, 5, 40):
+        assert [t.tolist() for t in clustering.shuffled_turns(n, 6)] == known_turns(n, 6)
+
+
+def looks_like_persons(n, persons, noise, seed, dim=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(persons, dim))
+    v = centres[rng.integers(0, persons, n)] / np.sqrt(dim) + noise * rng.normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("noise", "least"), [(0.05, 0.8), (0.3, 0.5), (0.05, -0.2)])
+def test_pruned_pairs_lose_nothing(spark, monkeypatch, noise, least):
+    x = looks_like_persons(500, 12, noise, 5)
+    x[7:9] = 0
+    x[20] *= 3
+    df = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)], "group long, id long, embedding array<double>")
+    near = np.clip(x @ x.T, -1, 1)
+    want = set()
+    for i in range(500):
+        mine = sorted((j for j in range(500) if j % 2 == i % 2 and j != i and near[i, j] >= least), key=lambda j: (-near[i, j], j))[:4]
+        want |= {(i, j) for j in mine} | {(j, i) for j in mine}
+    monkeypatch.setattr(pivots, "BLOCK_NUMBERS", 8 * 30)
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(pivots, "_SLICE", 100)
+    got = vectors.neighbours_within(df, 4, least).collect()
+    assert {(r["src"], r["dst"]) for r in got} == want and len(got) == len(want)
+    kept = pivots.pruning(df, least).first()
+    assert kept["kept"] < kept["pairs"] if noise < 0.1 and least > 0 else kept["kept"] <= kept["pairs"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_waves_and_chains_equal_the_order(spark, monkeypatch, seed):
+    x = looks_like_persons(160, 9, 0.22, seed, dim=4)
+    rows = list(enumerate(x.tolist()))
+    cfg = clustering.ClusterSettings(edge=0.6, neighbours=3, merge=0.7, min_size=2)
+    want = {rows[i][0]: (n, len(c)) for n, c in enumerate(plain_clusters(rows, cfg)) for i in c}
+    df = spark.createDataFrame([(1, i, v) for i, v in rows], "shoot_id long, id long, embedding array<double>")
+    monkeypatch.setattr(pivots, "BLOCK_NUMBERS", 4 * 20)
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 20)
+    for small in (clustering.SMALL, 10):
+        got = {r["id"]: (r["cluster"], r["size"], r["cohesion"]) for r in clustering.cluster_faces(df, cfg, small=small).where("cluster is not null").collect()}
+        assert {i: g[:2] for i, g in got.items()} == want
+        one = [i for i, g in got.items() if g[0] == 0]
+        middle = x[one].sum(axis=0) / np.linalg.norm(x[one].sum(axis=0))
+        assert got[one[0]][2] == pytest.approx(float((x[one] @ middle).mean()))
+
+
+def test_chains_hold_all_that_join(spark):
+    # directions that drift as groups join, with ties, in three dimensions
+    rng = np.random.default_rng(11)
+    totals = rng.normal(size=(300, 3)) * rng.integers(1, 9, size=(300, 1))
+    totals[50:60] = totals[40:50]
+    groups = spark.createDataFrame([(g, i, i, t.tolist()) for g in (1, 2) for i, t in enumerate(totals[: 300 // g])], "group long, label long, first long, total array<double>")
+    for threshold in (0.97, 0.62, 1.0):
+        got = {(r["group"], r["label"]): r["into"] for r in clustering.merged_groups(groups, threshold).collect()}
+        assert got == {(g, i): int(j) for g in (1, 2) for i, j in enumerate(clustering.first_fit(totals[: 300 // g], threshold))}
 
 
 def test_ragged_and_missing_vectors(spark):
@@ -140,6 +209,8 @@ def test_blocks_do_not_show(spark, small, monkeypatch):
     v = roles.vectors(spark, small)
     whole = {(r["src"], r["dst"]) for r in vectors.neighbours(v, 3, 0.3).collect()}
     monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 64 * 15)
+    monkeypatch.setattr(pivots, "BLOCK_NUMBERS", 64 * 15)
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 15)
     assert {(r["src"], r["dst"]) for r in vectors.neighbours(v, 3, 0.3).collect()} == whole
     best = {(r["id"], r["person_id"], r["rank"]) for r in vectors.best_persons(v.where("person_id is null"), v.where("person_id is not null"), 3, slack=0.05).collect()}
     monkeypatch.undo()
