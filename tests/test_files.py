@@ -1,3 +1,4 @@
+import os
 import struct
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumengrid.operators import pixels
-from lumengrid.sources import files
+from lumengrid.sources import container, files, walk
 from lumengrid.streaming import live
 
 
@@ -82,3 +83,81 @@ def test_streams(spark, tmp_path):
     q.stop()
     batch = live.live_timelines(rows).orderBy("start_time").collect()
     assert [(r["hits"], r["confidence"]) for r in batch] == [(2, 0.9), (1, 0.1)]
+
+
+# ---------------------------------------------------------------- folders and containers
+
+
+@pytest.mark.parametrize("frontier", [1, 3, 256])
+def test_walk_of_a_golden_tree(spark, tmp_path, monkeypatch, frontier):
+    monkeypatch.setattr(walk, "FRONTIER", frontier)
+    root = tmp_path / "shoot"
+    for name in ("1.jpg", "_2.png", ".3.mp4", "notes.txt", "a/4.jpg", "a/b/5.jpg", "a/b/c/6.jpg", "__MacOSX/7.jpg", "a/.Thumbnails/8.jpg", "_out/9.mov"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"12345")
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere" / "10.jpg").write_bytes(b"x")
+    os.symlink(tmp_path / "elsewhere", root / "linked")
+    os.symlink(root / "a", root / "a" / "b" / "again")
+    os.symlink(root / "nowhere.jpg", root / "broken.jpg")
+    os.symlink(root / "1.jpg", root / "same.jpg")
+
+    def names(**options):
+        found = walk.walk(spark, str(root), **options)
+        return sorted(r["relative"] for r in found.where("status = 'file'").collect()), tuple(walk.walk_report(found).first())
+
+    plain = [".3.mp4", "1.jpg", "_2.png", "_out/9.mov", "a/4.jpg", "a/b/5.jpg", "a/b/c/6.jpg", "notes.txt"]
+    assert names() == (plain, (5, 2, 1, False))
+    followed, report = names(follow_links=True)
+    assert followed == sorted([*plain, "linked/10.jpg", "same.jpg"])
+    # the text file, the link that leads nowhere and the one that leads back
+    assert report == (7, 2, 3, False)
+    assert names(recursive=False)[0] == [".3.mp4", "1.jpg", "_2.png", "notes.txt"]
+    assert names(max_depth=2)[0] == [n for n in plain if n.count("/") < 2]
+    (tmp_path / "stop").write_bytes(b"")
+    assert names(cancel_file=str(tmp_path / "stop")) == ([], (0, 0, 0, True))
+    row = walk.walk(spark, str(root)).where("relative = '1.jpg'").first()
+    assert row["length"] == 5 and row["path"] == str(root / "1.jpg")
+    assert walk.walk(spark, str(root / "__MacOSX")).count() == 0
+    with pytest.raises(Exception, match="no folder"):
+        walk.walk(spark, str(tmp_path / "none")).count()
+
+
+def box(kind, body):
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def movie(made=3_840_000_000, scale=600, ticks=7_530, matrix=(0, 65536), version=0, handler=b"vide", stored=(1920, 1080)):
+    head = struct.pack(">B3xIIII", 0, made, 0, scale, ticks) if version == 0 else struct.pack(">B3xQQIQ", 1, made, 0, scale, ticks)
+    times = bytes(20) if version == 0 else bytes(32)
+    track = struct.pack(">B3x", version) + times + bytes(16) + struct.pack(">9i", matrix[0], matrix[1], 0, -matrix[1], matrix[0], 0, 0, 0, 1 << 30) + struct.pack(">II", 1080 << 16, 1920 << 16)
+    sample = struct.pack(">I", 0) + struct.pack(">I", 1) + struct.pack(">I4s", 86, b"avc1") + bytes(24) + struct.pack(">HH", *stored) + bytes(50)
+    media = box(b"mdia", box(b"hdlr", bytes(8) + handler + bytes(12)) + box(b"minf", box(b"stbl", box(b"stsd", sample))))
+    sound = box(b"trak", box(b"mdia", box(b"hdlr", bytes(8) + b"soun" + bytes(12))))
+    return box(b"moov", box(b"mvhd", head + bytes(80)) + sound + box(b"trak", box(b"tkhd", track) + media))
+
+
+def test_containers(spark, tmp_path):
+    front = box(b"ftyp", b"isom")
+    files_ = {
+        "early.mp4": front + movie() + box(b"mdat", bytes(100)),
+        "late.mov": front + struct.pack(">I4sQ", 1, b"mdat", 5016) + bytes(5000) + movie(matrix=(-65536, 0), version=1),
+        "upright.mp4": movie(made=0, matrix=(65536, 0)),
+        "turned.mp4": movie(matrix=(0, -65536), scale=0),
+        "sound.mp4": movie(handler=b"soun"),
+        "cut.mp4": front + movie()[:-40],
+        "lies.mp4": struct.pack(">I4s", 1 << 31, b"moov") + bytes(50),
+        "tiny.mp4": b"abc",
+        "empty.mp4": b"",
+    }
+    for name, data in files_.items():
+        (tmp_path / name).write_bytes(data)
+    listed = spark.createDataFrame([(str(tmp_path / n), "2020-01-01T00:00:00Z") for n in [*files_, "gone.mp4"]], "path string, modified_at string")
+    got = {os.path.basename(r["path"]): tuple(r)[1:] for r in container.video_metadata(listed).collect()}
+    assert got["early.mp4"] == (1920, 1080, 12.55, 8, "2025-09-06T10:40:00Z")
+    assert got["late.mov"] == (1920, 1080, 12.55, 3, "2025-09-06T10:40:00Z")
+    assert got["upright.mp4"] == (1920, 1080, 12.55, 1, "2020-01-01T00:00:00Z")
+    assert got["turned.mp4"] == (1920, 1080, None, 6, "2025-09-06T10:40:00Z")
+    assert got["sound.mp4"] == (None, None, 12.55, 1, "2025-09-06T10:40:00Z")
+    for name in ("cut.mp4", "lies.mp4", "tiny.mp4", "empty.mp4", "gone.mp4"):
+        assert got[name] == (None, None, None, 1, "2020-01-01T00:00:00Z")
