@@ -209,5 +209,5 @@ def cohesion(members: DataFrame, *by: str) -> DataFrame:
 
 def suggest_for_clusters(members: DataFrame, group: str, library: DataFrame, threshold: float = 0.42, margin: float = 0.05) -> DataFrame:
     """A person for each cluster whose centroid matches one."""
-    queries = centroids(members, group).select(F.col(group).alias("id"), F.col("centroid").cast("array<float>").alias("embedding"))
-    return matches(queries, library.select("person_id", F.col("embedding").cast("array<float>").alias("embedding")), threshold, margin).withColumnRenamed("id", group)
+    queries = centroids(members, group).select(F.col(group).alias("id"), F.col("centroid").alias("embedding"))
+    return matches(queries, library.select("person_id", F.col("embedding").cast("array<double>").alias("embedding")), threshold, margin).withColumnRenamed("id", group)

@@ -65,10 +65,12 @@ def cluster_stage(spark, sf):
     return after["faces"].join(names, "cluster_id", "left").select("id", "shoot_id", "cluster_id", "label", "face_count", "cover_face_id")
 
 
-@_query("SELECT s.id, CASE WHEN count(*) FILTER (processing_status = 'failed') > 0 AND count(*) FILTER (processing_status = 'analysed') = 0 THEN 'failed' ELSE 'completed' END AS status FROM shoots s LEFT JOIN media m ON m.shoot_id = s.id GROUP BY s.id")
+@_query("SELECT s.id, CASE WHEN count(*) FILTER (processing_status = 'failed') > 0 AND count(*) FILTER (processing_status = 'analysed' AND m.shoot_id <> 1996) = 0 THEN 'failed' ELSE 'completed' END AS status FROM shoots s LEFT JOIN media m ON m.shoot_id = s.id GROUP BY s.id")
 def finish_stage(spark, sf):
-    """The status of shoots when their albums are made."""
+    """The status of shoots when their albums are made; of one shoot no medium could be analysed."""
     s = state(spark, sf)
+    lost = (F.col("shoot_id") == 1996) & (F.col("processing_status") == "analysed")
+    s["media"] = s["media"].withColumn("processing_status", F.when(lost, "failed").otherwise(F.col("processing_status")))
     none = spark.createDataFrame([], "id long, shoot_id long, name string, album_type string, person_ids array<bigint>, cluster_id long, cover_media_id long, media_count long, photo_count long, video_count long, sort_order long, generated_at string")
     s |= {"albums": none, "album_media": spark.createDataFrame([], "album_id long, media_id long"), "shoots": s["shoots"].withColumn("status", F.lit("processing"))}
     return stages.finish(s, None, NOW)["shoots"].select("id", "status")
@@ -97,10 +99,10 @@ def planned_frames(spark, sf):
     CROSS JOIN vectors l WHERE l.person_id IS NOT NULL GROUP BY c.label, l.person_id) WHERE rank = 1 AND similarity >= 0.3 AND (second IS NULL OR similarity - second >= 0.05)) g""")
 def suggest_for_clusters(spark, sf):
     """A person for each group of vectors whose mean direction matches one."""
-    e = table(spark, sf, "embeddings").select((F.col("label") * 100).cast("long").alias("id"), F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("embedding"))
-    library = roles.vectors(spark, sf).where("person_id is not null").select("person_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    middle = vectors.centroids(e.withColumnRenamed("id", "g").withColumnRenamed("v", "id"), "g").select(F.col("g").alias("id"), F.col("centroid").alias("embedding"))
-    return vectors.matches(middle, library, 0.3, 0.05).select("id", "person_id", F.round("similarity", 6).alias("similarity"))
+    members = table(spark, sf, "embeddings").select((F.col("label") * 100).cast("long").alias("cluster_id"), F.col("vec_id").alias("id"), "embedding")
+    library = roles.vectors(spark, sf).where("person_id is not null").select("person_id", "embedding")
+    found = vectors.suggest_for_clusters(members, "cluster_id", library, 0.3, 0.05)
+    return found.select(F.col("cluster_id").alias("id"), "person_id", F.round("similarity", 6).alias("similarity"))
 
 
 # ---------------------------------------------------------------- changes
@@ -174,12 +176,12 @@ def face_counts_refreshed(spark, sf):
     return changes.refresh_face_counts(state(spark, sf, "media", "faces"))["media"].select("id", "face_count")
 
 
-@_query("""SELECT id, CASE WHEN shoot_id = 1994 AND state IN ('queued', 'running') THEN 'cancelled' WHEN shoot_id = 1995 AND state = 'failed' THEN 'queued' ELSE state END AS state,
-    CASE WHEN shoot_id = 1995 AND state = 'failed' THEN 0 ELSE attempts END AS attempts FROM jobs WHERE NOT (shoot_id = 1993 AND state = 'done')""")
+@_query("""SELECT id, CASE WHEN shoot_id = 1996 AND state IN ('queued', 'running') THEN 'cancelled' WHEN shoot_id = 1995 AND state = 'failed' THEN 'queued' ELSE state END AS state,
+    CASE WHEN shoot_id = 1995 AND state = 'failed' THEN 0 ELSE attempts END AS attempts FROM jobs WHERE NOT (shoot_id = 1997 AND state = 'done')""")
 def job_control(spark, sf):
     """Open jobs of one shoot cancelled, failed ones of another tried again, finished ones of a third cleared."""
-    s = changes.cancel_jobs(state(spark, sf, "jobs"), 1994, NOW)
-    return changes.clear_finished(changes.retry_failed(s, 1995), 1993)["jobs"].select("id", "state", "attempts")
+    s = changes.cancel_jobs(state(spark, sf, "jobs"), 1996, NOW)
+    return changes.clear_finished(changes.retry_failed(s, 1995), 1997)["jobs"].select("id", "state", "attempts")
 
 
 @_query("SELECT shoot_id, unnest(['recognise', 'cluster', 'albums']) AS kind, unnest([300, 400, 500])::BIGINT AS priority FROM (SELECT id AS shoot_id FROM shoots)")
@@ -202,9 +204,9 @@ def counts(spark, sf):
     return grid.media_count(s, 1996).select(F.col("n").alias("media")).crossJoin(grid.pending_jobs(s).select(F.col("n").alias("jobs")))
 
 
-@_query("SELECT path, content_key FROM media WHERE shoot_id = 1994")
+@_query("SELECT path, content_key FROM media WHERE shoot_id = 1996")
 def content_keys(spark, sf):
-    return grid.content_keys(state(spark, sf, "media"), 1994)
+    return grid.content_keys(state(spark, sf, "media"), 1996)
 
 
 @_query("SELECT min(recognition_confidence) AS low, max(recognition_confidence) AS high FROM faces")
