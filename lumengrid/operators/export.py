@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import partial
 from pathlib import PurePath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import discard, written
 from ..functions.scalars import safe_component
 from ..schema import State
+from . import changes
 
 
 @dataclass(frozen=True)
@@ -114,33 +117,118 @@ def destination_allowed(destination: str, sources: list[str]) -> bool:
     return not any(there[: len(own)] == own for s in sources if (own := PurePath(os.path.normpath(s)).parts))
 
 
-def _copy(batches: Iterator[pa.RecordBatch], destination: str, options: ExportOptions) -> Iterator[pa.RecordBatch]:
+def _copied(source: str, target: str, options: ExportOptions) -> tuple[str, str | None]:
+    """(outcome, error) of one file."""
+    try:
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        if os.path.exists(target) and options.on_conflict == "skip":
+            return "skipped", None
+        if options.on_conflict == "rename":
+            (stem, ext), n = os.path.splitext(target), 1
+            while os.path.exists(target):
+                n += 1
+                target = f"{stem} ({n}){ext}"
+        # a copy that is broken off leaves no half file under the final name
+        part = f"{target}.part"
+        (shutil.copy2 if options.preserve_times else shutil.copy)(source, part)
+        os.replace(part, target)
+        return "copied", None
+    except OSError as e:
+        return "failed", str(e)
+
+
+def _copy(batches: Iterator[pa.RecordBatch], destination: str, options: ExportOptions, run: ExportRun | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        done = []
-        for source, relative in zip(batch.column("source").to_pylist(), batch.column("relative_path").to_pylist(), strict=True):
-            target = os.path.join(destination, relative)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            if os.path.exists(target) and options.on_conflict == "skip":
-                done.append(("skipped", 0, None))
-                continue
-            if options.on_conflict == "rename":
-                stem, ext = os.path.splitext(target)
-                n = 1
-                while os.path.exists(target):
-                    n += 1
-                    target = f"{stem} ({n}){ext}"
-            try:
-                # a copy that is broken off leaves no half file under the final name
-                part = f"{target}.part"
-                (shutil.copy2 if options.preserve_times else shutil.copy)(source, part)
-                os.replace(part, target)
-                done.append(("copied", os.path.getsize(target), None))
-            except OSError as e:
-                done.append(("failed", 0, str(e)))
-        yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("relative_path"), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.string())], names=["source", "relative_path", "outcome", "bytes", "error"])
-
-
-def execute_export(plan: DataFrame, destination: str, options: ExportOptions) -> DataFrame:
+        rows = []
+        for source, relative, size in zip(*(batch.column(c).to_pylist() for c in ("source", "relative_path", "file_size")), strict=True):
+            outcome, error = _copied(source, os.path.join(destination, relative), options)
+            size = (size or 0) if outcome == "copied" else 0
+            rows.append((source, relative, outcome, size, error))
+            if run:
+                run.tell(outcome, size)
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["source", "relative_path", "outcome", "bytes", "error"])
+
+
+def execute_export(plan: DataFrame, destination: str, options: ExportOptions, run: ExportRun | None = None) -> DataFrame:
     """(source, relative_path, outcome, bytes, error) of copying each file to a folder that all tasks see."""
-    rows = plan.select("source", "relative_path")
-    return rows.mapInArrow(partial(_copy, destination=destination, options=options), "source string, relative_path string, outcome string, bytes long, error string")
+    rows = plan.select("source", "relative_path", F.col("file_size").cast("long").alias("file_size"))
+    return rows.mapInArrow(partial(_copy, destination=destination, options=options, run=run), "source string, relative_path string, outcome string, bytes long, error string")
+
+
+# ---------------------------------------------------------------- runs
+
+
+class ExportRun:
+    """What goes on in an export: counts that tasks add to, and a way to call it off.
+
+    Counts grow as tasks end; a task that is tried again counts again, so they are for watching. The final
+    figures come from the outcomes.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._sc = spark.sparkContext
+        self.tag = f"export-{uuid.uuid4().hex}"
+        self.cancelled = False
+        self._counts = {k: self._sc.accumulator(0) for k in ("copied", "skipped", "failed", "bytes")}
+
+    def __getstate__(self) -> dict:
+        # tasks only add
+        return {"_counts": self._counts}
+
+    def tell(self, outcome: str, size: int) -> None:
+        self._counts[outcome].add(1)
+        self._counts["bytes"].add(size)
+
+    def progress(self) -> dict[str, int]:
+        return {k: a.value for k, a in self._counts.items()}
+
+    def cancel(self) -> None:
+        """End the run's tasks, from any thread; files that are done stay, half ones have no name."""
+        self.cancelled = True
+        self._sc.cancelJobsWithTag(self.tag)
+
+
+class ExportError(ValueError):
+    """An export that can't begin."""
+
+
+def run_export(state: State, shoot_id: int, destination: str, options: ExportOptions, now: str, run: ExportRun | None = None, present: DataFrame | None = None) -> State:
+    """Plan and copy, and return the state with a row of ``exports`` and one in the log.
+
+    Nothing to export, a shoot that isn't there or a destination in the shoot's own folder is an error,
+    and nothing is written. Otherwise the run ends as completed, as cancelled if ``run.cancel`` was called, or
+    as failed, if it broke off or some file couldn't be copied; the others are there then all the same.
+    """
+    spark = state["shoots"].sparkSession
+    run = run or ExportRun(spark)
+    shoot = state["shoots"].where(F.col("id") == shoot_id).first()
+    if not shoot:
+        raise ExportError(f"there is no shoot {shoot_id}")
+    source = shoot.asDict().get("source_path")
+    if source and not destination_allowed(destination, [source]):
+        raise ExportError("the destination lies in the shoot's own folder")
+    plan = written(export_plan(export_groups(state, shoot_id, options, present), options), "export-plan")
+    total = plan_totals(plan).first()["files_total"]
+    if not total:
+        raise ExportError("nothing to export: no albums match the options")
+    seen, status, error, done, size = Observation("outcomes"), "completed", None, 0, 0
+    spark.sparkContext.addJobTag(run.tag)
+    try:
+        outcome = F.col("outcome")
+        counted = execute_export(plan, destination, options, run).observe(
+            seen, F.count_if(outcome == "copied").alias("done"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min(F.when(outcome == "failed", F.concat_ws(": ", "source", "error"))).alias("error")
+        )
+        discard(written(counted, "export-outcomes"))
+        done, size, error = (seen.get[k] for k in ("done", "bytes", "error"))
+        status = "failed" if error else "completed"
+    except Exception as e:  # the job was ended, or something broke that isn't a file's own fault
+        status, error = ("cancelled", None) if run.cancelled else ("failed", str(e).splitlines()[0])
+        done, size = run.progress()["copied"], run.progress()["bytes"]
+    finally:
+        spark.sparkContext.removeJobTag(run.tag)
+        discard(plan)
+    row = (shoot_id, destination, json.dumps(asdict(options), sort_keys=True), status, int(total), int(done), int(size), error, now, now)
+    ddl = "shoot_id long, destination string, options string, status string, files_total long, files_done long, bytes_done long, error string, started_at string, finished_at string"
+    out = changes.inserted(state, "exports", spark.createDataFrame([row], ddl), ["shoot_id"])
+    return changes.record(out, "export", now, shoot_id=shoot_id, detail=f"{status} → {destination}")

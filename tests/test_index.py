@@ -195,6 +195,69 @@ def test_settings(spark):
     assert settings.setting(df, "none", 8) == 8
 
 
+def exported(base, tmp_path):
+    """The base with albums, its files on disk."""
+    s = albums.regenerate(base, 1, NOW)
+    media = s["media"].withColumn("path", F.concat(F.lit(str(tmp_path) + "/in/"), "filename")).withColumn("file_size", F.lit(2).cast("long"))
+    (tmp_path / "in").mkdir()
+    for i in range(1, 5):
+        (tmp_path / "in" / f"{i}.jpg").write_bytes(b"xy")
+    return {**s, "media": media, "shoots": s["shoots"].withColumn("source_path", F.lit(str(tmp_path) + "/in"))}
+
+
+def test_export_runs(base, tmp_path):
+    s = exported(base, tmp_path)
+    options = export.ExportOptions(person_ids=(1,))
+    columns = ("id", "status", "files_total", "files_done", "bytes_done")
+    s = export.run_export(s, 1, str(tmp_path / "out"), options, NOW)
+    assert rows(s["exports"], *columns, "error") == [(1, "completed", 3, 3, 6, None)]
+    assert rows(s["app_log"], "event", "shoot_id", "detail") == [("export", 1, f"completed → {tmp_path}/out")]
+    # all there: nothing is copied, which is no failure
+    run = export.ExportRun(base["media"].sparkSession)
+    s = export.run_export(s, 1, str(tmp_path / "out"), options, NOW, run)
+    assert rows(s["exports"].where("id = 2"), *columns) == [(2, "completed", 3, 0, 0)]
+    assert run.progress() == {"copied": 0, "skipped": 3, "failed": 0, "bytes": 0}
+    (tmp_path / "in" / "2.jpg").unlink()
+    s = export.run_export(s, 1, str(tmp_path / "again"), options, NOW)
+    last = s["exports"].where("id = 3").first()
+    assert (last["status"], last["files_done"], last["bytes_done"]) == ("failed", 2, 4) and "2.jpg" in last["error"]
+    for wrong in (lambda: export.run_export(s, 1, str(tmp_path / "x"), export.ExportOptions(person_ids=(99,), include_unidentified=False), NOW), lambda: export.run_export(s, 7, str(tmp_path / "x"), options, NOW), lambda: export.run_export(s, 1, str(tmp_path / "in" / "x"), options, NOW)):
+        with pytest.raises(export.ExportError):
+            wrong()
+    assert not (tmp_path / "x").exists()
+
+
+def test_a_run_can_be_called_off(base, tmp_path, monkeypatch):
+    import threading
+    import time
+
+    from pyspark import cloudpickle
+
+    def slow(source, target, options):
+        open(target.replace("/", "_").join([str(tmp_path) + "/began", ""]), "w").close()
+        time.sleep(60)
+        return "copied", None
+
+    monkeypatch.setattr(export, "_copied", slow)
+    cloudpickle.register_pickle_by_value(export)
+    try:
+        run = export.ExportRun(base["media"].sparkSession)
+
+        def call_off():
+            while not list(tmp_path.glob("began*")):
+                time.sleep(0.1)
+            run.cancel()
+
+        watcher = threading.Thread(target=call_off, daemon=True)
+        watcher.start()
+        began = time.time()
+        s = export.run_export(exported(base, tmp_path), 1, str(tmp_path / "out"), export.ExportOptions(), NOW, run)
+        assert time.time() - began < 50
+    finally:
+        cloudpickle.unregister_pickle_by_value(export)
+    assert rows(s["exports"], "status", "files_done", "error") == [("cancelled", 0, None)]
+
+
 def test_versions(base, tmp_path):
     spark = base["media"].sparkSession
     root = f"file://{tmp_path}/state"
