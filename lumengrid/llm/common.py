@@ -260,6 +260,18 @@ def packed_text(df: DataFrame) -> DataFrame:
     return df.mapInArrow(partial(_pack, at=df.columns.index("text")), ddl)
 
 
+@tidy
+def _unpack(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for batch, texts in unpacked_batches(batches, at, 8 << 20):
+        yield batch.set_column(at, batch.schema.names[at], pa.array(texts, pa.binary()).cast(pa.string()))
+
+
+def unpacked_text(df: DataFrame) -> DataFrame:
+    """``df`` with ``text`` as it was before ``packed_text``."""
+    ddl = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(partial(_unpack, at=df.columns.index("text")), ddl)
+
+
 def unpacked(texts: list[bytes | None]) -> list[bytes | None]:
     """The UTF-8 bytes of compressed texts."""
     press = zstandard.ZstdDecompressor()

@@ -137,23 +137,25 @@ def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 @tidy
-def _profile(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, class, text): the class is null for a text without words. The text goes along,
-    compressed, where this task has not met its class before."""
+def _profile(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema, whole: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_shingles, class, first, text) and what is carried: the class is null for a text without words.
+    ``first``: this task has not met the class before. The text goes along, compressed, with these, or with all rows."""
     press = zstandard.ZstdCompressor(level=3)
     seen: set[int] = set()
     for batch in small_batches(batches, "text"):
         sets = shingle_sets(batch.column("text").fill_null(""), k)
         names = [digest(s) if len(s) else None for s in sets]
-        texts = []
+        first, texts = [], []
         for name, text in zip(names, batch.column("text"), strict=True):
             fresh = name is not None and name not in seen
             if fresh:
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(name)
-            texts.append(press.compress(text.as_py().encode()) if fresh else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(texts, pa.binary())], schema=schema)
+            first.append(fresh)
+            texts.append(press.compress(text.as_py().encode()) if fresh or whole and text.is_valid else None)
+        found = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(first, pa.bool_()), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*found, *batch.columns[2:]], names=schema.names)
 
 
 @tidy
@@ -335,8 +337,9 @@ def _links_of(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
 # ---------------------------------------------------------------- the join
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, whole: bool = False) -> DataFrame:
     """(doc_id, n_shingles, class, component_id) for every row of ``docs`` (doc_id long, text string).
+    With ``whole`` the text, compressed as by ``packed_text``, and a column ``carried`` come back too, so that ``docs`` needn't be read again.
 
     Two texts link when ``den * |x & y| >= num * |x | y|`` for their sets of k-word shingles of
     lower-cased words. ``component_id`` is the smallest doc_id that links reach, itself included.
@@ -347,12 +350,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     shingles is that of 64-bit hashes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    more = ["carried"] if whole else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
     arrow = lambda **f: pa.schema(list(f.items()))
-    profile = written(
-        docs.mapInArrow(partial(_profile, k=k, schema=arrow(doc_id=pa.int64(), n_shingles=pa.int64(), **{"class": pa.int64()}, text=pa.binary())), "doc_id long, n_shingles long, class long, text binary"),
-        "jaccard-profile",
-    )
+    ddl = "doc_id long, n_shingles long, class long, first boolean, text binary" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    names = pa.schema([(c.split(" ")[0], pa.null()) for c in ddl.split(", ")[:5]] + [(c, pa.null()) for c in more])
+    profile = written(docs.mapInArrow(partial(_profile, k=k, schema=names, whole=whole), ddl), "jaccard-profile")
     sent = docs.select("text").mapInArrow(
         partial(_send, k=k, num=num, den=den, n_shards=shards(spark), schema=arrow(shard=pa.int64(), sig=pa.binary(), own=pa.binary())),
         "shard long, sig binary, own binary",
@@ -362,7 +365,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     # the texts of classes that share a tile with another
     wanted = tiles.select("class").distinct()
     members = written(
-        profile.where("text is not null").select("class", "text").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+        profile.where("first").select("class", "text").join(wanted, "class", "left_semi").dropDuplicates(["class"])
         .mapInArrow(partial(_members, k=k, schema=arrow(**{"class": pa.int64()}, size=pa.int64(), bits=pa.binary(), text=pa.binary())), "class long, size long, bits binary, text binary"),
         "jaccard-members",
     )
@@ -434,4 +437,5 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     rooted_classes = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted_classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted_classes.join(smallest, "root").select("class", "component_id")
-    return profile.join(named, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = profile.join(named, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return placed.select("doc_id", "n_shingles", "class", "component_id", *(["text", "carried"] if whole else []))
