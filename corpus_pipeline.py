@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import discard, set_aside, written
+from lumengrid.llm.common import discard, set_aside, unpacked_text, written
 from lumengrid.llm.decontaminate import without_items
 from lumengrid.llm.language import fit_language, identify_language, training_rows
 from lumengrid.llm.mixture import pareto_mixture
@@ -34,12 +34,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     shingle link as wholes, texts without words with nothing. Rows are told apart by a number of
     their own, so those that share a doc_id or have none don't share their fate. An empty table stays
     one; other columns are carried."""
-    docs, put_back = set_aside(docs, *OWN)
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-    groups = near_duplicate_groups(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias("_row"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_row")
-    stay = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first")["_row"].alias("_row"))
-    return put_back(rows.join(stay, "_row", "left_semi"))
+    docs, put_back = set_aside(docs, "doc_id", "text")
+    # the join hands all columns on, so that rows are numbered and read once
+    rows = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.struct("doc_id", "carried").alias("carried"))
+    groups = near_duplicate_groups(rows, k=5, num=80, den=100, whole=True)
+    place = F.struct(F.col("carried.doc_id").isNull().alias("none"), F.col("carried.doc_id").cast("long").alias("id"), F.col("doc_id").alias("row"))
+    stay = groups.groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first.row").alias("doc_id"))
+    kept = groups.join(stay, "doc_id", "left_semi").select("text", "carried")
+    return put_back(unpacked_text(kept).select("carried.doc_id", "text", F.col("carried.carried").alias("carried")))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
