@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumengrid.operators import pixels
-from lumengrid.sources import container, files, walk
+from lumengrid.sources import cache, container, files, walk
 from lumengrid.streaming import live
 
 
@@ -161,3 +161,29 @@ def test_containers(spark, tmp_path):
     assert got["sound.mp4"] == (None, None, 12.55, 1, "2025-09-06T10:40:00Z")
     for name in ("cut.mp4", "lies.mp4", "tiny.mp4", "empty.mp4", "gone.mp4"):
         assert got[name] == (None, None, None, 1, "2020-01-01T00:00:00Z")
+
+
+def test_cache(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    assert cache.clear(spark, root) == 0
+    rows = spark.createDataFrame([("abcd", b"one"), ("abce", b"two"), ("f", b"short"), (None, b"x"), ("ffff", None)], "key string, content binary")
+    cache.store(rows, root)
+    assert (tmp_path / "cache" / "ab" / "abcd.jpg").read_bytes() == b"one"
+    assert (tmp_path / "cache" / "00" / "f.jpg").read_bytes() == b"short"
+    assert tuple(cache.cache_size(spark, root).first()) == (3, 11)
+    # what is there stays, and a key that many tasks write is there once and whole
+    again = spark.range(200).select(F.lit("abcd").alias("key"), F.lit(b"other").alias("content")).unionByName(spark.range(0, 200, 1, 8).select(F.lit("ee11").alias("key"), F.lit(b"same").alias("content")))
+    cache.store(again, root)
+    assert (tmp_path / "cache" / "ab" / "abcd.jpg").read_bytes() == b"one"
+    assert (tmp_path / "cache" / "ee" / "ee11.jpg").read_bytes() == b"same"
+    # a run that breaks off leaves whole files and nothing aside
+    bad = spark.createDataFrame([("0001", b"fine"), ("../up", b"no")], "key string, content binary").coalesce(1)
+    with pytest.raises(Exception, match="name a file"):
+        cache.store(bad, root)
+    assert not list((tmp_path / "cache" / ".aside").iterdir())
+    assert not (tmp_path / "up.jpg").exists()
+    assert (tmp_path / "cache" / "00" / "0001.jpg").read_bytes() == b"fine"
+    with pytest.raises(Exception, match="clear it first"):
+        rows.write.format("filecache").mode("overwrite").save(root)
+    assert cache.clear(spark, root) == 5
+    assert tuple(cache.cache_size(spark, root).first()) == (0, 0)
