@@ -45,6 +45,8 @@ LOTS = 1024
 _FLUSH = 1 << 19
 #: So many classes a task remembers as sent.
 _SEEN = 1 << 17
+#: The bitmap of classes that share a tile has so many words of 64 bits at most: 4 MB, whatever the input.
+MARK_WORDS = 1 << 18
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -337,6 +339,17 @@ def _links_of(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
 # ---------------------------------------------------------------- the join
 
 
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose class is in ``wanted``, and a few others: a class is a hash, its lower bits choose a word of a
+    bitmap and its upper ones a bit of that. The bitmap is broadcast, as it has ``MARK_WORDS`` words at most."""
+    word = F.col("class").bitwiseAND(F.lit(MARK_WORDS - 1)).alias("_word")
+    bit = F.shiftrightunsigned("class", 58).cast("int").alias("_bit")
+    bits = F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits")
+    marks = wanted.select(word, bit).groupBy("_word").agg(bits)
+    found = rows.select("*", word, bit).join(F.broadcast(marks), "_word").where("(shiftrightunsigned(_bits, _bit) & 1L) = 1L")
+    return found.drop("_word", "_bit", "_bits")
+
+
 def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, whole: bool = False) -> DataFrame:
     """(doc_id, n_shingles, class, component_id) for every row of ``docs`` (doc_id long, text string).
     With ``whole`` the text, compressed as by ``packed_text``, and a column ``carried`` come back too, so that ``docs`` needn't be read again.
@@ -362,10 +375,11 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int =
     )
     tiles = written(sent.groupBy("shard").applyInArrow(_tiles, "tile long, class long").distinct(), "jaccard-tiles")
 
-    # the texts of classes that share a tile with another
+    # the texts of classes that share a tile with another; those that the bitmap of such classes doesn't
+    # mark stay where they are, and the join settles the rest (an inner one: a semi join would go below the bitmap)
     wanted = tiles.select("class").distinct()
     members = written(
-        profile.where("first").select("class", "text").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+        _marked(profile.where("first").select("class", "text"), wanted).join(wanted, "class").dropDuplicates(["class"])
         .mapInArrow(partial(_members, k=k, schema=arrow(**{"class": pa.int64()}, size=pa.int64(), bits=pa.binary(), text=pa.binary())), "class long, size long, bits binary, text binary"),
         "jaccard-members",
     )
