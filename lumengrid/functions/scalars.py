@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = r"[\p{IsWhite_Space}]+"
@@ -192,6 +194,40 @@ def blob_floats(blob: Column) -> Column:
     return F.when(F.octet_length(blob) % 4 == 0, F.when(F.octet_length(blob) == 0, F.slice(some, 1, 0)).otherwise(some))
 
 
+@F.arrow_udf(BinaryType())
+def _packed(v: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or x.null_count else x.to_numpy().astype("<f4").tobytes() for x in (s.values for s in v)], pa.binary())
+
+
+def float_blob(v: Column) -> Column:
+    """Numbers as little-endian 32-bit floats, end to end; null for null and for an array with a null in it."""
+    return _packed(v.cast("array<float>"))
+
+
+def id_list_text(ids: Column) -> Column:
+    """Ids as a JSON list; ``[]`` for null."""
+    return F.concat(F.lit("["), F.coalesce(F.array_join(ids, ","), F.lit("")), F.lit("]"))
+
+
+def id_list(c: Column) -> Column:
+    """The ids of a JSON list of whole numbers; an empty array for null and for whatever else the text may be,
+    a list with one number beyond 64 bits or one fraction in it included."""
+    number, gap = r"(?:0|-?[1-9]\d*)", r"[ \t\r\n]*"
+    found = F.transform(F.regexp_extract_all(c, F.lit(r"(-?\d+)"), 1), lambda n: n.try_cast("long"))
+    whole = c.rlike(rf"\A{gap}\[{gap}(?:{number}{gap}(?:,{gap}{number}{gap})*)?\]{gap}\z")
+    return F.when(whole & ~F.exists(found, lambda n: n.isNull()), found).otherwise(F.array().cast("array<bigint>"))
+
+
+def clean_path(c: Column) -> Column:
+    """An absolute or relative path without ``.``, ``..`` and doubled strokes; ``.`` if nothing is left."""
+    absolute = F.startswith(c, F.lit("/"))
+    parts = F.filter(F.split(c, "/"), lambda p: ~p.isin("", "."))
+    up = lambda kept: (F.size(kept) > 0) & (F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("")) != "..")
+    step = lambda kept, p: F.when((p == "..") & up(kept), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when((p == "..") & absolute, kept).otherwise(F.array_append(kept, p))
+    text = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(text == "", ".").otherwise(text)
+
+
 # ---------------------------------------------------------------- labels for people to read
 
 

@@ -99,7 +99,7 @@ def regenerate(state: State, shoot_id: int | None = None, now: str = "") -> Stat
     counts = album_counts(rows, state["media"], key)
     heads = rows.select(*key, "name", "person_ids").distinct().join(counts, key)
     # albums are few: a shoot has as many as persons, teams and 60 pairs
-    number = F.row_number().over(Window.orderBy("shoot_id", _kind_order(), "sort_order"))
+    number = F.row_number().over(Window.orderBy("shoot_id", kind_order(), "sort_order"))
     numbered = heads.join(F.broadcast(base)).withColumn("id", F.col("base") + number).drop("base")
     fresh = numbered.withColumn("cluster_id", F.lit(None).cast("long")).withColumn("generated_at", F.lit(now))
     members = rows.join(numbered.select(*key, F.col("id").alias("album_id")), key).select("album_id", "media_id")
@@ -107,7 +107,8 @@ def regenerate(state: State, shoot_id: int | None = None, now: str = "") -> Stat
     return {**state, "albums": kept.unionByName(fresh.select(*kept.columns)), "album_media": kept_members.unionByName(members).dropDuplicates(["album_id", "media_id"])}
 
 
-def _kind_order():
+def kind_order():
+    """Players, pairs, teams, the unidentified."""
     kind = F.col("album_type")
     return F.when(kind == "player", 0).when(kind == "multiPlayer", 1).when(kind == "team", 2).otherwise(3)
 
@@ -115,7 +116,7 @@ def _kind_order():
 def album_list(state: State, shoot_id: int | None = None) -> DataFrame:
     """Albums by kind, largest first, then by name."""
     albums = state["albums"] if shoot_id is None else state["albums"].where(F.col("shoot_id") == shoot_id)
-    return albums.orderBy("shoot_id", _kind_order(), F.desc("media_count"), nocase(F.col("name")), "id")
+    return albums.orderBy("shoot_id", kind_order(), F.desc("media_count"), nocase(F.col("name")), "id")
 
 
 def album_media_ids(state: State, album_id: int, media_type: str | None = None) -> DataFrame:

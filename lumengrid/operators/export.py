@@ -12,13 +12,14 @@ from functools import partial
 from pathlib import PurePath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, written
-from ..functions.scalars import safe_component
+from ..functions.scalars import clean_path, nocase, safe_component
 from ..schema import State
 from . import changes
+from .albums import kind_order
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,9 @@ class ExportOptions:
     on_conflict: str = "skip"  # skip, rename or overwrite
 
 
+OPTIONS_DDL = "person_ids array<bigint>, split_photos_videos boolean, include_unidentified boolean, include_multi_player boolean, preserve_times boolean, on_conflict string"
+
+
 def export_groups(state: State, shoot_id: int, options: ExportOptions, present: DataFrame | None = None) -> DataFrame:
     """(group, name, media_id, source, filename, media_type, file_size, position) of what is exported:
     players' albums (all, or those with one of ``person_ids``), pairs and the unidentified as asked,
@@ -117,6 +121,41 @@ def destination_allowed(destination: str, sources: list[str]) -> bool:
     return not any(there[: len(own)] == own for s in sources if (own := PurePath(os.path.normpath(s)).parts))
 
 
+def plan_folders(plan: DataFrame) -> DataFrame:
+    """(folder, position) of the folders that files go to, in the order in which an export meets them: albums in
+    their order, the files of each by time, name and id. The window holds a row a folder of one export."""
+    folder = F.concat_ws("/", F.filter(F.array("folder", "subfolder"), lambda p: p != ""))
+    file = (F.col("captured_at").isNull(), F.col("captured_at"), F.col("filename"), F.col("media_id"))
+    place = F.struct(*[c.alias(f"c{i}") for i, c in enumerate((kind_order(), -F.col("media_count"), nocase(F.col("name")), F.col("group"), *file))])
+    first = plan.groupBy(folder.alias("folder")).agg(F.min(place).alias("_first"))
+    return first.select("folder", (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias("position"))
+
+
+def refused_destinations(destinations: DataFrame, sources: DataFrame) -> DataFrame:
+    """Of ``destinations`` (path and any other columns) the rows whose folder is one of ``sources`` (path) or lies in
+    one, the file system not asked. Each destination meets the sources by its own ancestors, an equality join."""
+    roots = sources.select(clean_path(F.col("path")).alias("_root")).where("_root is not null").distinct()
+    parts = F.split(clean_path(F.col("path")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = F.transform(above, lambda p: F.when(p == "", "/").otherwise(p))
+    asked = destinations.where("path is not null").select("path").distinct()
+    inside = asked.select("path", F.explode(F.array_distinct(above)).alias("_root")).join(roots, "_root", "left_semi").select("path").distinct()
+    return destinations.join(inside, "path", "left_semi").select(*destinations.columns)
+
+
+def options_text(options: ExportOptions) -> str:
+    return json.dumps(asdict(options), sort_keys=True)
+
+
+def options_of(c: Column) -> Column:
+    """The options that ``options_text`` wrote, as a struct; what is missing, unknown or of a wrong kind has its default."""
+    found, plain = F.from_json(c, OPTIONS_DDL), ExportOptions()
+    value = lambda k: F.coalesce(found[k], F.lit(getattr(plain, k)))
+    conflict = F.when(found["on_conflict"].isin("skip", "rename", "overwrite"), found["on_conflict"]).otherwise(plain.on_conflict)
+    switches = ("split_photos_videos", "include_unidentified", "include_multi_player", "preserve_times")
+    return F.struct(found["person_ids"].alias("person_ids"), *[value(k).alias(k) for k in switches], conflict.alias("on_conflict"))
+
+
 def _copied(source: str, target: str, options: ExportOptions) -> tuple[str, str | None]:
     """(outcome, error) of one file."""
     try:
@@ -228,7 +267,7 @@ def run_export(state: State, shoot_id: int, destination: str, options: ExportOpt
     finally:
         spark.sparkContext.removeJobTag(run.tag)
         discard(plan)
-    row = (shoot_id, destination, json.dumps(asdict(options), sort_keys=True), status, int(total), int(done), int(size), error, now, now)
+    row = (shoot_id, destination, options_text(options), status, int(total), int(done), int(size), error, now, now)
     ddl = "shoot_id long, destination string, options string, status string, files_total long, files_done long, bytes_done long, error string, started_at string, finished_at string"
     out = changes.inserted(state, "exports", spark.createDataFrame([row], ddl), ["shoot_id"])
     return changes.record(out, "export", now, shoot_id=shoot_id, detail=f"{status} → {destination}")

@@ -328,3 +328,18 @@ def test_log(base):
     s = changes.record_quietly(s, "scan", NOW)
     assert rows(grid.recent_log(s), "id", "event") == [(2, "scan"), (1, "scan")]
     assert changes.trim_log(s, 1)["app_log"].count() == 2
+
+
+def test_refused_destinations(spark):
+    asked = spark.createDataFrame([(1, "/s"), (2, "/s/a/b"), (3, "/sx"), (4, "/t/../s/c"), (5, None), (6, "/"), (7, "/s")], "id long, path string")
+    sources = spark.createDataFrame([("/s/",), (None,)], "path string")
+    assert rows(export.refused_destinations(asked, sources).orderBy("id"), "id") == [(1,), (2,), (4,), (7,)]
+    assert rows(export.refused_destinations(asked, spark.createDataFrame([("/",)], "path string")).orderBy("id"), "id") == [(1,), (2,), (3,), (4,), (6,), (7,)]
+
+
+def test_options_come_back(spark):
+    options = export.ExportOptions(person_ids=(3, 4), split_photos_videos=False, on_conflict="overwrite")
+    texts = [(1, export.options_text(options)), (2, None), (3, "[]"), (4, '{"preserve_times": "no", "include_unidentified": false}')]
+    got = spark.createDataFrame(texts, "id long, t string").select("id", export.options_of(F.col("t")).alias("o")).orderBy("id").collect()
+    assert export.ExportOptions(**{**got[0]["o"].asDict(), "person_ids": tuple(got[0]["o"]["person_ids"])}) == options
+    assert [export.ExportOptions(**r["o"].asDict()) for r in got[1:]] == [export.ExportOptions(), export.ExportOptions(), export.ExportOptions(include_unidentified=False)]

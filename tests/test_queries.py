@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lumengrid.plans import more_queries  # noqa: F401  registers its queries
+from lumengrid.plans import expression_queries, more_queries  # noqa: F401  these register their queries
 from lumengrid.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,4 +1,5 @@
 import math
+import os
 import struct
 
 import pytest
@@ -169,3 +170,23 @@ def test_scene_times_and_probe(spark):
     got = values(spark, [(log, probe)], "l string, p string", frames.scene_times(F.col("l")), frames.video_info(F.col("p")))
     assert got[0][0] == [1.0, 3.5]
     assert tuple(got[0][1]) == (12.5, 1280, None, 90, None)
+
+
+def test_float_blob(spark):
+    rows = [([1.5, -2.0, 1e-45],), ([],), (None,), ([1.0, None],)]
+    got = values(spark, rows, "v array<double>", s.float_blob(F.col("v")))
+    assert [None if r[0] is None else bytes(r[0]) for r in got] == [struct.pack("<3f", 1.5, -2.0, 1e-45), b"", None, None]
+
+
+def test_id_lists(spark):
+    texts = ["[1,-2]", " [ 3 ]\n", "[]", "[1,2.5]", "[1,]", "[-0]", "[01]", "{}", "null", "", "[9223372036854775808]", None]
+    got = values(spark, [(t,) for t in texts], "t string", s.id_list(F.col("t")), s.id_list_text(s.id_list(F.col("t"))))
+    assert [list(r[0]) for r in got] == [[1, -2], [3]] + [[]] * 10
+    assert [r[1] for r in got][:3] == ["[1,-2]", "[3]", "[]"]
+    assert values(spark, [(None,)], "v array<bigint>", s.id_list_text(F.col("v")))[0][0] == "[]"
+
+
+def test_clean_path(spark):
+    paths = ["/a/b/../c", "/..", "/a//./b/", "a/../../b", "../x", "", ".", "/", "/a/../..", "a/.."]
+    got = values(spark, [(p,) for p in paths], "p string", s.clean_path(F.col("p")))
+    assert [r[0] for r in got] == [os.path.normpath(p) for p in paths]
