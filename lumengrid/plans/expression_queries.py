@@ -59,7 +59,7 @@ def capture_times(spark, sf):
 
 
 @_query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 999.0 ELSE o_orderkey / 8 END AS duration, o_orderkey % 4000 AS width, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 2000 END AS height,
-    CASE WHEN o_orderkey % 2 = 0 THEN -90 ELSE 180 END AS rotation, CASE WHEN o_orderkey % 4 = 0 THEN '2020-01-01T00:00:00Z' END AS creation_time FROM orders""")
+    CAST(CASE WHEN o_orderkey % 2 = 0 THEN -90 ELSE 180 END AS BIGINT) AS rotation, CASE WHEN o_orderkey % 4 = 0 THEN '2020-01-01T00:00:00Z' END AS creation_time FROM orders""")
 def video_probes(spark, sf):
     """A probe's key=value lines: the first duration, of all else the last, no empty and no N/A values."""
     k = F.col("id")
@@ -194,7 +194,7 @@ def log_recorded(spark, sf):
     return changes.record_quietly(state(spark, sf, "app_log"), "export", NOW, shoot_id=1996)["app_log"].select("id", "timestamp", "event", "shoot_id")
 
 
-@_query("SELECT id, shoot_id, CASE WHEN id = (SELECT max(id) FROM jobs) THEN 'completed' ELSE 'queued' END AS status, CASE WHEN id = (SELECT max(id) FROM jobs) THEN 9 ELSE 0 END AS files_done FROM jobs UNION ALL SELECT max(id) + 1, 1996, 'running', 0 FROM jobs")
+@_query("SELECT id, shoot_id, CASE WHEN id = (SELECT max(id) FROM jobs) THEN 'completed' ELSE 'queued' END AS status, CAST(CASE WHEN id = (SELECT max(id) FROM jobs) THEN 9 ELSE 0 END AS BIGINT) AS files_done FROM jobs UNION ALL SELECT max(id) + 1, 1996, 'running', 0 FROM jobs")
 def export_records(spark, sf):
     """An export begins, another one ends."""
     j = state(spark, sf, "jobs")["jobs"]
