@@ -145,8 +145,8 @@ def landmark_fits(spark, sf):
 def sampled_frames(spark, sf):
     """The frames that could be decoded; each third of a video could not."""
     o = _orders(spark, sf).select("id", F.floor(F.col("o_totalprice") / 1000).cast("double").alias("d"))
-    plan = stages.planned_frames(frames.with_frame_plan(o.withColumn("cuts", F.array().cast("array<double>")), "d", "cuts", most=1000), "id")
-    decoded = plan.select("id", "place", F.when(F.col("place") % 3 != 0, F.concat(F.lit("f"), F.col("place").cast("string"))).alias("image"))
+    plan = frames.with_frame_plan(o.withColumn("cuts", F.array().cast("array<double>")), "d", "cuts", most=1000)
+    decoded = plan.select("id", F.transform("frames", lambda f, i: F.when(i % 3 != 0, F.concat(F.lit("f"), i.cast("string")))).alias("images"))
     return stages.sampled_frames(plan, decoded, "id").select("id", "place", "image")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumengrid.functions import geometry as g
 from lumengrid.functions import scalars as s
-from lumengrid.operators import frames
+from lumengrid.operators import frames, stages
 
 
 def values(spark, rows, ddl, *columns):
@@ -190,3 +190,22 @@ def test_clean_path(spark):
     paths = ["/a/b/../c", "/..", "/a//./b/", "a/../../b", "../x", "", ".", "/", "/a/../..", "a/.."]
     got = values(spark, [(p,) for p in paths], "p string", s.clean_path(F.col("p")))
     assert [r[0] for r in got] == [os.path.normpath(p) for p in paths]
+
+
+def test_sampled_frames_never_broadcasts_what_it_joins(spark):
+    """Arrays are guessed too small, so a broadcast of them would fill the driver."""
+    frame = "array<struct<at:double,scene:boolean>>"
+    plans = spark.createDataFrame([(1, [(0.0, False), (5.0, False), (7.0, True)]), (2, [(0.0, False)]), (3, [(0.0, False)])], f"id long, frames {frame}")
+    decoded = spark.createDataFrame([(1, ["a", None, "c"]), (2, [None]), (4, ["x"])], "id long, images array<string>")
+    got = stages.sampled_frames(plans, decoded, "id")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 0.0, False, "a"), (1, 2, 7.0, True, "c")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frame_plan_without_scene_changes_equals_the_fold(spark):
+    """Nothing is thinned without scene changes; a cut after the end sends a video through the fold and adds no frame."""
+    rows = [(i, d, c) for i, d in enumerate((None, -1.0, 0.0, 0.5, 5.0, 5.1, 61.0, 400.0)) for c in (None, [], [9999.0])]
+    for interval, gap, most in ((5.0, 1.0, 60), (0.5, 1.0, 60), (0.0, 1.0, 60), (5.0, 1.0, 7)):
+        got = frames.with_frame_plan(spark.createDataFrame(rows, "id long, d double, c array<double>"), "d", "c", interval=interval, gap=gap, most=most).collect()
+        for i in range(0, len(got), 3):
+            assert got[i]["frames"] == got[i + 1]["frames"] == got[i + 2]["frames"] and got[i]["truncated"] == got[i + 2]["truncated"]
