@@ -47,15 +47,18 @@ def with_frame_plan(videos: DataFrame, duration: str, scenes: str, interval: flo
 
     start = F.struct(empty.alias("kept"), F.lit(None).cast(FRAME).alias("last"))
     rest = F.lit(most) - F.least(F.size("_cuts"), F.lit(most))
+    # without scene changes the frames are in order and none is near another: nothing to sort, to thin or to tell apart
+    plain = (F.size(F.coalesce(F.col(scenes), F.array().cast("array<double>"))) == 0) & F.lit(interval <= 0 or interval >= gap)
     return (
-        videos.withColumn("_sorted", F.when(d > 0, F.array_sort(every)))
+        videos.withColumn("_plain", plain)
+        .withColumn("_sorted", F.when((d > 0) & ~F.col("_plain"), F.array_sort(every)))
         .withColumn("_acc", F.aggregate("_sorted", start, thin))
-        .withColumn("_kept", F.array_append(F.col("_acc")["kept"], F.col("_acc")["last"]))
-        .withColumn("_cuts", F.filter("_kept", lambda f: f["scene"]))
-        .withColumn("_ticks", F.filter("_kept", lambda f: ~f["scene"]))
+        .withColumn("_kept", F.when((d > 0) & F.col("_plain"), F.concat(F.array(_frame(F.lit(0.0), False)), ticks)).otherwise(F.array_append(F.col("_acc")["kept"], F.col("_acc")["last"])))
+        .withColumn("_cuts", F.when(F.col("_plain"), empty).otherwise(F.filter("_kept", lambda f: f["scene"])))
+        .withColumn("_ticks", F.when(F.col("_plain"), F.col("_kept")).otherwise(F.filter("_kept", lambda f: ~f["scene"])))
         .withColumn("truncated", F.coalesce(F.size("_kept") > most, F.lit(False)))
         .withColumn("frames", F.when(F.col("_kept").isNull(), F.array(_frame(F.lit(0.0), False))).when(F.col("truncated"), F.array_sort(F.concat(spread(F.col("_cuts"), F.lit(most)), spread(F.col("_ticks"), rest)))).otherwise(F.col("_kept")))
-        .drop("_sorted", "_acc", "_kept", "_cuts", "_ticks")
+        .drop("_plain", "_sorted", "_acc", "_kept", "_cuts", "_ticks")
     )
 
 
