@@ -115,11 +115,12 @@ def scrfd_faces(outputs: DataFrame, key: str, size: float, threshold: float, anc
     so on. Rows below ``threshold`` go; a level whose rows don't fill its grid is skipped; scores and boxes that
     differ in number are an error. Without points, ``landmarks`` is null.
     """
+    # all of a key in one shuffle, levels told and outputs of a level brought together in place; a join would broadcast a side, whose arrays are guessed too small
     level = (F.row_number().over(Window.partitionBy(key, "channels").orderBy(F.desc("rows"))) - 1).alias("level")
-    leveled = outputs.select(key, "channels", "rows", "values", "scale", level)
-    side = lambda n, name: leveled.where(F.col("channels") == n).select(key, "level", F.col("rows").alias(f"{name}_rows"), F.col("values").alias(name))
-    scores = leveled.where("channels = 1").select(key, "level", "rows", "scale", F.col("values").alias("scores"))
-    joined = scores.join(side(4, "boxes"), [key, "level"], "left").join(side(10, "points"), [key, "level"], "left")
+    leveled = outputs.where(F.col("channels").isin(1, 4, 10)).repartition(key).select(key, "channels", "rows", "values", "scale", level)
+    of = lambda n: F.any_value(F.when(F.col("channels") == n, F.struct("rows", "scale", "values")), F.lit(True))
+    levels = leveled.groupBy(key, "level").agg(of(1).alias("s"), of(4).alias("b"), of(10).alias("p")).where("s is not null")
+    joined = levels.select(key, "level", "s.rows", "s.scale", F.col("s.values").alias("scores"), F.col("b.rows").alias("boxes_rows"), F.col("b.values").alias("boxes"), F.col("p.values").alias("points"))
     stride = F.pow(F.lit(2.0), F.col("level") + 3)
     cells = F.pow(F.floor(F.lit(size) / stride), F.lit(2.0))
     fits = joined.where((cells > 0) & (F.col("rows") % cells == 0))

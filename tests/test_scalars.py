@@ -209,3 +209,20 @@ def test_frame_plan_without_scene_changes_equals_the_fold(spark):
         got = frames.with_frame_plan(spark.createDataFrame(rows, "id long, d double, c array<double>"), "d", "c", interval=interval, gap=gap, most=most).collect()
         for i in range(0, len(got), 3):
             assert got[i]["frames"] == got[i + 1]["frames"] == got[i + 2]["frames"] and got[i]["truncated"] == got[i + 2]["truncated"]
+
+
+def test_bytes_label_stops_at_the_largest_unit(spark):
+    got = values(spark, [(1023,), (5 * 1024**2,), (1024**3,), (3 * 1024**4,), (-1,), (None,)], "n long", s.bytes_label(F.col("n"), "MB"), s.bytes_label(F.col("n")))
+    assert got == [("1023 B", "1023 B"), ("5.0 MB", "5.0 MB"), ("1024 MB", "1.0 GB"), ("3145728 MB", "3.0 TB"), ("—", "—"), ("—", "—")]
+
+
+def test_detector_outputs_are_brought_together_without_a_join(spark):
+    """Levels with and without points; a broadcast of raw outputs would fill the driver."""
+    ddl = "id long, rows int, channels int, values array<double>, scale double"
+    rows = [(1, 32, 1, [0.95] + [0.0] * 31, 0.5), (1, 32, 4, [1.0] * 128, 0.5), (1, 8, 1, [0.0] * 7 + [0.99], 0.5), (1, 8, 4, [2.0] * 32, 0.5), (1, 32, 10, [1.0] * 320, 0.5), (2, 32, 4, [1.0] * 128, 0.5)]
+    got = frames.scrfd_faces(spark.createDataFrame(rows, ddl), "id", 32.0, 0.9)
+    found = {(r["id"], r["level"], r["index"]): (tuple(r["box"]), r["landmarks"]) for r in got.collect()}
+    assert set(found) == {(1, 0, 0), (1, 1, 7)}
+    assert found[1, 0, 0] == ((-16.0, -16.0, 16.0, 16.0), [16.0] * 10)
+    assert found[1, 1, 7] == ((-32.0, -32.0, 96.0, 96.0), None)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
