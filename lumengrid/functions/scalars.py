@@ -231,11 +231,15 @@ def clean_path(c: Column) -> Column:
 # ---------------------------------------------------------------- labels for people to read
 
 
-def bytes_label(n: Column) -> Column:
-    """B, KB, MB, GB or TB, one decimal below 100; a dash for what isn't a size."""
-    power = F.when(n < 1024.0**2, 1).when(n < 1024.0**3, 2).when(n < 1024.0**4, 3).otherwise(4)
+def bytes_label(n: Column, largest: str = "TB") -> Column:
+    """B, KB, MB, GB or TB, up to ``largest``, one decimal below 100; a dash for what isn't a size."""
+    units = ("KB", "MB", "GB", "TB")
+    units = units[: units.index(largest) + 1]
+    power = F.lit(len(units))
+    for i in range(len(units) - 1, 0, -1):
+        power = F.when(n < 1024.0 ** (i + 1), i).otherwise(power)
     value = n / F.pow(F.lit(1024.0), power)
-    unit = F.element_at(F.array(*map(F.lit, ("KB", "MB", "GB", "TB"))), power)
+    unit = F.element_at(F.array(*map(F.lit, units)), power)
     number = F.when(value >= 100, F.format_string("%.0f", value)).otherwise(F.format_string("%.1f", value))
     return F.when(n.isNull() | (n < 0), "—").when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(F.concat(number, F.lit(" "), unit))
 
