@@ -73,17 +73,28 @@ def similarity_transform(src: Column, dst: Column) -> Column:
     """The scaling, turn and shift that best take points ``src`` to ``dst``, arrays of (x, y): the
     image of (x, y) is (a x - b y + tx, b x + a y + ty). Null for fewer than two points or no extent."""
     n = F.size(src).cast("double")
-    mean = lambda p, c: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[c]) / n
-    sx, sy, dx, dy = mean(src, "x"), mean(src, "y"), mean(dst, "x"), mean(dst, "y")
     pairs = F.arrays_zip(src.alias("s"), dst.alias("d"))
 
-    def total(f) -> Column:
-        return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p["s"]["x"] - sx, p["s"]["y"] - sy, p["d"]["x"] - dx, p["d"]["y"] - dy))
+    def sums(zero: int, of) -> Column:
+        """Sums over all pairs in one pass."""
+        named = lambda values: F.struct(*[v.alias(f"t{i}") for i, v in enumerate(values)])
+        return F.aggregate(pairs, named([F.lit(0.0)] * zero), lambda s, p: named([s[f"t{i}"] + v for i, v in enumerate(of(p["s"]["x"], p["s"]["y"], p["d"]["x"], p["d"]["y"]))]))
 
-    norm = total(lambda u, v, p, q: u * u + v * v)
-    a, b = total(lambda u, v, p, q: u * p + v * q) / norm, total(lambda u, v, p, q: u * q - v * p) / norm
-    fit = F.struct(a.alias("a"), b.alias("b"), (dx - a * sx + b * sy).alias("tx"), (dy - b * sx - a * sy).alias("ty"))
-    return F.when((n >= 2) & (F.size(src) == F.size(dst)) & (norm >= 1e-12), fit)
+    def with_means(m: Column) -> Column:
+        sx, sy, dx, dy = (m[f"t{i}"] / n for i in range(4))
+        moments = sums(3, lambda x, y, p, q: ((x - sx) * (x - sx) + (y - sy) * (y - sy), (x - sx) * (p - dx) + (y - sy) * (q - dy), (x - sx) * (q - dy) - (y - sy) * (p - dx)))
+        return _bound(moments, lambda t: fitted(t["t0"], t["t1"] / t["t0"], t["t2"] / t["t0"], sx, sy, dx, dy))
+
+    def fitted(norm: Column, a: Column, b: Column, sx: Column, sy: Column, dx: Column, dy: Column) -> Column:
+        fit = F.struct(a.alias("a"), b.alias("b"), (dx - a * sx + b * sy).alias("tx"), (dy - b * sx - a * sy).alias("ty"))
+        return F.when((n >= 2) & (F.size(src) == F.size(dst)) & (norm >= 1e-12), fit)
+
+    return _bound(sums(4, lambda x, y, p, q: (x, y, p, q)), with_means)
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, not at each place where it stands."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def crop_view(x: Column, y: Column, w: Column, h: Column, padding: float = 0.35) -> Column:

@@ -226,3 +226,12 @@ def test_detector_outputs_are_brought_together_without_a_join(spark):
     assert found[1, 0, 0] == ((-16.0, -16.0, 16.0, 16.0), [16.0] * 10)
     assert found[1, 1, 7] == ((-32.0, -32.0, 96.0, 96.0), None)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarity_transform_goes_over_its_points_twice(spark):
+    """Means were worked out again for each point of each sum."""
+    kind = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.0)], [(1.0, 1.0), (1.0, 3.0)]), ([(1.0, 1.0)] * 2, [(1.0, 1.0)] * 2), ([], []), (None, None)], f"s {kind}, d {kind}")
+    got = df.select(g.similarity_transform(F.col("s"), F.col("d")).alias("f"))
+    assert [r["f"] and tuple(r["f"]) for r in got.collect()] == [(0.0, 2.0, 1.0, 1.0), None, None, None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
