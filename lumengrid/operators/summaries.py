@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import nocase
 from ..schema import PRESENT, State
+from ..scratch import written
 
 
 def _zero(*columns: str) -> dict[str, Column]:
@@ -47,10 +48,13 @@ def cluster_summaries(state: State, shoot_id: int, include_named: bool = False)
     clusters = state["clusters"].where(F.col("shoot_id") == shoot_id)
     if not include_named:
         clusters = clusters.where(F.col("status") == "unnamed")
+    # written, so that the few clusters of a shoot are known to be few when they meet faces and media
+    clusters = written(clusters, "shoot-clusters")
     media = state["faces"].where((F.col("shoot_id") == shoot_id) & F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count_distinct("media_id").alias("media_count"))
     people = state["people"].select(F.col("id").alias("person_id"), F.col("name").alias("person_name"))
     covers = state["faces"].where(F.col("shoot_id") == shoot_id).select(F.col("id").alias("cover_face_id"), F.col("media_id").alias("cover_media_id"))
-    thumbs = state["media"].select(F.col("id").alias("cover_media_id"), F.col("thumbnail_path").alias("cover_thumbnail"))
+    covers = written(covers.join(clusters.select("cover_face_id"), "cover_face_id", "left_semi"), "cluster-covers")
+    thumbs = state["media"].select(F.col("id").alias("cover_media_id"), F.col("thumbnail_path").alias("cover_thumbnail")).join(covers.select("cover_media_id"), "cover_media_id", "left_semi")
     out = clusters.join(media, clusters.id == media.cluster_id, "left").drop("cluster_id").join(people, "person_id", "left").join(covers, "cover_face_id", "left").join(thumbs, "cover_media_id", "left")
     return out.withColumns(_zero("media_count")).orderBy(F.desc("face_count"), "id")
 
