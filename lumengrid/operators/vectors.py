@@ -23,6 +23,8 @@ from .pivots import matrix, met
 BLOCK_NUMBERS = 1 << 19
 #: Products of one call, in numbers.
 _STRIP = 1 << 22
+#: Rows and columns of a product whose pairs are offered to both.
+_ROWS, _COLUMNS = 256, 2048
 
 _PAIR = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("similarity", pa.float64())])
 
@@ -77,9 +79,81 @@ def first_keys(ids: np.ndarray, keys: np.ndarray, near: np.ndarray, most: int) -
     return ids[rank < most], keys[rank < most], near[rank < most]
 
 
+class _Nearest:
+    """Of each of n rows the first ``most`` keys among those offered so far, ties to the lower place. Places of keys are
+    offered in ascending order, so that once a row has as many, another must be nearer than the last: ``floor`` is what it must reach."""
+
+    def __init__(self, n: int, most: int, least: float):
+        self.most, self.floor, self._room, self._new = most, np.full(n, float(least)), 2 * n * most, 0
+        self._held: list[Found] = [(np.array([], np.int64), np.array([], np.int64), np.array([], np.float64))]
+
+    def offer(self, rows: np.ndarray, keys: np.ndarray, near: np.ndarray) -> None:
+        self._held.append((rows, keys, near))
+        self._new += len(rows)
+        if self._new > self._room:
+            self.settled()
+
+    def settled(self) -> Found:
+        rows, keys, near = (np.concatenate([h[c] for h in self._held]) for c in range(3))
+        order = np.lexsort((keys, -near, rows))
+        rows, keys, near = rows[order], keys[order], near[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = rank == self.most - 1
+        # nothing is nearer than 1
+        self.floor[rows[last]] = np.where(near[last] < 1, np.nextafter(near[last], np.inf), np.inf)
+        kept = rank < self.most
+        self._held, self._new = [(rows[kept], keys[kept], near[kept])], 0
+        return self._held[0]
+
+
+def _reaching(near: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the products that reach the floor."""
+    at = np.flatnonzero(near >= floor)
+    return at // near.shape[1], at % near.shape[1], np.clip(near.ravel()[at], -1, 1)
+
+
+def near_within(ids: np.ndarray, rows: np.ndarray, k: int, least: float) -> Found:
+    """(id, key, similarity): of each row its k nearest others that reach ``least``, ties to the lower id. Each product is
+    worked out once and offered to both of its rows; ids are distinct."""
+    order = np.argsort(ids)
+    ids, rows = ids[order], rows[order]
+    best = _Nearest(len(ids), k, least)
+    for lo in range(0, len(ids), _ROWS):
+        hi = min(lo + _ROWS, len(ids))
+        near = rows[lo:hi] @ rows[lo:hi].T
+        np.fill_diagonal(near, -np.inf)
+        i, j, found = _reaching(near, best.floor[lo:hi, None])
+        best.offer(lo + i, lo + j, found)
+        for at in range(hi, len(ids), _COLUMNS):
+            near = rows[lo:hi] @ rows[at : at + _COLUMNS].T
+            i, j, found = _reaching(near, best.floor[lo:hi, None])
+            best.offer(lo + i, at + j, found)
+            i, j, found = _reaching(near, best.floor[None, at : at + _COLUMNS])
+            best.offer(at + j, lo + i, found)
+    i, j, near = best.settled()
+    return ids[i], ids[j], near
+
+
+def near_between(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, others: np.ndarray, k: int, least: float) -> Found:
+    """The same of the rows of two tables that have no id in common, both ways."""
+    (ids, rows), (keys, others) = ((x[order], v[order]) for x, v, order in ((ids, rows, np.argsort(ids)), (keys, others, np.argsort(keys))))
+    left, right = _Nearest(len(ids), k, least), _Nearest(len(keys), k, least)
+    for lo in range(0, len(ids), _ROWS):
+        own = rows[lo : lo + _ROWS]
+        for at in range(0, len(keys), _COLUMNS):
+            near = own @ others[at : at + _COLUMNS].T
+            i, j, found = _reaching(near, left.floor[lo : lo + _ROWS, None])
+            left.offer(lo + i, at + j, found)
+            i, j, found = _reaching(near, right.floor[None, at : at + _COLUMNS])
+            right.offer(at + j, lo + i, found)
+    (i, j, near), (y, x, back) = left.settled(), right.settled()
+    return np.append(ids[i], keys[y]), np.append(keys[j], ids[x]), np.append(near, back)
+
+
 def linked(ids: np.ndarray, rows: np.ndarray, k: int, least: float) -> Found:
     """(src, dst, similarity) of the neighbours of all rows of one table, with the same links the other way round."""
-    src, dst, near = first_keys(*near_keys(ids, rows, ids, rows, k, least, apart=True), k)
+    distinct = len(np.unique(ids)) == len(ids)
+    src, dst, near = near_within(ids, rows, k, least) if distinct else first_keys(*near_keys(ids, rows, ids, rows, k, least, apart=True), k)
     return first_keys(np.append(src, dst), np.append(dst, src), np.append(near, near), len(src) * 2 + 1)
 
 
@@ -96,8 +170,11 @@ def _best_of_pair(k: int, least: float) -> Callable[[tuple, pa.Table], pa.Table]
         group, _, i, j = (x.as_py() for x in key)
         sides = [table.filter(pc.equal(table.column("block"), b)) for b in ((i,) if i == j else (i, j))]
         sides = [(t.column("id").to_numpy(), matrix(t.column("embedding"))) for t in sides if t.num_rows]
-        pairs = [(sides[0], sides[0])] if i == j else list(zip(sides, sides[::-1], strict=True)) if len(sides) == 2 else []
-        found = [near_keys(*a, *b, k, least, apart=True) for a, b in pairs]
+        if sum(len(x) for x, _ in sides) == len(np.unique(np.concatenate([x for x, _ in sides]))):
+            found = [near_within(*sides[0], k, least)] if i == j else [near_between(*sides[0], *sides[1], k, least)] if len(sides) == 2 else []
+        else:
+            pairs = [(sides[0], sides[0])] if i == j else list(zip(sides, sides[::-1], strict=True)) if len(sides) == 2 else []
+            found = [near_keys(*a, *b, k, least, apart=True) for a, b in pairs]
         out = [np.concatenate([f[c] for f in found]) for c in range(3)] if found else [np.array([], t) for t in (np.int64, np.int64, np.float64)]
         return pa.table([np.full(len(out[0]), group, np.int64), *out], schema=_PAIR)
 

@@ -224,3 +224,57 @@ def test_centroids(spark):
     assert got[2] == ([0.0, 0.0], 1)
     tight = {r["g"]: r["cohesion"] for r in vectors.cohesion(df.where("id < 3").withColumn("embedding", F.col("embedding")), "g").collect()}
     assert set(tight) == {1}
+
+
+def test_labels_by_shoot_and_in_waves_are_the_same(spark, monkeypatch):
+    x = looks_like_persons(160, 9, 0.22, 1, dim=4)
+    rows = list(enumerate(x.tolist()))
+    cfg = clustering.ClusterSettings(edge=0.6, neighbours=3, merge=0.7, min_size=2)
+    want = {rows[i][0]: (n, len(c)) for n, c in enumerate(plain_clusters(rows, cfg)) for i in c}
+    df = spark.createDataFrame([(1, i, v) for i, v in rows], "shoot_id long, id long, embedding array<double>")
+    took = []
+    for name in ("spread_by_shoot", "_in_waves"):
+        monkeypatch.setattr(clustering, name, lambda *a, name=name, f=getattr(clustering, name): took.append(name) or f(*a))
+    for held in (160, 10):
+        got = {r["id"]: (r["cluster"], r["size"]) for r in clustering.cluster_faces(df, cfg, small=10, held=held).where("cluster is not null").collect()}
+        assert got == want
+    assert took == ["spread_by_shoot", "_in_waves"]
+
+
+def test_waves_broadcast_no_labels(spark, monkeypatch):
+    links = spark.createDataFrame([(1, i, j, 5) for i in range(60) for j in range(60) if 0 < abs(i - j) < 3], "group long, src long, dst long, weight long")
+    turns = spark.createDataFrame([(1, i, i, [(i * 7 + r) % 60 for r in range(3)]) for i in range(60)], "group long, id long, place long, turns array<int>")
+    plans, write = [], clustering.written
+    monkeypatch.setattr(clustering, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    got = {r["place"]: r["label"] for r in clustering.spread_in_waves(links, turns, 3).collect()}
+    pairs = np.array([(i, j) for i in range(60) for j in range(60) if 0 < abs(i - j) < 3])
+    order = [np.array([(i * 7 + r) % 60 for i in range(60)]) for r in range(3)]
+    assert [got[i] for i in range(60)] == clustering.spread(60, pairs[:, 0], pairs[:, 1], np.full(len(pairs), 5.0), order).tolist()
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+@pytest.mark.parametrize("most", [1, 4])
+def test_nearest_of_copies(most):
+    """Each product serves both rows; of equal ones the lower ids come first and no more than asked are kept."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 5)).round(1)
+    x[100:400] = x[7]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = rng.permutation(700)
+    near = np.clip(x @ x.T, -1, 1).round(9)
+    vectors_of = {int(i): v for i, v in zip(ids, near, strict=True)}
+
+    def plain(own, keys):
+        at = {int(i): n for n, i in enumerate(ids)}
+        return {(i, j) for i in own for j in sorted((j for j in keys if j != i and vectors_of[i][at[j]] >= 0.3), key=lambda j: (-vectors_of[i][at[j]], j))[:most]}
+
+    def got(found):
+        assert len(found[0]) == len(set(zip(*found[:2], strict=True)))
+        return collections.Counter(int(i) for i in found[0])
+
+    every = [int(i) for i in ids]
+    want = collections.Counter(i for i, _ in plain(every, every))
+    assert got(vectors.near_within(ids, x, most, 0.3)) == want
+    a, b = every[:300], every[300:]
+    want = collections.Counter(i for i, _ in plain(a, b) | plain(b, a))
+    assert got(vectors.near_between(ids[:300], x[:300], ids[300:], x[300:], most, 0.3)) == want
