@@ -4,7 +4,8 @@ Vectors of a group are told by their angles to a few pivots. Neighbouring vector
 pivot, like angle to it) make a block. By the triangle inequality two vectors are at least as far
 apart as their angles to any pivot differ, so the ranges of two blocks' angles bound the
 similarity of all their pairs from above, and pairs of blocks that can't reach what is asked for
-are never brought together. Every pair that is left comes once, the lower block first.
+are never brought together. Every pair that is left comes once, the lower block first; or pairs of neighbouring blocks
+come together, as a tile, so that a vector is sent to fewer tasks and each hands on the best of more.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..scratch import written
 
 #: A block holds about so many numbers at most, and as many rows at least, if it can.
 BLOCK_NUMBERS, BLOCK_ROWS = 1 << 21, 2048
+#: Neighbouring blocks make one side of a tile up to about so many numbers.
+SIDE_NUMBERS = 1 << 20
 #: Pivots of a group, and the vectors they are chosen from.
 PIVOTS, CANDIDATES = 16, 128
 #: Vectors of one call that looks for nearest pivots, and steps of the angle to the nearest.
@@ -67,7 +70,7 @@ def _told(rows: pa.Table, pivots: pa.Table) -> pa.Table:
 
 
 def placed(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(group, dim, id, embedding, norm, block, angles) of vectors (group, dim, id, embedding); ``sizes`` has (group, dim, n)."""
+    """(group, dim, id, embedding, norm, cell, ring, block, angles) of vectors (group, dim, id, embedding); ``sizes`` has (group, dim, n)."""
     order = Window.partitionBy("group", "dim").orderBy(F.xxhash64("id"), "id")
     some = vectors.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= CANDIDATES).drop("_rank")
     pivots = some.groupBy("group", "dim").applyInArrow(_chosen, "group long, dim int, pivots array<double>")
@@ -85,7 +88,7 @@ def placed(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("_parts"))
     # a run of small rings is one block; of a ring with parts of its own each is one
     block = F.xxhash64("cell", "_run", F.when(F.col("_parts") > 1, F.struct("ring", part)))
-    return told.join(rings.drop("_n", "_most"), ["group", "dim", "cell", "ring"]).select("group", "dim", "id", "embedding", "norm", block.alias("block"), "angles")
+    return told.join(rings.drop("_n", "_most"), ["group", "dim", "cell", "ring"]).select("group", "dim", "id", "embedding", "norm", "cell", "ring", block.alias("block"), "angles")
 
 
 def most_rows(dim: Column) -> Column:
@@ -122,6 +125,29 @@ def met(vectors: DataFrame, least: float) -> tuple[DataFrame, bool]:
     return blocks.select("group", "dim", "block", "id", "embedding").join(ends, ["group", "dim", "block"]).select("group", "dim", "i", "j", "block", "id", "embedding"), False
 
 
+def met_in_tiles(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (group, dim, i, j, side, block, id, embedding) and pairs (group, dim, i, j, low, high) of tiles: each vector once for each
+    tile (i, j) that it has a part in, ``side`` being the one of the two that it is of, and for each tile the pairs of blocks
+    that can hold vectors whose product reaches ``least``. Where every group is one block there is one tile each, and no pairs."""
+    rows = vectors.where(F.size("embedding") > 0).select("group", F.size("embedding").alias("dim"), "id", "embedding")
+    sizes = written(rows.groupBy("group", "dim").agg(F.count("*").alias("n")), "vector-sizes")
+    if sizes.where(F.col("n") > most_rows(F.col("dim"))).isEmpty():
+        return rows, None
+    blocks = written(placed(rows, sizes), "vectors-placed")
+    pairs = block_pairs(blocks, least).where("kept").drop("kept")
+    order = Window.partitionBy("group", "dim").orderBy("cell", "ring", "block").rowsBetween(Window.unboundedPreceding, -1)
+    sides = blocks.groupBy("group", "dim", "block").agg(F.count("*").alias("_n"), F.min("cell").alias("cell"), F.min("ring").alias("ring"))
+    most = F.greatest(F.floor(F.lit(min(SIDE_NUMBERS, BLOCK_NUMBERS)) / F.col("dim")), F.lit(BLOCK_ROWS))
+    side = F.floor(F.coalesce(F.sum("_n").over(order), F.lit(0)) / most)
+    sides = written(sides.select("group", "dim", "block", side.alias("side")), "vector-sides")
+    end = lambda c, s: sides.select("group", "dim", F.col("block").alias(c), F.col("side").alias(s))
+    pairs = pairs.join(end("i", "a"), ["group", "dim", "i"]).join(end("j", "b"), ["group", "dim", "j"])
+    pairs = written(pairs.select("group", "dim", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.col("i").alias("low"), F.col("j").alias("high")), "vector-pairs")
+    ends = pairs.select("group", "dim", "i", "j", F.explode(F.array("low", "high")).alias("block")).distinct().join(sides, ["group", "dim", "block"])
+    sent = blocks.select("group", "dim", "block", "id", "embedding").join(ends, ["group", "dim", "block"])
+    return sent.select("group", "dim", F.col("i").alias("i"), F.col("j").alias("j"), "side", "block", "id", "embedding"), pairs
+
+
 def pruning(vectors: DataFrame, least: float) -> DataFrame:
     """(blocks, pairs, kept): how many pairs of blocks there are, and how many of them are looked into."""
     rows = vectors.where(F.size("embedding") > 0).select("group", F.size("embedding").alias("dim"), "id", "embedding")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pivots import matrix, met
+from .pivots import matrix, met_in_tiles
 
 #: A block holds about so many numbers.
 BLOCK_NUMBERS = 1 << 19
@@ -25,6 +25,8 @@ BLOCK_NUMBERS = 1 << 19
 _STRIP = 1 << 22
 #: Rows and columns of a product whose pairs are offered to both.
 _ROWS, _COLUMNS = 256, 2048
+#: Vectors longer than this are not multiplied as short numbers, and so many pairs are worked out in full at a time.
+_FAR, _GATHER = 1e15, 4096
 
 _PAIR = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("similarity", pa.float64())])
 
@@ -106,10 +108,32 @@ class _Nearest:
         return self._held[0]
 
 
-def _reaching(near: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and value of the products that reach the floor."""
-    at = np.flatnonzero(near >= floor)
-    return at // near.shape[1], at % near.shape[1], np.clip(near.ravel()[at], -1, 1)
+class _Products:
+    """Products of two sets of rows that reach a floor. They are sifted as short floats, with room for what those can be off by, and
+    worked out in full for the few that may reach it."""
+
+    def __init__(self, rows: np.ndarray, others: np.ndarray):
+        self.rows, self.others = rows, others
+        far = np.sqrt(np.maximum(*((x * x).sum(axis=1).max(initial=0) for x in (rows, others))))
+        # lengths that could leave the range of the short numbers are sifted in full
+        self.kind = np.float32 if far < _FAR else np.float64
+        self.off = (rows.shape[1] + 8) * np.finfo(self.kind).eps * far * far + 1e-30 if far < _FAR else 0.0
+        self._rows = rows.astype(self.kind, copy=False)
+        self._others = self._rows if others is rows else others.astype(self.kind, copy=False)
+
+    def of(self, lo: int, hi: int, at: int, to: int) -> np.ndarray:
+        return self._rows[lo:hi] @ self._others[at:to].T
+
+    def reaching(self, near: np.ndarray, lo: int, at: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and value of those that reach the floor, which has one number a row or one a column."""
+        short = floor if self.kind is np.float64 else np.nextafter((floor - self.off).astype(self.kind), self.kind(-np.inf))
+        i, j = np.divmod(np.flatnonzero(near >= short), near.shape[1])
+        if self.kind is np.float64:
+            return lo + i, at + j, np.clip(near[i, j], -1, 1)
+        found = np.concatenate([np.einsum("ij,ij->i", self.rows[lo + i[c : c + _GATHER]], self.others[at + j[c : c + _GATHER]]) for c in range(0, max(1, len(i)), _GATHER)])
+        found = np.clip(found, -1, 1)
+        kept = np.flatnonzero(found >= np.broadcast_to(floor, near.shape)[i, j])
+        return lo + i[kept], at + j[kept], found[kept]
 
 
 def near_within(ids: np.ndarray, rows: np.ndarray, k: int, least: float) -> Found:
@@ -117,19 +141,18 @@ def near_within(ids: np.ndarray, rows: np.ndarray, k: int, least: float) -> Foun
     worked out once and offered to both of its rows; ids are distinct."""
     order = np.argsort(ids)
     ids, rows = ids[order], rows[order]
-    best = _Nearest(len(ids), k, least)
+    best, products = _Nearest(len(ids), k, least), _Products(rows, rows)
     for lo in range(0, len(ids), _ROWS):
         hi = min(lo + _ROWS, len(ids))
-        near = rows[lo:hi] @ rows[lo:hi].T
+        near = products.of(lo, hi, lo, hi)
         np.fill_diagonal(near, -np.inf)
-        i, j, found = _reaching(near, best.floor[lo:hi, None])
-        best.offer(lo + i, lo + j, found)
+        best.offer(*products.reaching(near, lo, lo, best.floor[lo:hi, None]))
         for at in range(hi, len(ids), _COLUMNS):
-            near = rows[lo:hi] @ rows[at : at + _COLUMNS].T
-            i, j, found = _reaching(near, best.floor[lo:hi, None])
-            best.offer(lo + i, at + j, found)
-            i, j, found = _reaching(near, best.floor[None, at : at + _COLUMNS])
-            best.offer(at + j, lo + i, found)
+            to = min(at + _COLUMNS, len(ids))
+            near = products.of(lo, hi, at, to)
+            best.offer(*products.reaching(near, lo, at, best.floor[lo:hi, None]))
+            i, j, found = products.reaching(near, lo, at, best.floor[None, at:to])
+            best.offer(j, i, found)
     i, j, near = best.settled()
     return ids[i], ids[j], near
 
@@ -137,15 +160,15 @@ def near_within(ids: np.ndarray, rows: np.ndarray, k: int, least: float) -> Foun
 def near_between(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, others: np.ndarray, k: int, least: float) -> Found:
     """The same of the rows of two tables that have no id in common, both ways."""
     (ids, rows), (keys, others) = ((x[order], v[order]) for x, v, order in ((ids, rows, np.argsort(ids)), (keys, others, np.argsort(keys))))
-    left, right = _Nearest(len(ids), k, least), _Nearest(len(keys), k, least)
+    left, right, products = _Nearest(len(ids), k, least), _Nearest(len(keys), k, least), _Products(rows, others)
     for lo in range(0, len(ids), _ROWS):
-        own = rows[lo : lo + _ROWS]
+        hi = min(lo + _ROWS, len(ids))
         for at in range(0, len(keys), _COLUMNS):
-            near = own @ others[at : at + _COLUMNS].T
-            i, j, found = _reaching(near, left.floor[lo : lo + _ROWS, None])
-            left.offer(lo + i, at + j, found)
-            i, j, found = _reaching(near, right.floor[None, at : at + _COLUMNS])
-            right.offer(at + j, lo + i, found)
+            to = min(at + _COLUMNS, len(keys))
+            near = products.of(lo, hi, at, to)
+            left.offer(*products.reaching(near, lo, at, left.floor[lo:hi, None]))
+            i, j, found = products.reaching(near, lo, at, right.floor[None, at:to])
+            right.offer(j, i, found)
     (i, j, near), (y, x, back) = left.settled(), right.settled()
     return np.append(ids[i], keys[y]), np.append(keys[j], ids[x]), np.append(near, back)
 
@@ -165,18 +188,36 @@ def _links_of_group(k: int, least: float) -> Callable[[tuple, pa.Table], pa.Tabl
     return run
 
 
-def _best_of_pair(k: int, least: float) -> Callable[[tuple, pa.Table], pa.Table]:
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+def _near_in_tile(ids: np.ndarray, rows: np.ndarray, left: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, least: float) -> Found:
+    """The k nearest of each row of a tile: of the rows that are ``left`` with the others, or of all if there are no others.
+    Where most pairs of blocks are left all is multiplied, else each block with those that it is paired with."""
+    one = bool(left.all())
+    names, of, n = np.unique(block, return_inverse=True, return_counts=True)
+    low, high = np.searchsorted(names, low), np.searchsorted(names, high)
+    every = len(ids) ** 2 / 2 if one else left.sum() * (~left).sum()
+    if 2 * (n[low] * n[high] * np.where(low == high, 0.5, 1)).sum() >= every:
+        return near_within(ids, rows, k, least) if one else near_between(ids[left], rows[left], ids[~left], rows[~left], k, least)
+    found = []
+    for a in np.unique(low):
+        own, others = of == a, np.isin(of, high[(low == a) & (high != a)])
+        if (high[low == a] == a).any():
+            found.append(near_within(ids[own], rows[own], k, least))
+        if others.any():
+            found.append(near_between(ids[own], rows[own], ids[others], rows[others], k, least))
+    return first_keys(*(np.concatenate([f[c] for f in found]) for c in range(3)), k)
+
+
+def _best_of_tile(k: int, least: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, table: pa.Table, pairs: pa.Table) -> pa.Table:
         group, _, i, j = (x.as_py() for x in key)
-        sides = [table.filter(pc.equal(table.column("block"), b)) for b in ((i,) if i == j else (i, j))]
-        sides = [(t.column("id").to_numpy(), matrix(t.column("embedding"))) for t in sides if t.num_rows]
-        if sum(len(x) for x, _ in sides) == len(np.unique(np.concatenate([x for x, _ in sides]))):
-            found = [near_within(*sides[0], k, least)] if i == j else [near_between(*sides[0], *sides[1], k, least)] if len(sides) == 2 else []
+        ids, rows, left = table.column("id").to_numpy(), matrix(table.column("embedding")), table.column("side").to_numpy() == i
+        if len(np.unique(ids)) == len(ids):
+            found = _near_in_tile(ids, rows, left, table.column("block").to_numpy(), pairs.column("low").to_numpy(), pairs.column("high").to_numpy(), k, least)
         else:
-            pairs = [(sides[0], sides[0])] if i == j else list(zip(sides, sides[::-1], strict=True)) if len(sides) == 2 else []
-            found = [near_keys(*a, *b, k, least, apart=True) for a, b in pairs]
-        out = [np.concatenate([f[c] for f in found]) for c in range(3)] if found else [np.array([], t) for t in (np.int64, np.int64, np.float64)]
-        return pa.table([np.full(len(out[0]), group, np.int64), *out], schema=_PAIR)
+            ends = [(left, left)] if i == j else [(left, ~left), (~left, left)]
+            parts = [near_keys(ids[a], rows[a], ids[b], rows[b], k, least, apart=True) for a, b in ends]
+            found = tuple(np.concatenate([f[c] for f in parts]) for c in range(3))
+        return pa.table([np.full(len(found[0]), group, np.int64), *found], schema=_PAIR)
 
     return run
 
@@ -238,16 +279,21 @@ def neighbours_within(vectors: DataFrame, k: int = 12, least: float = 0.45) -> D
     Exact: only pairs of blocks that can't reach ``least`` are left out. k = 0 gives none."""
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "group long, src long, dst long, similarity double")
-    rows, whole = met(vectors, least)
-    if whole:
+    rows, pairs = met_in_tiles(vectors, least)
+    if pairs is None:
         found = rows.groupBy("group", "dim").applyInArrow(_links_of_group(k, least), "group long, id long, key long, similarity double")
         return found.select("group", F.col("id").alias("src"), F.col("key").alias("dst"), "similarity")
-    found = rows.groupBy("group", "dim", "i", "j").applyInArrow(_best_of_pair(k, least), "group long, id long, key long, similarity double")
-    found = found.groupBy("group", "id", "key").agg(F.max("similarity").alias("similarity"))
+    tile = ["group", "dim", "i", "j"]
+    # as many parts as tiles: tiles are long work on few bytes, and what a part then holds of what they found grows with neither
+    parts = max(1, pairs.select(*tile).distinct().count())
+    found = rows.repartition(parts, *tile).groupBy(*tile).cogroup(pairs.groupBy(*tile)).applyInArrow(_best_of_tile(k, least), "group long, id long, key long, similarity double")
+    # dealt by row once: what follows of a row is done where it is
+    found = found.repartition(parts, "group", "id").groupBy("group", "id", "key").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("group", "id").orderBy(F.desc("similarity"), "key"))
-    top = found.withColumn("rank", rank).where(F.col("rank") <= k).select("group", F.col("id").alias("src"), F.col("key").alias("dst"), "similarity")
-    back = top.select("group", F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity")
-    return top.unionByName(back).groupBy("group", "src", "dst").agg(F.max("similarity").alias("similarity"))
+    top = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    ends = F.array(F.struct(F.col("id").alias("src"), F.col("key").alias("dst")), F.struct(F.col("key").alias("src"), F.col("id").alias("dst")))
+    both = top.select("group", "similarity", F.explode(ends).alias("end"))
+    return both.groupBy("group", "end.src", "end.dst").agg(F.max("similarity").alias("similarity")).select("group", "src", "dst", "similarity")
 
 
 def neighbours(vectors: DataFrame, k: int = 12, least: float = 0.45) -> DataFrame:

@@ -278,3 +278,58 @@ def test_nearest_of_copies(most):
     a, b = every[:300], every[300:]
     want = collections.Counter(i for i, _ in plain(a, b) | plain(b, a))
     assert got(vectors.near_between(ids[:300], x[:300], ids[300:], x[300:], most, 0.3)) == want
+
+
+def test_tiles_send_a_vector_to_fewer_tasks(spark, monkeypatch):
+    """Directions without persons can't be told apart by pivots: every block meets every other, but a vector isn't sent for each."""
+    x = np.random.default_rng(4).normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "group long, id long, embedding array<double>")
+    monkeypatch.setattr(pivots, "BLOCK_NUMBERS", 12 * 100)
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 100)
+    sent, pairs = pivots.met_in_tiles(df, 0.3)
+    assert sent.groupBy("id").count().agg(F.max("count")).first()[0] <= 5
+    assert pivots.met(df, 0.3)[0].count() > 2 * sent.count()
+    near = np.clip(x @ x.T, -1, 1)
+    np.fill_diagonal(near, -2)
+    want = {(i, int(j)) for i in range(400) for j in np.argsort(-near[i])[:5] if near[i, j] >= 0.3}
+    got = {(r["src"], r["dst"]): r["similarity"] for r in vectors.neighbours_within(df, 5, 0.3).collect()}
+    assert set(got) == want | {(j, i) for i, j in want}
+    assert all(s == pytest.approx(near[p], abs=1e-12) for p, s in got.items())
+
+
+@pytest.mark.parametrize("length", [1.0, 1e-18, 1e10, 1e30])
+def test_short_products_decide_nothing(length):
+    """Nearness that differs in the last places only, and lengths beyond the range of short floats."""
+    rows, keys = np.array([[length, 0.0]]), np.array([[1.0, 0.0], [1.0, 1e-5], [0.6, 0.8], [0.6 - 1e-12, 0.8]]) / length
+    i, j, found = vectors.near_between(np.array([0]), rows, np.arange(1, 5), keys, 9, 0.6 - 5e-13)
+    assert {int(b): s for a, b, s in zip(i, j, found, strict=True) if a == 0} == {1: pytest.approx(1), 2: pytest.approx(1), 3: pytest.approx(0.6)}
+    rows = np.random.default_rng(8).normal(size=(300, 2)) * 1e-9 + [1.0, 0.0]
+    plain = rows @ rows.T - 2e9 * np.eye(300)
+    i, j, _ = vectors.near_within(np.arange(300), rows, 1, 0.5)
+    best = dict(zip(i.tolist(), j.tolist(), strict=True))
+    assert all(min(plain[a, best[a]], 1) >= min(plain[a].max(), 1) - 1e-15 for a in range(300))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.62, 0.95])
+def test_groups_meet_heads_in_runs(threshold):
+    rng = np.random.default_rng(13)
+    sums = rng.normal(size=(700, 4)) * rng.integers(1, 9, size=(700, 1))
+    sums[500:520], sums[40] = sums[480:500], 0
+    unit = lambda v: v / n if (n := np.linalg.norm(v)) > 1e-12 else v
+    heads, want = {}, []
+    for i, total in enumerate(sums):
+        at = next((h for h, held in heads.items() if unit(held) @ unit(total) >= threshold), i)
+        heads[at] = heads.get(at, 0) + total
+        want.append(at)
+    assert clustering.first_fit(sums, threshold).tolist() == want
+
+
+def test_lengths_of_sums_are_worked_out_once(spark, monkeypatch):
+    """Groups' directions come from a task's arrays, not from a sum over the vector for each of its numbers."""
+    groups = spark.createDataFrame([(1, 1, 1, [3.0, 4.0]), (1, 2, 2, [0.0, 0.0]), (1, 3, 3, [2.0]), (2, 4, 4, [0.0, -5.0])], "group long, label long, first long, total array<double>")
+    seen, meet = [], clustering.met
+    monkeypatch.setattr(clustering, "met", lambda units, least: seen.append(units) or meet(units, least))
+    assert {(r["label"], r["into"]) for r in clustering.merged_groups(groups, 0.62).collect()} == {(n, n) for n in (1, 2, 3, 4)}
+    assert {r["id"]: r["embedding"] for r in seen[0].collect()} == {1: [pytest.approx(0.6), pytest.approx(0.8)], 2: [0.0, 0.0], 3: [1.0], 4: [0.0, -1.0]}
+    assert "aggregate(" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
