@@ -284,7 +284,7 @@ def neighbours_within(vectors: DataFrame, k: int = 12, least: float = 0.45) -> D
         found = rows.groupBy("group", "dim").applyInArrow(_links_of_group(k, least), "group long, id long, key long, similarity double")
         return found.select("group", F.col("id").alias("src"), F.col("key").alias("dst"), "similarity")
     tile = ["group", "dim", "i", "j"]
-    # as many parts as tiles: tiles are long work on few bytes, and what a part then holds of what they found grows with neither
+    # parts by tiles, which are long work on few bytes; what a part holds of what they found then doesn't grow
     parts = max(1, pairs.select(*tile).distinct().count())
     found = rows.repartition(parts, *tile).groupBy(*tile).cogroup(pairs.groupBy(*tile)).applyInArrow(_best_of_tile(k, least), "group long, id long, key long, similarity double")
     # dealt by row once: what follows of a row is done where it is
@@ -318,8 +318,9 @@ def vector_sums(members: DataFrame, by: list[str]) -> DataFrame:
 def centroids(members: DataFrame, *by: str) -> DataFrame:
     """(by, centroid, size): the mean direction of each group's vectors of the group's first size."""
     norm = F.sqrt(F.aggregate("total", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform("total", lambda x: F.when(F.col("_norm") > 1e-12, x / F.col("_norm")).otherwise(x))
-    return vector_sums(members, list(by)).withColumn("_norm", norm).select(*by, unit.alias("centroid"), "size")
+    # a name for the length, which would else be worked out anew for each number
+    unit = F.transform(F.array(norm), lambda n: F.transform("total", lambda x: F.when(n > 1e-12, x / n).otherwise(x)))[0]
+    return vector_sums(members, list(by)).select(*by, unit.alias("centroid"), "size")
 
 
 def cohesion(members: DataFrame, *by: str) -> DataFrame:

@@ -333,3 +333,10 @@ def test_lengths_of_sums_are_worked_out_once(spark, monkeypatch):
     assert {(r["label"], r["into"]) for r in clustering.merged_groups(groups, 0.62).collect()} == {(n, n) for n in (1, 2, 3, 4)}
     assert {r["id"]: r["embedding"] for r in seen[0].collect()} == {1: [pytest.approx(0.6), pytest.approx(0.8)], 2: [0.0, 0.0], 3: [1.0], 4: [0.0, -1.0]}
     assert "aggregate(" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lengths_of_centroids_are_worked_out_once(spark):
+    df = spark.createDataFrame([(1, 1, [3.0, 0.0]), (1, 2, [0.0, 4.0]), (2, 4, [0.0, 0.0])], "g long, id long, embedding array<double>")
+    found = vectors.centroids(df, "g")
+    assert {r["g"]: r["centroid"] for r in found.collect()} == {1: [pytest.approx(0.6), pytest.approx(0.8)], 2: [0.0, 0.0]}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
